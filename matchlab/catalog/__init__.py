@@ -1,6 +1,6 @@
 from importlib import import_module
 
-_MODULES = ("grids", "timelines")
+_MODULES = ("grids", "timelines", "contexts", "prices", "evaluation", "models", "feeds", "news", "streams")
 
 
 def load_all() -> None:

@@ -38,13 +38,14 @@ def _cell(grid: Column, i: int, j: int) -> Column:
     return grid[SIZE * i + j]
 
 
+def _poisson(rate: Column, goals: int) -> Column:
+    power = reduce(lambda a, b: a * b, [rate] * goals, F.lit(1.0))
+    return F.exp(-rate) * power / F.lit(float(math.factorial(goals)))
+
+
 def poisson_pmf(rate: Column) -> Column:
     """``array<double>`` of P(k goals), k = 0..7, for one scoring rate."""
-    terms = []
-    for goals in range(SIZE):
-        power = reduce(lambda a, b: a * b, [rate] * goals, F.lit(1.0))
-        terms.append(F.exp(-rate) * power / F.lit(float(math.factorial(goals))))
-    return F.array(*terms)
+    return F.array(*[_poisson(rate, k) for k in range(SIZE)])
 
 
 def with_score_grid(
@@ -57,10 +58,14 @@ def with_score_grid(
     """Add the normalised 64-cell distribution built from the two rates and rho."""
     home, away, low = F.col(lambda_home), F.col(lambda_away), F.col(rho)
     kept = [c for c in df.columns if c != out]
+    # Plain columns, not arrays: the optimizer would inline array items into every cell.
     pmf = df.select(
-        *kept, poisson_pmf(home).alias("_ph"), poisson_pmf(away).alias("_pa")
+        *kept,
+        *[_poisson(home, k).alias(f"_h{k}") for k in range(SIZE)],
+        *[_poisson(away, k).alias(f"_a{k}") for k in range(SIZE)],
     )
-    ph, pa = F.col("_ph"), F.col("_pa")
+    ph = [F.col(f"_h{k}") for k in range(SIZE)]
+    pa = [F.col(f"_a{k}") for k in range(SIZE)]
     # Low scores are dependent: four cells carry a correction factor.
     factor = {
         (0, 0): 1.0 - home * away * low,
@@ -68,9 +73,9 @@ def with_score_grid(
         (0, 1): 1.0 + home * low,
         (1, 1): 1.0 - low,
     }
-    independent = _total([ph[i] for i in range(SIZE)]) * _total([pa[j] for j in range(SIZE)])
+    independent = _total(ph) * _total(pa)
     shift = _total([ph[i] * pa[j] * (f - 1.0) for (i, j), f in factor.items()])
-    mass = pmf.select(*kept, "_ph", "_pa", (independent + shift).alias("_mass"))
+    mass = pmf.withColumn("_mass", independent + shift)
     cells = [
         (ph[i] * pa[j] * factor[i, j] if (i, j) in factor else ph[i] * pa[j]) / F.col("_mass")
         for i, j in CELLS

@@ -11,11 +11,8 @@ from matchlab import constants as C
 
 def bin_index(prob: Column, bins: int = C.CALIBRATION_BINS) -> Column:
     """Equal-width bin of a probability; right-open edges, 1.0 in the last bin."""
-    edges = [F.lit(i / bins) for i in range(1, bins)]
-    total = F.lit(0)
-    for edge in edges:
-        total = total + (prob >= edge).cast("int")
-    return total
+    edges = F.array(*[F.lit(i / bins) for i in range(1, bins)])
+    return F.size(F.filter(edges, lambda edge: prob >= edge))
 
 
 def _binned(df: DataFrame, prob: str, happened: str, bins: int) -> DataFrame:

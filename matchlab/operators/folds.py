@@ -70,12 +70,11 @@ def training_period(matches: DataFrame, folds: DataFrame) -> DataFrame:
     matches after the last training window drop out.
     """
     previous = F.lag("train_end").over(Window.orderBy("fold_idx"))
-    days = folds.select(
-        F.col("fold_idx").alias("period"),
-        F.explode(
-            F.sequence(F.coalesce(previous, "train_start"), F.date_sub("train_end", 1))
-        ).alias("match_date"),
+    added = folds.select(
+        F.col("fold_idx").alias("period"), F.coalesce(previous, "train_start").alias("_from"),
+        F.date_sub("train_end", 1).alias("_to"),
     )
+    days = added.select("period", F.explode(F.sequence("_from", "_to")).alias("match_date"))
     return matches.join(F.broadcast(days), "match_date")
 
 
