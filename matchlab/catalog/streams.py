@@ -1 +1,109 @@
+"""Streaming queries, each run to the end of its input."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from matchlab.catalog.registry import query
+from matchlab.catalog.timelines import ELO
+from matchlab.catalog.views import table, twin, view
+from matchlab.session import scratch_path
+from matchlab.streaming import jobs as J
+
+
+def as_stream(df, name, files=4):
+    """The same rows as a stream of files."""
+    path = scratch_path(df.sparkSession, name)
+    df.repartition(files).write.parquet(path)
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
+def to_table(stream, name):
+    """Run a stream until its input is used up; its output as a table."""
+    spark = stream.sparkSession
+    path = scratch_path(spark, name)
+    writer = (
+        stream.writeStream.format("parquet").option("path", path).outputMode("append")
+        .option("checkpointLocation", scratch_path(spark, f"{name}-progress"))
+    )
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
+
+
+def ticks(spark, sf):
+    return view(spark, sf, "tb_ticks").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query(
+    "stream_best_odds",
+    twin("tb_ticks", """
+    w as (select time_bucket(interval 15 minutes, ts) as start, match_no, event_type, max(price) as price, count(*) as n
+      from tb_ticks group by 1, 2, 3)
+    select start, match_no, event_type, round(price, 6) as price, n from w
+    where start + interval 15 minutes <= (select max(ts) from tb_ticks) - interval 15 minutes"""),
+)
+def stream_best_odds(spark, sf):
+    out = to_table(J.best_odds_windows(as_stream(ticks(spark, sf), "ticks")), "best")
+    return out.select(
+        F.col("start").cast("timestamp_ntz").alias("start"), "match_no", "event_type",
+        F.round("price", 6).alias("price"), "n",
+    )
+
+
+@query(
+    "stream_odds_snapshot",
+    twin("tb_ticks", """
+    select match_no, event_type, arg_max(event_id, ts) as event_id, arg_max(price, ts) as price
+    from tb_ticks group by 1, 2"""),
+)
+def stream_odds_snapshot(spark, sf):
+    rows = ticks(spark, sf).select("match_no", "event_type", "event_id", "ts", "price")
+    path = scratch_path(spark, "snapshot")
+    # One file per batch: the snapshot is merged several times.
+    source = scratch_path(spark, "ticks")
+    rows.repartition(3).write.parquet(source)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    run = J.snapshot_stream(
+        stream, path, scratch_path(spark, "progress"), ["match_no", "event_type"], ["ts", "event_id"]
+    )
+    run.awaitTermination()
+    return J.latest_snapshot(spark, path, run).drop("ts")
+
+
+@query(
+    "stream_elo",
+    twin("tb_matches", ELO + """
+    select match_id, round(hp, 6) as elo_home_pre, round(ap, 6) as elo_away_pre from rated
+    where match_date < (select max(match_date) from tb_matches) - 1""", True),
+)
+def stream_elo(spark, sf):
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(store)
+    spark.conf.set(store, J.STATE_STORE)
+    try:
+        stream = as_stream(view(spark, sf, "tb_matches"), "matches")
+        out = to_table(J.rating_stream(stream), "rated")
+    finally:
+        spark.conf.set(store, before)
+    return out.filter("status = 'rated'").select(
+        "match_id", F.round("elo_home_pre", 6).alias("elo_home_pre"),
+        F.round("elo_away_pre", 6).alias("elo_away_pre"),
+    )
+
+
+@query(
+    "stream_form_log",
+    twin("tb_ticks", """
+    select cast(ts as date) as log_date, count(*) as n, round(sum(value), 4) as form_score from events group by 1"""),
+)
+def stream_form_log(spark, sf):
+    rows = table(spark, sf, "events").select(
+        F.col("ts").cast("timestamp").alias("logged_at"), F.col("user_id").cast("string").alias("team"),
+        F.col("value").alias("form_score"),
+    )
+    path = scratch_path(spark, "form-log")
+    J.form_log_stream(as_stream(rows, "signals"), path, scratch_path(spark, "progress")).awaitTermination()
+    written = spark.read.schema("team string, form_score double, log_date date").json(path)
+    return written.groupBy("log_date").agg(
+        F.count("*").alias("n"), F.round(F.sum("form_score"), 4).alias("form_score")
+    )

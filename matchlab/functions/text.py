@@ -13,6 +13,9 @@ from pyspark.sql import types as T
 from matchlab import constants as C
 
 
+SPACES = r"(?U)\s+"  # all Unicode white space
+
+
 @F.pandas_udf(T.StringType())
 def _nfc(names: pd.Series) -> pd.Series:
     return names.map(lambda s: None if s is None else unicodedata.normalize("NFC", s))
@@ -126,7 +129,7 @@ def clean_html(text: Column, entities: bool = True) -> Column:
     if entities:
         # Only texts that hold an entity cross to Python.
         plain = F.when(plain.contains("&"), _unescape(plain)).otherwise(plain)
-    return F.trim(F.regexp_replace(plain, r"[\s ]+", " "))
+    return F.trim(F.regexp_replace(plain, SPACES, " "))
 
 
 def article_body(html_text: Column, max_chars: int | None = C.ARTICLE_MAX_CHARS) -> Column:
@@ -138,10 +141,10 @@ def article_body(html_text: Column, max_chars: int | None = C.ARTICLE_MAX_CHARS)
     """
     border = "\u0001"
     raw = F.regexp_extract_all(html_text, F.lit(r"(?s)<p[^>]*>(.*?)</p>"), F.lit(1))
-    plain = F.regexp_replace(F.array_join(raw, border), r"<[^>]+>", " ")
+    plain = F.regexp_replace(F.array_join(raw, border), rf"<[^>{border}]+>", " ")
     plain = F.when(plain.contains("&"), _unescape(plain)).otherwise(plain)
     pieces = F.transform(
-        F.split(plain, border), lambda p: F.trim(F.regexp_replace(p, r"[\s ]+", " "))
+        F.split(plain, border), lambda p: F.trim(F.regexp_replace(p, SPACES, " "))
     )
 
     def wanted(p: Column) -> Column:
@@ -169,6 +172,7 @@ def occurrences(text: Column, term: Column) -> Column:
     return ((F.length(text) - F.length(without)) / F.length(term)).cast("int")
 
 
+_CORRUPT = "_corrupt_record"
 SIGNAL_JSON = T.StructType(
     [
         T.StructField("form_score", T.StringType()),
@@ -177,13 +181,15 @@ SIGNAL_JSON = T.StructType(
         T.StructField("morale_signals", T.ArrayType(T.StringType())),
         T.StructField("tactical_notes", T.StringType()),
         T.StructField("performance_context", T.StringType()),
+        T.StructField(_CORRUPT, T.StringType()),
     ]
 )
 
 
 def validate_signal(raw: Column) -> Column:
     """Struct of a raw model answer: numbers clamped, unreadable numbers 0, blanks dropped."""
-    answer = F.from_json(strip_code_fence(raw), SIGNAL_JSON)
+    options = {"columnNameOfCorruptRecord": _CORRUPT}
+    answer = F.from_json(strip_code_fence(raw), SIGNAL_JSON, options)
 
     def number(name: str, low: float) -> Column:
         value = F.coalesce(answer[name].try_cast("double"), F.lit(0.0))
@@ -204,7 +210,7 @@ def validate_signal(raw: Column) -> Column:
         items("morale_signals"),
         words("tactical_notes"),
         words("performance_context"),
-        (answer.isNull() | raw.isNull()).alias("unreadable"),
+        (answer.isNull() | answer[_CORRUPT].isNotNull()).alias("unreadable"),
     )
 
 
