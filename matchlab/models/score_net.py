@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,24 +111,27 @@ def net_batch_score(
         ).drop("_v")
     fixed = {name: np.asarray(value, dtype="float64") for name, value in weights.items()}
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.empty:
+            n = batch.num_rows
+            if not n:
                 continue
-            seqs = [
-                np.array([np.stack(s) for s in batch[c]], dtype="float64")
-                for c in ("home_seq", "away_seq")
-            ]
-            flat = [np.stack(batch[c]).astype("float64") for c in ("_home", "_away", "context")]
-            out = _forward(flat[0], flat[1], seqs[0], seqs[1], flat[2], fixed)
-            yield pd.DataFrame(
-                {
-                    "match_id": batch["match_id"], "lambda_home": out[:, 0],
-                    "lambda_away": out[:, 1], "rho": out[:, 2],
-                }
+
+            def block(name: str, *shape: int) -> np.ndarray:
+                return np.asarray(batch[name].flatten(), dtype="float64").reshape(n, *shape)
+
+            steps = (-1, C.FORM_FEATURES)
+            out = _forward(
+                block("_home", -1), block("_away", -1), block("_home_steps", *steps),
+                block("_away_steps", *steps), block("context", -1), fixed,
+            )
+            yield pa.RecordBatch.from_arrays(
+                [batch["match_id"], *[pa.array(out[:, i]) for i in range(3)]],
+                names=["match_id", "lambda_home", "lambda_away", "rho"],
             )
 
-    rated = rows.select("match_id", "home_seq", "away_seq", "context", "_home", "_away").mapInPandas(
-        score, "match_id bigint, lambda_home double, lambda_away double, rho double"
-    )
+    rated = rows.select(
+        "match_id", F.flatten("home_seq").alias("_home_steps"),
+        F.flatten("away_seq").alias("_away_steps"), "context", "_home", "_away",
+    ).mapInArrow(score, "match_id bigint, lambda_home double, lambda_away double, rho double")
     return with_expected_goals(with_outcome_probs(with_score_grid(rated)))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from matchlab import constants as C
 from matchlab.functions import text as X
+from matchlab.functions.once import with_once
 from matchlab.session import durable
 
 MAX_TERMS = 5000
@@ -117,7 +118,9 @@ def body_or_summary(articles: DataFrame) -> DataFrame:
     body = F.coalesce("body", F.lit(""))
     long_enough = (F.length(body) >= C.BODY_MIN_CHARS) & X.has_body_domain(F.col("link"))
     text = F.when(long_enough, body).otherwise(summary)
-    return articles.withColumn("text", text).filter(F.length("text") > 0)
+    return with_once(articles.withColumn("_text", text), "text", F.col("_text")).drop("_text").filter(
+        F.length("text") > 0
+    )
 
 
 def interleave_match_news(
@@ -168,8 +171,13 @@ def match_report_filter(
     day = F.to_date("published")
     rows = (
         articles.withColumn("team", F.explode(_teams_where(flags)))
-        .withColumn("body", F.substring(X.clean_html(F.col("body_html")), 1, C.ARTICLE_MAX_CHARS))
+        .withColumn("_body", F.substring(X.clean_html(F.col("body_html")), 1, C.ARTICLE_MAX_CHARS))
+        .drop("body_html")
+    )
+    rows = (
+        with_once(rows, "body", F.col("_body"))
+        .drop("_body")
         .filter(F.length("body") > 0)
         .withColumn("match_date", F.explode(F.sequence(F.date_sub(day, days), day)))
     )
-    return team_matches.join(rows.drop("body_html"), ["team", "match_date"])
+    return team_matches.join(rows, ["team", "match_date"])

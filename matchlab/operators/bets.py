@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from matchlab import constants as C
 from matchlab.functions import adjust as A
 from matchlab.functions import metrics as M
+from matchlab.functions.once import with_once
 
 OUTCOMES = ("home", "draw", "away")
 
@@ -38,7 +39,7 @@ def with_selection(
         tuple(F.col(f"margin_{o}") for o in OUTCOMES),
         min_edge, min_market_prob, min_relative_edge,
     )
-    return df.withColumn("_pick", pick).select(*df.columns, "_pick.*")
+    return with_once(df, "_pick", pick).select(*df.columns, "_pick.*")
 
 
 def _picked_odds(df: DataFrame) -> Column:

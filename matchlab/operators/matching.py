@@ -29,6 +29,9 @@ def similarity(candidate: pd.Series, name: pd.Series) -> pd.Series:
     )
 
 
+# Not to be repeated for the filter on its result.
+similarity = similarity.asNondeterministic()
+
 def _plan(la: int, lb: int, cutoff: float) -> tuple[int, int] | None:
     """Most unmatched characters each name may have at this cutoff, or None."""
     matched = math.ceil(cutoff * (la + lb) / 2 - 1e-9)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from matchlab import constants as C
 from matchlab.functions import text as X
+from matchlab.functions.once import with_once
 
 NESTED_FIXTURE = (
     "fixture struct<id:bigint,date:string,status:struct<short:string>,venue:struct<name:string>>,"
@@ -32,8 +33,7 @@ ABSENCE = (
 
 
 def _parsed(payload: DataFrame, column: str, schema: str) -> DataFrame:
-    kept = [c for c in payload.columns if c != column]
-    return payload.select(*kept, F.from_json(column, schema).alias("j"))
+    return with_once(payload, "j", F.from_json(column, schema)).drop(column)
 
 
 def _text(column: str) -> Column:
@@ -97,17 +97,20 @@ def event_best_odds(payload: DataFrame, column: str = "payload") -> DataFrame:
         F.transform("j.bookmakers", lambda b: F.filter(b["markets"], lambda m: m["key"] == "h2h"))
     )
     outcomes = F.flatten(F.transform(markets, lambda m: m["outcomes"]))
-    rows = j.withColumn("_o", outcomes)
+    rows = with_once(j, "_o", outcomes)
 
     def best(name: Column) -> Column:
         hits = F.filter("_o", lambda o: o["name"] == name)
         return F.array_max(F.transform(hits, lambda o: o["price"]))
 
     home, draw, away = best(F.col("j.home_team")), best(F.lit("Draw")), best(F.col("j.away_team"))
-    return rows.select(
-        *kept, "j.home_team", "j.away_team", F.col("j.commence_time").alias("commence_time"),
-        home.alias("odds_home"), F.when(draw > 0, draw).alias("odds_draw"), away.alias("odds_away"),
-    ).filter((F.col("odds_home") > 0) & (F.col("odds_away") > 0))
+    prices = F.struct(
+        home.alias("odds_home"), F.when(draw > 0, draw).alias("odds_draw"), away.alias("odds_away")
+    )
+    priced = with_once(rows, "_p", prices).filter((F.col("_p.odds_home") > 0) & (F.col("_p.odds_away") > 0))
+    return priced.select(
+        *kept, "j.home_team", "j.away_team", F.col("j.commence_time").alias("commence_time"), "_p.*"
+    )
 
 
 def normalise_injuries(payload: DataFrame, now: Column, column: str = "payload") -> DataFrame:
@@ -136,7 +139,7 @@ def normalise_squads(raw: DataFrame) -> DataFrame:
     ``raw`` has team, player_name, position, club, club_country, age, caps as text.
     """
     name = F.trim("player_name")
-    rows = raw.withColumns({"player_name": name, "position": X.squad_position(F.col("position"))})
+    rows = with_once(raw.withColumn("player_name", name), "position", X.squad_position(F.col("position")))
     usable = (F.col("player_name") != "") & ~F.lower("player_name").isin("nan", "player", "name")
     return rows.filter(usable & F.col("position").isNotNull()).withColumns(
         {
