@@ -97,9 +97,9 @@ def dc_predict(spark, sf):
     return df.select("match_id", *[F.round(c, 6).alias(c) for c in names])
 
 
-def contextual(spark, sf):
+def contextual(spark, sf, **extra):
     """Matches with rest days, flags and weights (ratings as given by the view)."""
-    return K.derive_context(view(spark, sf, "tb_matches"))
+    return K.derive_context(view(spark, sf, "tb_matches"), **extra)
 
 
 FEATURES = LONG + HISTORY.format(n=5) + f"""
@@ -126,7 +126,7 @@ SOME = [
         f"round({c}, 6)::double as {c}" for c in SOME) + " from features"),
 )
 def feature_matrix(spark, sf):
-    df = T.feature_matrix(contextual(spark, sf))
+    df = T.feature_matrix(contextual(spark, sf, form=C.AGGREGATE_LENGTH))
     return df.select("match_id", *[F.round(c, 6).alias(c) for c in SOME])
 
 
@@ -136,14 +136,14 @@ def feature_matrix(spark, sf):
         f"round(avg({c}), 6)::double as {c}" for c in SOME) + " from features"),
 )
 def column_means(spark, sf):
-    df = T.column_means(T.feature_matrix(contextual(spark, sf)), SOME)
+    df = T.column_means(T.feature_matrix(contextual(spark, sf, form=C.AGGREGATE_LENGTH)), SOME)
     return df.select(*[F.round(c, 6).alias(c) for c in SOME])
 
 
 @query("gbt_fit_predict")
 def gbt_fit_predict(spark, sf):
     # A short ensemble: the default length is the reference's 300.
-    matches = contextual(spark, sf)
+    matches = contextual(spark, sf, form=C.AGGREGATE_LENGTH)
     train, val = K.train_val_split(matches)
     model = T.fit(train, trees=10, step=0.2)
     return model.predict(val).select(
@@ -194,7 +194,7 @@ def context_vector(spark, sf):
     left join agg a on a.team = away_team and a.match_date = m.match_date"""),
 )
 def sequence_tensors(spark, sf):
-    matches = contextual(spark, sf)
+    matches = contextual(spark, sf, sequence=C.SEQUENCE_LENGTH)
     df = N.sequence_tensors(matches, N.team_vocab(matches))
 
     def goals(side):
@@ -224,7 +224,7 @@ def net_weights(seed: int = 7) -> dict[str, np.ndarray]:
 
 @query("net_batch_score")
 def net_batch_score(spark, sf):
-    matches = contextual(spark, sf)
+    matches = contextual(spark, sf, sequence=C.SEQUENCE_LENGTH)
     tensors = N.sequence_tensors(matches, N.team_vocab(matches))
     vectors = table(spark, sf, "embeddings").select(
         F.col("vec_id").cast("bigint").alias("idx"),

@@ -9,7 +9,7 @@ folds of a back-test are fitted by the same jobs.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchlab import constants as C
@@ -50,23 +50,32 @@ def fold_stats(matches: DataFrame, folds: DataFrame, per_day: float = C.DECAY_PE
     """Sufficient statistics of every fold's training window, weighted from its end.
 
     Matches are first reduced per period (the stretch a fold adds to the window
-    of the fold before); only those sums are repeated for the folds that follow.
+    of the fold before) and added up along the periods of a pairing, so a fold
+    costs one row per pairing it has seen.
     """
     from matchlab.operators.folds import training_period
 
     ends = folds.select(F.col("fold_idx").alias("period"), F.col("train_end").alias("period_end"))
-    following = F.explode(F.sequence("fold_idx", folds.select(F.max("fold_idx")).scalar()))
-    later = (
-        folds.select(F.col("fold_idx").alias("period"), following.alias("fold_idx"))
-        .join(folds.select("fold_idx", "train_end"), "fold_idx")
-    )
+    span = folds.agg(F.max("train_end").alias("end"), F.max("fold_idx").alias("n")).first()
+    end, last = F.lit(span["end"]), F.lit(span["n"])
     rows = training_period(matches, folds).join(F.broadcast(ends), "period")
     age = F.datediff("period_end", "match_date")
     stats = sufficient_stats(rows, ("period", "period_end"), F.exp(-per_day * age))
-    spread = stats.join(F.broadcast(later), "period")
-    fade = F.exp(-per_day * F.datediff("train_end", "period_end"))
-    return spread.groupBy("fold_idx", "home_team", "away_team", "neutral").agg(
-        *[F.sum(F.col(c) * fade).alias(c) for c in _SUMS]
+    # Sums up to a period, all weighted from the last day, hold until the pairing's next period.
+    pairing = Window.partitionBy("home_team", "away_team", "neutral").orderBy("period")
+    upto = pairing.rowsBetween(Window.unboundedPreceding, 0)
+    fade = F.exp(-per_day * F.datediff(end, "period_end"))
+    until = F.coalesce(F.lead("period").over(pairing) - 1, last)
+    running = stats.select(
+        "home_team", "away_team", "neutral", F.col("period"), until.alias("_until"),
+        *[F.sum(F.col(c) * fade).over(upto).alias(c) for c in _SUMS],
+    )
+    spread = running.withColumn("fold_idx", F.explode(F.sequence("period", "_until"))).join(
+        F.broadcast(folds.select("fold_idx", "train_end")), "fold_idx"
+    )
+    lift = F.exp(per_day * F.datediff(end, "train_end"))
+    return spread.select(
+        "fold_idx", "home_team", "away_team", "neutral", *[(F.col(c) * lift).alias(c) for c in _SUMS]
     )
 
 

@@ -61,7 +61,7 @@ def context_vector(columns: list[str]) -> Column:
 
 def sequence_tensors(matches: DataFrame, vocab: DataFrame) -> DataFrame:
     """One training row per match: team indexes, two 10 x 5 sequences, 13 context values."""
-    rows = timeline.match_sequences(matches)
+    rows = matches if "home_seq" in matches.columns else timeline.match_sequences(matches)
     rows = rows.withColumn("context", context_vector(rows.columns))
     for side in ("home", "away"):
         lookup = vocab.select(F.col("team").alias(f"{side}_team"), F.col("idx").alias(f"_{side}"))

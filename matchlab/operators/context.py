@@ -55,10 +55,19 @@ def match_flags(matches: DataFrame) -> DataFrame:
     )
 
 
-def derive_context(matches: DataFrame, squad_features: DataFrame | None = None) -> DataFrame:
-    """Rated matches with rest days, flags, sample weight and squad features."""
-    out = sample_weight(match_flags(timeline.rest_days(matches)))
-    return squads.join_squad_features(out, squad_features)
+def derive_context(
+    matches: DataFrame,
+    squad_features: DataFrame | None = None,
+    form: int | None = None,
+    sequence: int | None = None,
+) -> DataFrame:
+    """Rated matches with rest days, flags, sample weight and squad features.
+
+    ``form`` and ``sequence`` ask for form columns too: they ride on the same
+    joins as the rest days.
+    """
+    timed = timeline.with_team_days(matches, form=form, sequence=sequence)
+    return squads.join_squad_features(sample_weight(match_flags(timed)), squad_features)
 
 
 def upcoming_matches(

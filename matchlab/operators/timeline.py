@@ -44,40 +44,9 @@ def team_long_form(matches: DataFrame) -> DataFrame:
     )
 
 
-def rest_days(matches: DataFrame) -> DataFrame:
-    """rest_days_home / rest_days_away per match: days since the team's previous match.
-
-    Null for a team's first match, 0 for a later match on the same date.
-    """
-    long = matches.select(
-        "match_id", "match_date",
-        F.explode(
-            F.array(
-                F.struct(F.col("home_team").alias("team"), F.lit(0).alias("away")),
-                F.struct(F.col("away_team").alias("team"), F.lit(1).alias("away")),
-            )
-        ).alias("s"),
-    ).select("match_id", "match_date", F.col("s.team").alias("team"))
-    days = long.groupBy("team", "match_date").agg(F.min("match_id").alias("first_match"))
-    before = F.lag("match_date").over(Window.partitionBy("team").orderBy("match_date"))
-    days = days.select(
-        "team", "match_date", "first_match",
-        F.datediff("match_date", before).cast("double").alias("gap"),
-    )
-    out = matches
-    for side in ("home", "away"):
-        lookup = days.select(
-            F.col("team").alias(f"{side}_team"), "match_date",
-            F.col("first_match").alias("_first"), F.col("gap").alias("_gap"),
-        )
-        # A team never meets itself, so only an earlier match of the day gives 0.
-        rest = F.when(F.col("match_id") == F.col("_first"), F.col("_gap")).otherwise(F.lit(0.0))
-        out = (
-            out.join(lookup, [f"{side}_team", "match_date"], "left")
-            .withColumn(f"rest_days_{side}", rest)
-            .drop("_first", "_gap")
-        )
-    return out
+def _side_rows(matches: DataFrame) -> DataFrame:
+    sides = F.explode(F.array("home_team", "away_team")).alias("team")
+    return matches.select("match_id", "match_date", sides)
 
 
 def _days(matches: DataFrame, n: int) -> DataFrame:
@@ -89,23 +58,75 @@ def _days(matches: DataFrame, n: int) -> DataFrame:
     return kept.groupBy("team", "match_date").agg(F.sort_array(F.collect_list(item)).alias("day"))
 
 
-def _last(n: int, arrays: Column) -> Column:
-    flat = F.flatten(arrays)
-    return F.slice(flat, F.greatest(F.size(flat) - n + 1, F.lit(1)), n)
-
-
-def team_history(matches: DataFrame, n: int) -> DataFrame:
-    """(team, match_date, history): the last n matches strictly before each playing date.
+def team_days(matches: DataFrame, n: int | None = None) -> DataFrame:
+    """(team, match_date, first_match, gap) and, with ``n``, (history).
 
-    The n preceding team-days always hold the n preceding matches.
+    ``gap`` counts days since the team's previous playing date; ``history`` holds
+    its last n matches strictly before the date.  Both come from one ordering of
+    the team-days: n preceding team-days always hold the n preceding matches.
     """
-    frame = Window.partitionBy("team").orderBy("match_date").rowsBetween(-n, -1)
-    days = _days(matches, n)
+    days = _side_rows(matches).groupBy("team", "match_date").agg(
+        F.min("match_id").alias("first_match")
+    )
+    if n is not None:
+        # Both aggregates are spread by team and date already: no further shuffle.
+        days = days.join(_days(matches, n), ["team", "match_date"])
+    order = Window.partitionBy("team").orderBy("match_date")
+    columns = {"gap": F.datediff("match_date", F.lag("match_date").over(order)).cast("double")}
+    if n is not None:
+        columns["history"] = _last(n, F.collect_list("day").over(order.rowsBetween(-n, -1)))
     return days.select(
-        "team", "match_date", _last(n, F.collect_list("day").over(frame)).alias("history")
+        "team", "match_date", "first_match", *[c.alias(name) for name, c in columns.items()]
     )
 
 
+def with_team_days(
+    matches: DataFrame,
+    rest: bool = True,
+    form: int | None = None,
+    sequence: int | None = None,
+) -> DataFrame:
+    """Add rest days, form aggregates and form sequences with one join per side.
+
+    rest_days_*: null for a team's first match, 0 for a later match of a date.
+    form_*_*: over the last ``form`` matches.  home_seq / away_seq: ``sequence``
+    x 5 values.  A team never meets itself.
+    """
+    n = max(form or 0, sequence or 0) or None
+    days = team_days(matches, n)
+    columns: dict[str, Column] = {}
+    if rest:
+        columns |= {"_first": F.col("first_match"), "_gap": F.col("gap")}
+    if form:
+        columns |= form_aggregates(_last(form, F.array("history")))
+    if sequence:
+        columns["_seq"] = form_sequence(_last(sequence, F.array("history")), sequence)
+    lookup = days.select("team", "match_date", *[c.alias(name) for name, c in columns.items()])
+    out = matches
+    for side in ("home", "away"):
+        renamed = {name: f"{name}_{side}" for name in columns} | {"team": f"{side}_team"}
+        out = out.join(
+            lookup.withColumnsRenamed(renamed), [f"{side}_team", "match_date"], "left"
+        )
+        if rest:
+            first = F.col("match_id") == F.col(f"_first_{side}")
+            value = F.when(first, F.col(f"_gap_{side}")).otherwise(F.lit(0.0))
+            out = out.withColumn(f"rest_days_{side}", value).drop(f"_first_{side}", f"_gap_{side}")
+        if sequence:
+            out = out.withColumnRenamed(f"_seq_{side}", f"{side}_seq")
+    return out
+
+
+def rest_days(matches: DataFrame) -> DataFrame:
+    """Add rest_days_home and rest_days_away."""
+    return with_team_days(matches)
+
+
+def _last(n: int, arrays: Column) -> Column:
+    flat = F.flatten(arrays)
+    return F.slice(flat, F.greatest(F.size(flat) - n + 1, F.lit(1)), n)
+
+
 def history_asof(matches: DataFrame, probes: DataFrame, n: int) -> DataFrame:
     """Add ``history`` to probes (team, as_of): the last n matches strictly before as_of.
 
@@ -171,35 +192,14 @@ def form_aggregates(history: Column) -> dict[str, Column]:
     }
 
 
-def join_both_sides(matches: DataFrame, per_team: DataFrame, columns: list[str]) -> DataFrame:
-    """Join a (team, match_date) table to the home and the away side of each match."""
-    out = matches
-    for side in ("home", "away"):
-        lookup = per_team.select(
-            F.col("team").alias(f"{side}_team"), "match_date",
-            *[F.col(c).alias(f"{c}_{side}") for c in columns],
-        )
-        out = out.join(lookup, [f"{side}_team", "match_date"], "left")
-    return out
-
-
 def match_form(matches: DataFrame, n: int = C.AGGREGATE_LENGTH) -> DataFrame:
     """Add form_*_home and form_*_away over the last n matches of each side."""
-    history = team_history(matches, n)
-    form = history.select("team", "match_date", *[
-        c.alias(name) for name, c in form_aggregates(F.col("history")).items()
-    ])
-    names = ["form_gf", "form_ga", "form_pts", "form_opp_elo", "form_n_played"]
-    return join_both_sides(matches, form, names)
+    return with_team_days(matches, rest=False, form=n)
 
 
 def match_sequences(matches: DataFrame, n: int = C.SEQUENCE_LENGTH) -> DataFrame:
     """Add home_seq and away_seq, the n x 5 form sequences of both sides."""
-    history = team_history(matches, n).select(
-        "team", "match_date", form_sequence(F.col("history"), n).alias("seq")
-    )
-    joined = join_both_sides(matches, history, ["seq"])
-    return joined.withColumnsRenamed({"seq_home": "home_seq", "seq_away": "away_seq"})
+    return with_team_days(matches, rest=False, sequence=n)
 
 
 def numbered_team_matches(matches: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchlab.functions import grid as G
@@ -41,8 +41,7 @@ def fold_latest_ratings(
 ) -> DataFrame:
     """(fold_idx, team, rating): last rating of each team within each fold's training window.
 
-    One row per team and period is kept first; folds then look back over those
-    few rows only.
+    One row per team and period is kept first and holds until the next of them.
     """
     rows = folds.training_period(matches, fold_table).select(
         "period", "match_date", "match_id",
@@ -55,14 +54,15 @@ def fold_latest_ratings(
     )
     order = F.struct("match_date", "match_id")
     per_period = rows.groupBy("period", "s.team").agg(
-        F.max_by("s.rating", order).alias("rating"), F.max(order).alias("at")
+        F.max_by("s.rating", order).alias("rating")
     )
-    last = F.sequence("period", fold_table.select(F.max("fold_idx")).scalar())
-    return (
-        per_period.withColumn("fold_idx", F.explode(last))
-        .groupBy("fold_idx", "team")
-        .agg(F.max_by("rating", "at").alias("rating"))
+    # A rating holds for the folds up to the team's next period; a team has one row per period.
+    following = F.lead("period").over(Window.partitionBy("team").orderBy("period"))
+    last = fold_table.select(F.max("fold_idx")).scalar()
+    held = per_period.withColumn("_until", following).select(
+        "team", "rating", F.sequence("period", F.coalesce(F.col("_until") - 1, last)).alias("_f")
     )
+    return held.select(F.explode("_f").alias("fold_idx"), "team", "rating")
 
 
 def score_rating_folds(
