@@ -73,8 +73,9 @@ def stream_odds_snapshot(spark, sf):
 @query(
     "stream_elo",
     twin("tb_matches", ELO + """
-    select match_id, round(hp, 6) as elo_home_pre, round(ap, 6) as elo_away_pre from rated
-    where match_date < (select max(match_date) from tb_matches) - 1""", True),
+    select match_id, round(hp, 6) as elo_home_pre, round(ap, 6) as elo_away_pre
+    from rated join (select pool, max(match_date) as last from tb_matches group by pool) using (pool)
+    where match_date < last - 1""", True),
 )
 def stream_elo(spark, sf):
     store = "spark.sql.streaming.stateStore.providerClass"

@@ -64,55 +64,67 @@ def latest_snapshot(spark: SparkSession, path: str, query: StreamingQuery) -> Da
 
 
 class _RatingProcessor(StatefulProcessor):
-    """Ratings of one pool in state; matches wait until the watermark has passed them."""
+    """Ratings of one pool; matches wait until the pool's clock has passed their day.
+
+    State holds one number and day per team, the open matches, and the day
+    before which all is rated.  A micro-batch is the unit of memory: its rows
+    and the open ones are put in order, and only touched teams are written back.
+    """
+
+    def __init__(self, delay_days: int) -> None:
+        self.delay_days = delay_days
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
         self.teams = handle.getMapState("teams", "team string", "rating double, day int")
-        # One list per match day, so a flush touches the days it closes and no others.
-        self.waiting = handle.getMapState(
-            "waiting", "day int, match_id bigint", "home string, away string, bonus double, score double, k double"
+        self.open = handle.getMapState(
+            "open", "day int, match_id bigint",
+            "home string, away string, bonus double, score double, k double",
         )
+        self.done_before = handle.getValueState("done_before", "day int")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        closed = timerValues.getCurrentWatermarkInMs() // 86_400_000
-        late, first_open = [], None
+        closed = self.done_before.get()[0] if self.done_before.exists() else None
+        late, fresh, newest = [], {}, None
         for batch in rows:
             for r in batch.itertuples(index=False):
-                day = int(r.day)
-                if day < closed:
-                    late.append((key[0], int(r.match_id), day, r.home_team, r.away_team, None, None, "late"))
-                    continue
-                self.waiting.updateValue(
-                    (day, int(r.match_id)), (r.home_team, r.away_team, float(r.bonus), float(r.score), float(r.k))
-                )
-                first_open = day if first_open is None else min(first_open, day)
-        if first_open is not None:
-            self.handle.registerTimer((first_open + 1) * 86_400_000)
-        yield _rated(late)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        closed = timerValues.getCurrentWatermarkInMs() // 86_400_000
-        done, still_open = [], None
-        for day, match_id in sorted(self.waiting.keys()):
-            if day >= closed:
-                still_open = day
-                break
-            home, away, bonus, score, k = self.waiting.getValue((day, match_id))
-            own, other = self._current(home, day), self._current(away, day)
+                day, ident = int(r.day), int(r.match_id)
+                newest = day if newest is None else max(newest, day)
+                if closed is not None and day < closed:
+                    late.append((key[0], ident, day, r.home_team, r.away_team, None, None, "late"))
+                else:
+                    fresh[day, ident] = (
+                        r.home_team, r.away_team, float(r.bonus), float(r.score), float(r.k)
+                    )
+        bound = newest - self.delay_days
+        if closed is not None:
+            bound = max(bound, closed)
+        waiting = dict(self.open.iterator())
+        ready = sorted(k for k in (*waiting, *fresh) if k[0] < bound)
+        done, now = [], {}
+        for place in ready:
+            home, away, bonus, score, k = fresh.get(place) or waiting[place]
+            own, other = self._current(home, place[0], now), self._current(away, place[0], now)
             expected = 1.0 / (1.0 + 10.0 ** ((other - (own + bonus)) / C.RATING_SCALE))
-            self.teams.updateValue((home,), (own + k * (score - expected), day))
-            self.teams.updateValue((away,), (other + k * ((1.0 - score) - (1.0 - expected)), day))
-            self.waiting.removeKey((day, match_id))
-            done.append((key[0], match_id, day, home, away, own, other, "rated"))
-        if still_open is not None:
-            self.handle.registerTimer((still_open + 1) * 86_400_000)
-        yield _rated(done)
-
-    def _current(self, team: str, day: int) -> float:
-        if not self.teams.containsKey((team,)):
-            return C.INITIAL_RATING
-        rating, last = self.teams.getValue((team,))
+            now[home] = (own + k * (score - expected), place[0])
+            now[away] = (other + k * ((1.0 - score) - (1.0 - expected)), place[0])
+            done.append((key[0], place[1], place[0], home, away, own, other, "rated"))
+        for team, value in now.items():
+            self.teams.updateValue((team,), value)
+        for place in waiting:
+            if place[0] < bound:
+                self.open.removeKey(place)
+        for place, match in fresh.items():
+            if place[0] >= bound:
+                self.open.updateValue(place, match)
+        self.done_before.update((bound,))
+        yield _rated(late + done)
+
+    def _current(self, team: str, day: int, now: dict[str, tuple[float, int]]) -> float:
+        if team not in now:
+            if not self.teams.containsKey((team,)):
+                return C.INITIAL_RATING
+            now[team] = self.teams.getValue((team,))
+        rating, last = now[team]
         gap = day - last
         if gap > C.INACTIVITY_DAYS:
             rating -= C.INACTIVITY_RATE * (gap / 365.0) * (rating - C.INITIAL_RATING)
@@ -134,26 +146,21 @@ def _rated(rows: list[tuple]) -> pd.DataFrame:
     return frame.astype({"elo_home_pre": "float64", "elo_away_pre": "float64"})
 
 
-def rating_stream(matches: DataFrame, pool: str = "pool", delay: str = "1 day") -> DataFrame:
+def rating_stream(matches: DataFrame, pool: str = "pool", delay_days: int = 1) -> DataFrame:
     """Pre-match ratings of a match stream, in event-time order per pool.
 
-    A match is rated once the watermark has passed its day.  One that arrives
-    after that is reported with status "late" and no rating: a batch run over
-    the corrected history places it.  ``matches`` needs match_ts (timestamp)
-    besides the columns of the batch scan, and the session needs the RocksDB
+    A match is rated once its pool has seen a match more than ``delay_days``
+    later.  One that arrives after its day was rated comes out with status
+    "late" and no rating, instead of being dropped as a watermark would: a batch
+    run over the corrected history places it.  The session needs the RocksDB
     state store.
     """
     rows = _scan_input(matches, pool).select(
-        "pool", "match_id", "day", "home_team", "away_team", "bonus", "score", "k",
-        F.timestamp_seconds(F.col("day") * 86400).alias("ts"),
+        "pool", "match_id", "day", "home_team", "away_team", "bonus", "score", "k"
     )
-    return (
-        rows.withWatermark("ts", delay)
-        .groupBy("pool")
-        .transformWithStateInPandas(
-            statefulProcessor=_RatingProcessor(), outputStructType=_RATED, outputMode="Append",
-            timeMode="EventTime",
-        )
+    return rows.groupBy("pool").transformWithStateInPandas(
+        statefulProcessor=_RatingProcessor(delay_days), outputStructType=_RATED,
+        outputMode="Append", timeMode="None",
     )
 
 
