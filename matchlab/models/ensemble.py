@@ -35,22 +35,24 @@ def check_weights(weights: list[float], models: int) -> list[float]:
 
 
 def ensemble_grid(
-    predictions: list[DataFrame], weights: list[float] | None = None, key: str = "match_id"
+    predictions: list[DataFrame], weights: list[float] | None = None,
+    keys: list[str] | None = None,
 ) -> DataFrame:
-    """(key, grid, 1X2, expected goals) of the weighted mean of the models' grids.
+    """(keys, grid, 1X2, expected goals) of the weighted mean of the models' grids.
 
     Markets are derived again from the mean grid.  The rates of the mean are its
     expected goals, and rho is 0.
     """
     n = len(predictions)
     weights = check_weights(weights if weights is not None else [1.0 / max(n, 1)] * n, n)
-    parts = [p.select(key, F.col("grid").alias(f"_g{i}")) for i, p in enumerate(predictions)]
-    joined = reduce(lambda a, b: a.join(b, key), parts)
+    keys = keys or ["match_id"]
+    parts = [p.select(*keys, F.col("grid").alias(f"_g{i}")) for i, p in enumerate(predictions)]
+    joined = reduce(lambda a, b: a.join(b, keys), parts)
     cells = [
         reduce(lambda a, b: a + b, [F.lit(w) * F.col(f"_g{i}")[k] for i, w in enumerate(weights)])
         for k in range(len(CELLS))
     ]
-    mean = joined.select(key, F.array(*cells).alias("grid"))
+    mean = joined.select(*keys, F.array(*cells).alias("grid"))
     out = with_expected_goals(with_outcome_probs(mean))
     return out.withColumns(
         {

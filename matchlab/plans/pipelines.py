@@ -86,6 +86,7 @@ def backtest(
     start_year: int | None = None,
     pool: str | None = "pool",
     summary: bool = True,
+    tree_options: dict | None = None,
     **fit_options,
 ) -> DataFrame:
     """Walk-forward evaluation of one model, one row per fold and a total row.
@@ -124,20 +125,17 @@ def backtest(
             rows = folds.validation_rows(kept, table)
             parts.append(goal_rates.predict(rows, teams, scalars, by=("fold_idx",)))
         if model in ("trees", "ensemble"):
-            parts.append(_tree_folds(kept, table))
+            parts.append(_tree_folds(kept, table, tree_options or {}))
         predicted = parts[0]
         if len(parts) == 2:
-            base = predicted.drop("grid", "prob_home", "prob_draw", "prob_away", "lambda_home", "lambda_away", "rho")
-            keyed = [
-                p.withColumn("_key", F.struct("fold_idx", "match_id")) for p in parts
-            ]
-            mean = ensemble.ensemble_grid(keyed, key="_key")
-            predicted = base.withColumn("_key", F.struct("fold_idx", "match_id")).join(mean, "_key").drop("_key")
+            keys = ["fold_idx", "match_id"]
+            mean = ensemble.ensemble_grid(parts, keys=keys)
+            predicted = predicted.select(*keys, "home_score", "away_score").join(mean, keys)
         per_fold = folds.fold_metrics(_scored(predicted, odds))
     return folds.backtest_summary(per_fold) if summary else per_fold
 
 
-def _tree_folds(matches: DataFrame, fold_table: DataFrame) -> DataFrame:
+def _tree_folds(matches: DataFrame, fold_table: DataFrame, options: dict) -> DataFrame:
     """One distributed tree fit per fold, in turn; there are as many as the calendar allows."""
     out = None
     for fold in fold_table.orderBy("fold_idx").collect():
@@ -147,7 +145,7 @@ def _tree_folds(matches: DataFrame, fold_table: DataFrame) -> DataFrame:
             & (F.col("match_date") < F.lit(fold["val_end"]))
         ).withColumns({"fold_idx": F.lit(fold["fold_idx"]), "train_end": F.lit(fold["train_end"])})
         val = folds.known_teams_only(val, matches)
-        part = trees.fit(train).predict(val)
+        part = trees.fit(train, **options).predict(val)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -171,7 +169,7 @@ def predict_upcoming(
     """
     latest = ratings.current_ratings(ratings.rating_scan(history, pool))
     rows = context.upcoming_feature_rows(
-        context.upcoming_matches(schedule, next_only), latest.drop("pool"), squad_features
+        context.upcoming_matches(schedule, next_only), latest.select("team", "rating"), squad_features
     )
     teams, scalars = goal_rates.fit(goal_rates.sufficient_stats(history), **fit_options)
     rated = goal_rates.predict_rates(rows, teams, scalars)
