@@ -218,12 +218,23 @@ def fit_temperature(spark, sf):
     return df.agg(F.lit(round(t, 3)).alias("temperature"), F.avg(-F.log(chosen)).alias("nll"))
 
 
-@query("isotonic_fit")
+@query(
+    "isotonic_fit",
+    twin("tb_matches tb_params", CELLS + MARKETS + """,
+    p as (select match_id, round(home_win, 9) as p, case when home_score > away_score then 1.0 else 0.0 end::double as y
+      from tb_matches join markets using (match_id)),
+    pts as (select p, count(*) as n, sum(y) as s, row_number() over (order by p) as i from p group by p),
+    cum as (select *, sum(n) over (order by i) as cn, sum(s) over (order by i) as cs from pts),
+    av as (select a.i as a, b.i as b, (b.cs - a.cs + a.s) / (b.cn - a.cn + a.n) as v
+      from cum a join cum b on b.i >= a.i),
+    low as (select a, b, min(v) over (partition by a order by b desc) as v from av),
+    fit as (select b as i, max(v) as v from low group by b)
+    select match_id, round(v, 6) as calibrated from p join pts using (p) join fit using (i)"""),
+)
 def isotonic_fit(spark, sf):
-    df = home_win_forecast(spark, sf)
-    model = L.fit_isotonic(df, "prob_home", "happened")
-    out = model.transform(df.withColumn("prob", F.col("prob_home")))
-    return out.select("match_id", "prob_home", F.col("prediction").alias("calibrated"))
+    df = home_win_forecast(spark, sf).withColumn("prob", F.round("prob_home", 9))
+    out = L.fit_isotonic(df, "prob", "happened").transform(df)
+    return out.select("match_id", F.round("prediction", 6).alias("calibrated"))
 
 
 @query(

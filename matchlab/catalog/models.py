@@ -142,7 +142,7 @@ def column_means(spark, sf):
 
 @query("gbt_fit_predict")
 def gbt_fit_predict(spark, sf):
-    # A short ensemble: the default length is the reference's 300.
+    # A short ensemble; the library's own default is 300 trees.
     matches = contextual(spark, sf, form=C.AGGREGATE_LENGTH)
     train, val = K.train_val_split(matches)
     model = T.fit(train, trees=10, step=0.2)

@@ -90,7 +90,22 @@ def body_or_summary(spark, sf):
     return texts(spark, sf).select("pos", F.md5("text").alias("digest"))
 
 
-@query("dedupe_articles")
+@query(
+    "dedupe_articles",
+    twin("tb_articles", MATCHED + """,
+    seq as (select team, pos, link, lower(substring(concat(title, description), 1, 120)) as mark,
+      row_number() over (partition by team order by pos) as rn from matched where link <> ''),
+    walk as (
+      select distinct team, 0::bigint as rn, null::bigint as pos, null::varchar as link, false as kept,
+        []::varchar[] as links, []::varchar[] as marks from seq
+      union all
+      select team, rn, pos, link, ok, case when ok then list_append(links, link) else links end,
+        case when ok then list_append(marks, mark) else marks end
+      from (select s.team, s.rn, s.pos, s.link, s.mark, w.links, w.marks,
+          not list_contains(w.links, s.link) and not list_contains(w.marks, s.mark) as ok
+        from walk w join seq s on s.team = w.team and s.rn = w.rn + 1))
+    select team, pos, link from walk where kept""", True),
+)
 def dedupe_articles(spark, sf):
     rows = matched(spark, sf).withColumn(
         "fingerprint", A.fingerprint(F.col("title"), F.col("description"))

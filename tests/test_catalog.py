@@ -16,8 +16,7 @@ def test_twin(spark, name):
 
 
 @pytest.mark.parametrize(
-    "name", ["dedupe_articles", "fit_temperature", "fuzzy_name_match", "injury_loss_fuzzy",
-             "isotonic_fit", "net_batch_score"],
+    "name", ["fit_temperature", "fuzzy_name_match", "injury_loss_fuzzy", "net_batch_score"],
 )
 def test_rows_only(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
