@@ -222,6 +222,33 @@ def mean_metrics(spark, sf):
     )
 
 
+def _mean(name, sql, value):
+    """Register the mean of one row metric over the whole table."""
+
+    @query(
+        name,
+        twin(MATCHES, CELLS + MARKETS + "," + RPS + f"""
+        select count(*) as n, round(avg({sql}), 6) as {name} from nll"""),
+    )
+    def mean(spark, sf):
+        return scored(spark, sf).agg(F.count("*").alias("n"), F.round(F.avg(value()), 6).alias(name))
+
+    return mean
+
+
+mean_rps = _mean(
+    "mean_rps", "rps", lambda: M.rps(F.col("prob_home"), F.col("prob_draw"), outcome())
+)
+mean_nll = _mean(
+    "mean_nll", "nll",
+    lambda: G.scoreline_nll(F.col("grid"), F.col("home_score"), F.col("away_score")),
+)
+mean_brier = _mean(
+    "mean_brier", "pow(home_win - case when outcome = 0 then 1 else 0 end, 2)",
+    lambda: M.brier(F.col("prob_home"), outcome() == 0),
+)
+
+
 @query(
     "weighted_nll",
     twin(MATCHES, CELLS + MARKETS + "," + RPS + """

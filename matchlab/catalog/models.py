@@ -140,12 +140,29 @@ def column_means(spark, sf):
     return df.select(*[F.round(c, 6).alias(c) for c in SOME])
 
 
-@query("gbt_fit_predict")
-def gbt_fit_predict(spark, sf):
-    # A short ensemble; the library's own default is 300 trees.
+def tree_model(spark, sf, trees):
+    """A short ensemble (the library's own default is 300 trees) and its validation rows."""
     matches = contextual(spark, sf, form=C.AGGREGATE_LENGTH)
     train, val = K.train_val_split(matches)
-    model = T.fit(train, trees=10, step=0.2)
+    return T.fit(train, trees=trees, step=0.2), val
+
+
+@query("gbt_fit")
+def gbt_fit(spark, sf):
+    """Importance of every feature in both fitted regressions."""
+    model, _ = tree_model(spark, sf, 3)
+    rows = [
+        (name, float(h), float(a))
+        for name, h, a in zip(
+            T.FEATURES, model.home.featureImportances.toArray(), model.away.featureImportances.toArray()
+        )
+    ]
+    return spark.createDataFrame(rows, "feature string, home_importance double, away_importance double")
+
+
+@query("gbt_predict")
+def gbt_predict(spark, sf):
+    model, val = tree_model(spark, sf, 10)
     return model.predict(val).select(
         "match_id", "lambda_home", "lambda_away", "prob_home", "prob_draw", "prob_away"
     )
