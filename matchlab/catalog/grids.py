@@ -61,7 +61,7 @@ def rounded(df, *columns):
     select match_id, g as goals, p as prob from pmf"""),
 )
 def poisson_pmf(spark, sf):
-    pmf = G.poisson_pmf(F.col("lambda_home"))
+    pmf = G.poisson_pmf("lambda_home")
     rows = view(spark, sf, "tb_params").select("match_id", F.posexplode(pmf))
     return rows.select(
         "match_id", F.col("pos").cast("bigint").alias("goals"), F.round("col", 6).alias("prob")

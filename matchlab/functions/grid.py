@@ -1,7 +1,7 @@
 """Joint score distribution and the market probabilities read off it.
 
 The distribution is an ``array<double>`` of 64 cells, row-major
-(``k = 8 * home + away``).  Cells, sums and markets are written out as plain
+(``k = 8 * home + away``).  Cells, sums and markets are written out as plain SQL
 arithmetic over columns rather than as lambdas over arrays, so that they run in
 generated code; each step is its own projection, so that no step is computed
 twice.
@@ -10,8 +10,6 @@ twice.
 from __future__ import annotations
 
 import math
-from functools import reduce
-from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,22 +28,32 @@ MARKETS = [
 ]
 
 
-def _total(columns: list[Column]) -> Column:
-    return reduce(add, columns) if columns else F.lit(0.0)
+def _sum(terms: list[str]) -> str:
+    return " + ".join(terms) if terms else "0.0D"
 
 
-def _cell(grid: Column, i: int, j: int) -> Column:
-    return grid[SIZE * i + j]
+def _quoted(columns: list[str]) -> list[str]:
+    return [f"`{c}`" for c in columns]
 
 
-def _poisson(rate: Column, goals: int) -> Column:
-    power = reduce(lambda a, b: a * b, [rate] * goals, F.lit(1.0))
-    return F.exp(-rate) * power / F.lit(float(math.factorial(goals)))
+def _cells(grid: str, wanted, weight=None) -> str:
+    """Sum of the cells for which ``wanted(home, away)`` holds, as SQL text."""
+    terms = []
+    for i, j in CELLS:
+        if wanted(i, j):
+            factor = "" if weight is None else f"{float(weight(i, j))}D * "
+            terms.append(f"{factor}`{grid}`[{SIZE * i + j}]")
+    return _sum(terms)
 
 
-def poisson_pmf(rate: Column) -> Column:
-    """``array<double>`` of P(k goals), k = 0..7, for one scoring rate."""
-    return F.array(*[_poisson(rate, k) for k in range(SIZE)])
+def _poisson(rate: str, goals: int) -> str:
+    power = " * ".join([rate] * goals)
+    return f"exp(-{rate}) * {power or '1.0D'} / {math.factorial(goals)}.0D"
+
+
+def poisson_pmf(rate: str) -> Column:
+    """``array<double>`` of P(k goals), k = 0..7, for the scoring rate in a column."""
+    return F.expr("array(" + ", ".join(_poisson(f"`{rate}`", k) for k in range(SIZE)) + ")")
 
 
 def with_score_grid(
@@ -56,92 +64,85 @@ def with_score_grid(
     out: str = "grid",
 ) -> DataFrame:
     """Add the normalised 64-cell distribution built from the two rates and rho."""
-    home, away, low = F.col(lambda_home), F.col(lambda_away), F.col(rho)
-    kept = [c for c in df.columns if c != out]
+    home, away, low = _quoted([lambda_home, lambda_away, rho])
+    kept = _quoted([c for c in df.columns if c != out])
     # Plain columns, not arrays: the optimizer would inline array items into every cell.
-    pmf = df.select(
+    pmf = df.selectExpr(
         *kept,
-        *[_poisson(home, k).alias(f"_h{k}") for k in range(SIZE)],
-        *[_poisson(away, k).alias(f"_a{k}") for k in range(SIZE)],
+        *[f"{_poisson(home, k)} as _h{k}" for k in range(SIZE)],
+        *[f"{_poisson(away, k)} as _a{k}" for k in range(SIZE)],
     )
-    ph = [F.col(f"_h{k}") for k in range(SIZE)]
-    pa = [F.col(f"_a{k}") for k in range(SIZE)]
     # Low scores are dependent: four cells carry a correction factor.
     factor = {
-        (0, 0): 1.0 - home * away * low,
-        (1, 0): 1.0 + away * low,
-        (0, 1): 1.0 + home * low,
-        (1, 1): 1.0 - low,
+        (0, 0): f"(1.0D - {home} * {away} * {low})",
+        (1, 0): f"(1.0D + {away} * {low})",
+        (0, 1): f"(1.0D + {home} * {low})",
+        (1, 1): f"(1.0D - {low})",
     }
-    independent = _total(ph) * _total(pa)
-    shift = _total([ph[i] * pa[j] * (f - 1.0) for (i, j), f in factor.items()])
-    mass = pmf.withColumn("_mass", independent + shift)
+    independent = [f"({_sum([f'_{s}{k}' for k in range(SIZE)])})" for s in "ha"]
+    shift = _sum([f"_h{i} * _a{j} * ({f} - 1.0D)" for (i, j), f in factor.items()])
+    mass = pmf.selectExpr("*", f"{' * '.join(independent)} + {shift} as _mass")
     cells = [
-        (ph[i] * pa[j] * factor[i, j] if (i, j) in factor else ph[i] * pa[j]) / F.col("_mass")
+        " * ".join([f"_h{i}", f"_a{j}", *([factor[i, j]] if (i, j) in factor else [])]) + " / _mass"
         for i, j in CELLS
     ]
-    return mass.select(*kept, F.array(*cells).alias(out))
+    return mass.selectExpr(*kept, f"array({', '.join(cells)}) as `{out}`")
 
 
 def with_markets(df: DataFrame, grid: str = "grid", out: str = "markets") -> DataFrame:
     """Add a struct of the 23 market probabilities, all sums over one grid."""
-    g = F.col(grid)
-    kept = [c for c in df.columns if c != out]
-    by_margin = [
-        _total([_cell(g, i, j) for i, j in CELLS if i - j == d]).alias(f"_d{d + MAX_GOALS}")
+    kept = _quoted([c for c in df.columns if c != out])
+    margins = [
+        f"{_cells(grid, lambda i, j, d=d: i - j == d)} as _d{d + MAX_GOALS}"
         for d in range(-MAX_GOALS, SIZE)
     ]
-    by_goals = [
-        _total([_cell(g, i, j) for i, j in CELLS if i + j == t]).alias(f"_t{t}") for t in range(5)
-    ]
-    blank = _total([_cell(g, i, j) for i, j in CELLS if i == 0 or j == 0]).alias("_blank")
-    summed = df.select(*kept, *by_margin, *by_goals, blank)
+    totals = [f"{_cells(grid, lambda i, j, t=t: i + j == t)} as _t{t}" for t in range(5)]
+    blank = f"{_cells(grid, lambda i, j: i == 0 or j == 0)} as _blank"
+    summed = df.selectExpr(*kept, *margins, *totals, blank)
 
-    def margin(low: int, high: int) -> Column:
-        return _total([F.col(f"_d{d + MAX_GOALS}") for d in range(low, high + 1)])
+    def margin(low: int, high: int) -> str:
+        return _sum([f"_d{d + MAX_GOALS}" for d in range(low, high + 1)])
 
-    base = summed.select(
+    base = summed.selectExpr(
         *kept,
-        margin(1, 7).alias("_home"), F.col("_d7").alias("_draw"), margin(-7, -1).alias("_away"),
-        margin(2, 7).alias("_by2"), F.col("_d8").alias("_by1"),
-        margin(-1, 7).alias("_not2"), F.col("_d6").alias("_lose1"),
-        *[_total([F.col(f"_t{t}") for t in range(n + 1)]).alias(f"_u{n}") for n in range(5)],
-        F.col("_blank"),
+        f"{margin(1, 7)} as _home", f"{margin(0, 0)} as _draw", f"{margin(-7, -1)} as _away",
+        f"{margin(2, 7)} as _by2", f"{margin(1, 1)} as _by1",
+        f"{margin(-1, 7)} as _not2", f"{margin(-1, -1)} as _lose1",
+        *[f"{_sum([f'_t{t}' for t in range(n + 1)])} as _u{n}" for n in range(5)],
+        "_blank",
     )
-    home, draw, away = F.col("_home"), F.col("_draw"), F.col("_away")
     values = {
-        "home_win": home, "draw": draw, "away_win": away,
-        "btts_yes": 1.0 - F.col("_blank"), "btts_no": F.col("_blank"),
-        "ah_home_m1_5": F.col("_by2"), "ah_home_m0_5": home,
-        "ah_home_p0_5": home + draw, "ah_home_p1_5": F.col("_not2"),
-        "ah_home_m1_win": F.col("_by2"), "ah_home_m1_push": F.col("_by1"),
-        "ah_home_p1_win": home + draw, "ah_home_p1_push": F.col("_lose1"),
+        "home_win": "_home", "draw": "_draw", "away_win": "_away",
+        "btts_yes": "1.0D - _blank", "btts_no": "_blank",
+        "ah_home_m1_5": "_by2", "ah_home_m0_5": "_home",
+        "ah_home_p0_5": "_home + _draw", "ah_home_p1_5": "_not2",
+        "ah_home_m1_win": "_by2", "ah_home_m1_push": "_by1",
+        "ah_home_p1_win": "_home + _draw", "ah_home_p1_push": "_lose1",
     }
     for n in range(5):
-        values[f"under_{n}_5"] = F.col(f"_u{n}")
-        values[f"over_{n}_5"] = 1.0 - F.col(f"_u{n}")
-    return base.select(*kept, F.struct(*[values[m].alias(m) for m in MARKETS]).alias(out))
+        values[f"under_{n}_5"] = f"_u{n}"
+        values[f"over_{n}_5"] = f"1.0D - _u{n}"
+    fields = ", ".join(f"'{m}', {values[m]}" for m in MARKETS)
+    return base.selectExpr(*kept, f"named_struct({fields}) as `{out}`")
 
 
 def with_outcome_probs(df: DataFrame, grid: str = "grid") -> DataFrame:
     """Add prob_home, prob_draw, prob_away only."""
-    g = F.col(grid)
     return df.withColumns(
         {
-            "prob_home": _total([_cell(g, i, j) for i, j in CELLS if i > j]),
-            "prob_draw": _total([_cell(g, i, j) for i, j in CELLS if i == j]),
-            "prob_away": _total([_cell(g, i, j) for i, j in CELLS if i < j]),
+            "prob_home": F.expr(_cells(grid, lambda i, j: i > j)),
+            "prob_draw": F.expr(_cells(grid, lambda i, j: i == j)),
+            "prob_away": F.expr(_cells(grid, lambda i, j: i < j)),
         }
     )
 
 
 def with_expected_goals(df: DataFrame, grid: str = "grid") -> DataFrame:
     """Add expected_home and expected_away, the means of the two marginals."""
-    g = F.col(grid)
     return df.withColumns(
         {
-            "expected_home": _total([float(i) * _cell(g, i, j) for i, j in CELLS if i]),
-            "expected_away": _total([float(j) * _cell(g, i, j) for i, j in CELLS if j]),
+            "expected_home": F.expr(_cells(grid, lambda i, j: i, lambda i, j: i)),
+            "expected_away": F.expr(_cells(grid, lambda i, j: j, lambda i, j: j)),
         }
     )
 

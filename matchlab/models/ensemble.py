@@ -49,10 +49,10 @@ def ensemble_grid(
     parts = [p.select(*keys, F.col("grid").alias(f"_g{i}")) for i, p in enumerate(predictions)]
     joined = reduce(lambda a, b: a.join(b, keys), parts)
     cells = [
-        reduce(lambda a, b: a + b, [F.lit(w) * F.col(f"_g{i}")[k] for i, w in enumerate(weights)])
+        " + ".join(f"{float(w)}D * _g{i}[{k}]" for i, w in enumerate(weights))
         for k in range(len(CELLS))
     ]
-    mean = joined.select(*keys, F.array(*cells).alias("grid"))
+    mean = joined.select(*keys, F.expr(f"array({', '.join(cells)})").alias("grid"))
     out = with_expected_goals(with_outcome_probs(mean))
     return out.withColumns(
         {
