@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from matchlab.llm.near_dups import near_duplicates
 from matchlab.llm.packing import pack
 from matchlab.llm.token_files import read_tokens, write_tokens
 from matchlab.session import scratch_path
@@ -42,3 +43,37 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "cost"
     )
+
+
+_query_twin = TWINS.__setitem__
+
+_query_twin(
+    "op9_near_duplicates",
+    r"""
+    with recursive w as (
+      select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+    s as (
+      select distinct doc_id, unnest(case when len(ws) = 0 then [] when len(ws) < 5 then [array_to_string(ws, ' ')]
+        else list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) end) as sh from w),
+    n as (select doc_id, count(*) as n from s group by doc_id),
+    p as (
+      select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.sh = b.sh and a.doc_id < b.doc_id
+      group by all),
+    e as (
+      select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 75 * (x.n + y.n - c)),
+    both_ways as (select a, b from e union all select b, a from e),
+    r as (
+      select doc_id as node, doc_id as seen from documents
+      union
+      select r.node, both_ways.b from r join both_ways on r.seen = both_ways.a)
+    select d.doc_id, coalesce(n.n, 0) as n_shingles, min(r.seen) as component_id, d.doc_id = min(r.seen) as kept
+    from documents d left join n on n.doc_id = d.doc_id join r on r.node = d.doc_id group by d.doc_id, n.n
+    """,
+)
+
+
+@_query
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's number of shingles and its component of near duplicates."""
+    return near_duplicates(_table(spark, sf_dir, "documents"))
