@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from matchlab.llm.near_dups import near_duplicates
 from matchlab.llm.packing import pack
+from matchlab.llm.repeats import remove_repeats
 from matchlab.llm.token_files import read_tokens, write_tokens
 from matchlab.session import scratch_path
 
@@ -77,3 +78,30 @@ _query_twin(
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's number of shingles and its component of near duplicates."""
     return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+_query_twin(
+    "op10_repeats",
+    r"""
+    with w as (
+      select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+    g as (
+      select doc_id, unnest(range(1, len(ws) - 11)) as i, ws from w),
+    k as (select doc_id, i, array_to_string(ws[i:i + 12], ' ') as run from g),
+    dup as (
+      select doc_id, i from k qualify doc_id > min(doc_id) over (partition by run)),
+    gone as (
+      select distinct doc_id, i + j as i from dup, (select unnest(range(0, 13)) as j)),
+    lost as (select doc_id, list(i) as gone from gone group by doc_id)
+    select w.doc_id, len(ws) as n_words, coalesce(len(gone), 0) as n_removed,
+      sha256(array_to_string(list_filter(ws, lambda x, i: not list_contains(coalesce(gone, []), i)), ' ')) as kept_sha256
+    from w left join lost using (doc_id)
+    """,
+)
+
+
+@_query
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words, removed words and digest of what is left."""
+    left = remove_repeats(_table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
