@@ -78,9 +78,10 @@ def _alike_in_size(x: str, y: str, percent: int) -> F.Column:
 def _rest_pairs(open_rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs of different components among ``open_rows`` (id, component).
 
-    Two sets that reach the similarity share one of the shingles that come first in
-    each when shingles are ordered from rare to frequent, and no set needs more than
-    its first ``n - ceil(percent * n / 100) + 1``. Rare shingles first keeps apart
+    Shingles are ordered from rare to frequent. Two sets that reach the similarity
+    share ``P / (100 + P)`` of both sizes added; so their first common shingle lies
+    among the first quarter of the larger one and the first seventh of the smaller one
+    (at 75), and enough shingles follow it in both. Rare shingles first keeps apart
     documents that only have a frequent passage in common.
     """
     rows = sets.join(open_rows, "id")
@@ -100,14 +101,19 @@ def _rest_pairs(open_rows: DataFrame, sets: DataFrame, percent: int) -> DataFram
         spread.join(often, "shingle", "left")
         .withColumn("rank", F.row_number().over(order))
         .where(f"rank <= n - ceil({percent} * n / 100D) + 1 and often is not null")
-        .select("shingle", "id", "component", "n")
+        .select("shingle", "id", "component", "n", "rank")
     )
     mixed = first.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
     first = durable(first.join(mixed.select("shingle"), "shingle"))
-    other = first.select("shingle", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"))
+    small = first.where(f"rank <= n - ceil({2 * percent} * n / {100 + percent}D) + 1")
+    large = first.select("shingle", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("rank").alias("rb"))
+    fits = F.expr(
+        "component != cb and (n < nb or n = nb and id < b)"
+        f" and {100 + percent} * (least(n - rank, nb - rb) + 1) >= {percent} * (n + nb)"
+    )
     return (
-        first.join(other, "shingle").where(F.expr("id < b and component != cb") & _alike_in_size("n", "nb", percent))
-        .select(F.col("id").alias("a"), "b").distinct()
+        small.join(large, (small["shingle"] == large["shingle"]) & fits & _alike_in_size("n", "nb", percent))
+        .select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
     )
 
 
