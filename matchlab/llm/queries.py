@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from matchlab.llm.near_dups import near_duplicates
 from matchlab.llm.packing import pack
 from matchlab.llm.repeats import remove_repeats
+from matchlab.llm.secrets import BASE_RULES, RULES, findings, scan
 from matchlab.llm.token_files import read_tokens, write_tokens
 from matchlab.session import scratch_path
 
@@ -105,3 +106,52 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's words, removed words and digest of what is left."""
     left = remove_repeats(_table(spark, sf_dir, "documents"))
     return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def _spans_sql(rule) -> str:
+    """(doc_id, rank, kind, s, e) of a rule's matches, as DuckDB SQL."""
+    pattern = rule.pattern.replace("'", "''")
+    rank = RULES.index(rule)
+
+    def parts(group: int) -> str:
+        return f"regexp_extract_all(t, '((?s:.*?))({pattern})', {group})"
+
+    return f"""
+    select doc_id, {rank} as rank, '{rule.kind}' as kind, s, s + length(hit) as e from (
+      select doc_id, hit, val, sum(length(gap) + length(hit)) over (partition by doc_id order by i) - length(hit) as s
+      from (select doc_id, unnest({parts(1)}) as gap, unnest({parts(2)}) as hit, unnest({parts(2 + rule.value)}) as val,
+        unnest(range(len({parts(1)}))) as i from d where regexp_matches(t, '{pattern}')))
+    where length(val) >= {rule.least}
+    """
+
+
+_query_twin(
+    "op6_secrets",
+    f"""
+    with d as (select doc_id, coalesce(text, '') as t from documents),
+    h as ({" union all ".join(map(_spans_sql, RULES))}),
+    j as (
+      select doc_id, {", ".join(f"count(*) filter (kind = '{r.kind}') as n_{r.kind}" for r in BASE_RULES)},
+        string_agg(kind || ':' || cast(s as bigint) || ':' || cast(e as bigint), ',' order by s, rank) filter (rank < 3) as base,
+        string_agg(kind || ':' || cast(s as bigint) || ':' || cast(e as bigint), ',' order by s, rank) as spans
+      from h group by doc_id)
+    select doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) as n_{r.kind}" for r in BASE_RULES)},
+      sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+    from d left join j using (doc_id)
+    """,
+)
+
+
+@_query
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's secrets, found through a fresh ledger."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    ledger = scan(docs, scratch_path(spark, "ledger"))
+    found = findings(docs, ledger)
+    told = lambda some: F.array_join(F.transform(some, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    of = lambda *kinds: F.filter("secrets", lambda s: s["kind"].isin(*kinds))
+    kinds = [r.kind for r in BASE_RULES]
+    return found.select(
+        "doc_id", *(F.size(of(k)).cast("long").alias(f"n_{k}") for k in kinds),
+        F.sha2(told(of(*kinds)), 256).alias("base_sha256"), told(F.col("secrets")).alias("spans"),
+    )
