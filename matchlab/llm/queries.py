@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from matchlab.llm.lm_scoring import fit, score
 from matchlab.llm.near_dups import near_duplicates
 from matchlab.llm.packing import pack
 from matchlab.llm.repeats import remove_repeats
@@ -155,3 +156,15 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *(F.size(of(k)).cast("long").alias(f"n_{k}") for k in kinds),
         F.sha2(told(of(*kinds)), 256).alias("base_sha256"), told(F.col("secrets")).alias("spans"),
     )
+
+
+@_query
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document under the model learnt from four fifths of them."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1, F.lit(False))
+    model = fit(docs.where(~held_out), scratch_path(spark, "bigrams"))
+    return score(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"),
+        "base_score", "score",
+    )
