@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from matchlab.llm.lm_scoring import fit, score
 from matchlab.llm.near_dups import near_duplicates
 from matchlab.llm.packing import pack
+from matchlab.llm.quality import judge
 from matchlab.llm.repeats import remove_repeats
 from matchlab.llm.secrets import BASE_RULES, RULES, findings, scan
 from matchlab.llm.token_files import read_tokens, write_tokens
@@ -168,3 +169,12 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"),
         "base_score", "score",
     )
+
+
+@_query
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's counts and verdict."""
+    judged = judge(_table(spark, sf_dir, "documents"), scratch_path(spark, "spelling"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_perplexity"
+    )
