@@ -47,7 +47,7 @@ class _Writer:
 
     def __init__(self, stream, frame_tokens: int):
         self.stream, self.size = stream, frame_tokens
-        self.packer = zstandard.ZstdCompressor(level=3)
+        self.packer = zstandard.ZstdCompressor(level=1)
         self.wait: list[np.ndarray] = []
         self.waiting = 0
         self.table: list[tuple[int, int, int]] = []

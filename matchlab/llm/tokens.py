@@ -17,7 +17,7 @@ import pyarrow as pa
 from matchlab.llm.words import _SEPARATOR, text_buffers
 
 CHUNK_BYTES = 6 << 20
-KEPT_PIECES = 600_000
+KEPT_PIECES = 800_000
 
 # White space, then characters that no other kind of white space starts with.
 _PLAIN = re.compile(rb"[ \t-\r]+[\x00-\x08\x0e-\x1f\x21-\xc1\xc3-\xe0\xe4-\xff]+")
@@ -44,27 +44,43 @@ class Encoder:
         self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, number in vocabulary.items():
             self.bytes_of[number] = len(token)
-        self.pieces: dict[bytes, bytes] = {}
+        # Pieces met lately, and those met before them; a piece met again moves up.
+        self.fresh: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def _ids(self, distinct: list[bytes]) -> list[bytes]:
+        """The ids of each piece as little-endian bytes."""
+        if len(self.fresh) > KEPT_PIECES // 2:
+            self.older, self.fresh = self.fresh, {}
+        fresh, older = self.fresh, self.older
+        unknown = []
+        for piece in distinct:
+            if piece not in fresh:
+                known = older.get(piece)
+                if known is None:
+                    unknown.append(piece)
+                else:
+                    fresh[piece] = known
+        self._learn(unknown)
+        return [fresh[p] for p in distinct]
 
     def _learn(self, pieces: list[bytes]) -> None:
-        if len(self.pieces) + len(pieces) > KEPT_PIECES:
-            self.pieces.clear()
         plain = [p for p in pieces if _PLAIN.fullmatch(p)]
         for at in range(0, len(plain), 512):
             # Plain pieces follow each other as in a text; the ids' lengths show where each ends.
             some = plain[at : at + 512]
-            ids = np.array(self.tokenizer.encode(b"".join(some).decode(), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast([b"".join(some).decode()], add_special_tokens=False)[0].ids, "<u4")
             ends = np.cumsum(self.bytes_of[ids])
-            stops = np.searchsorted(ends, np.cumsum([len(p) for p in some])) + 1
-            start = 0
+            stops = 4 * (np.searchsorted(ends, np.cumsum(np.fromiter(map(len, some), np.int64, len(some)))) + 1)
+            raw, start = ids.tobytes(), 0
             for piece, stop in zip(some, stops.tolist()):
-                self.pieces[piece] = ids[start:stop].tobytes()
+                self.fresh[piece] = raw[start:stop]
                 start = stop
-        others = [p for p in pieces if p not in self.pieces]
+        others = [p for p in pieces if p not in self.fresh]
         for at in range(0, len(others), 256):
             some = others[at : at + 256]
             for piece, e in zip(some, self.tokenizer.encode_batch_fast([p.decode() for p in some], add_special_tokens=False)):
-                self.pieces[piece] = np.array(e.ids, "<u4").tobytes()
+                self.fresh[piece] = np.array(e.ids, "<u4").tobytes()
 
     def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets): text i has ids[offsets[i]:offsets[i + 1]].
@@ -96,11 +112,7 @@ class Encoder:
             pa.binary(), len(at), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))]
         ).dictionary_encode()
         distinct = pieces.dictionary.to_pylist()
-        unknown = [p for p in distinct if p not in self.pieces]
-        if len(self.pieces) + len(unknown) > KEPT_PIECES:
-            unknown = distinct
-        self._learn(unknown)
-        coded = [self.pieces[p] for p in distinct]
+        coded = self._ids(distinct)
         sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
         flat = np.frombuffer(b"".join(coded), "<u4")
         which = pieces.indices.to_numpy()
