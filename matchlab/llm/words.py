@@ -108,11 +108,21 @@ class Words:
         return mix(raw + (self.end - self.start).astype(np.uint64))
 
 
-def cut(texts: pa.Array, lower: bool = False) -> Words:
-    """Cut a column into words; ``lower`` turns A-Z into a-z first."""
+_PLAIN = _LOWER.copy()
+_PLAIN[[b for b in range(128) if not chr(b).isalnum()]] = 0x20
+
+
+def cut(texts: pa.Array, lower: bool = False, plain: bool = False) -> Words:
+    """Cut a column into words; ``lower`` turns A-Z into a-z first.
+
+    ``plain`` lowers all letters and also cuts at every ASCII character that is no
+    letter or digit.
+    """
+    if plain:
+        texts = pc.utf8_lower(texts)
     data, offsets = text_buffers(texts)
-    if lower:
-        data = _LOWER[data]
+    if lower or plain:
+        data = (_PLAIN if plain else _LOWER)[data]
     apart = _SEPARATOR[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
