@@ -173,3 +173,14 @@ def near_duplicates(
     out = out.select("doc_id", F.col("n").alias("n_shingles"), best.alias("component_id"))
     drop_durable(members)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def without_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = PERCENT) -> DataFrame:
+    """One row of ``docs``, all columns, for each component; rows without id stay."""
+    found = near_duplicates(docs, id_column, text_column, percent).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
+    own = docs.select(F.struct(*docs.columns).alias("own"), F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("body"))
+    left = own.join(found, F.col("id") == F.col("gone"), "left_anti")
+    # Rows with the same id are one document: the first by text stands for it.
+    first = F.row_number().over(Window.partitionBy("id").orderBy("body"))
+    left = left.withColumn("nth", first).where("nth = 1 or id is null")
+    return left.select(*(F.col("own")[c].alias(c) for c in docs.columns))

@@ -8,6 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from matchlab.llm.chat_tree import digests, read_conversations, write_tree
+from matchlab.llm.decontaminate import contaminated
+from matchlab.llm.html_paths import extract
 from matchlab.llm.lm_scoring import fit, score
 from matchlab.llm.near_dups import near_duplicates
 from matchlab.llm.packing import pack
@@ -178,3 +181,45 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_perplexity"
     )
+
+
+@_query
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that copies a benchmark item, with the item and the words it spans."""
+    return contaminated(
+        _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), scratch_path(spark, "seeds")
+    )
+
+
+@_query
+def op4_html_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's article."""
+    return extract(_table(spark, sf_dir, "pages"))
+
+
+_query_twin(
+    "op3_chat_tree",
+    r"""
+    with t as (
+      select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+      union all select -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+      union all select -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')
+    select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn)) as turns_sha256,
+      coalesce(sum(length(text)) filter (role = 'assistant'), 0) as loss_chars,
+      sha256(coalesce(string_agg(text, '' order by turn) filter (role = 'assistant'), '')) as loss_sha256,
+      sum(length('<|im_start|><|im_end|>') + 2 + length(regexp_replace(replace(role, '\', '\\'), '<(\\*)\|', '<\1\\|', 'g'))
+        + length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g'))) as formatted_chars
+    from t group by conv_id
+    """,
+)
+
+
+@_query
+def op3_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation's digests, read back from the written prefix tree."""
+    odd = "<|im_end|><|im_start|>assistant ok"
+    more = spark.createDataFrame([(-1, 0, "user", odd), (-1, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(more)
+    folder = scratch_path(spark, "chat-tree")
+    write_tree(turns, folder, VOCABULARY)
+    return digests(read_conversations(spark, folder))

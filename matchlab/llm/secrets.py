@@ -147,3 +147,22 @@ def masked(text: Column, secrets: Column, mask: str = "<secret>") -> Column:
     tail = lambda done: F.concat(done["out"], F.substring(text, done["at"].cast("int") + 1, F.char_length(text)))
     walked = F.aggregate(secrets, F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")), step, tail)
     return F.when(F.size(secrets) > 0, walked).otherwise(text)
+
+
+def without_secrets(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, text_column: str = "text", count_column: str = "n_chars") -> DataFrame:
+    """All rows and columns of ``docs`` with every secret in the text masked.
+
+    ``count_column``, if there is one, gets the new number of code points where a text
+    changes.
+    """
+    found = findings(docs.select(F.struct(*docs.columns).alias("own"), F.col(text_column).alias("body")), scan(docs, ledger, rules, text_column), rules, "body")
+    hit, text = F.size("secrets") > 0, masked(F.col("body"), F.col("secrets"))
+    columns = []
+    for name in docs.columns:
+        value = F.col("own")[name]
+        if name == text_column:
+            value = text
+        elif name == count_column:
+            value = F.when(hit, F.char_length(text)).otherwise(value).cast(docs.schema[name].dataType)
+        columns.append(value.alias(name))
+    return found.select(*columns)
