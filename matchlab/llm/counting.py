@@ -22,9 +22,9 @@ FLUSH_KEYS = 4_000_000
 
 
 def shard_bits(spark: SparkSession) -> int:
-    """Bits for four times as many shards as shuffle partitions."""
+    """Bits for at least as many shards as shuffle partitions."""
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(4, math.ceil(math.log2(max(1, 2 * partitions))))
+    return max(4, math.ceil(math.log2(max(1, partitions))))
 
 
 def _squeeze(values: np.ndarray) -> bytes:

@@ -120,6 +120,8 @@ def fit(docs: DataFrame, folder: str, text_column: str = "text") -> Bigrams:
     """
     rows = docs.select(F.col(text_column).alias("text"))
     bits = shard_bits(docs.sparkSession)
+    # Every shard of pairs tells every group of word shards; few groups keep that small.
+    coarse = min(bits, bits // 2 + 2)
     vocabulary, base, tokens = _word_counts(rows, folder, bits)
     distinct = int(base[-1])
 
@@ -149,7 +151,7 @@ def fit(docs: DataFrame, folder: str, text_column: str = "text") -> Bigrams:
             np.concatenate([l_ids, r_ids]),
             [np.concatenate([c, none[: len(r_ids)]]) for c in l_sums] + [np.concatenate([none[: len(l_ids)], r_sums[0]])],
         )
-        sent = blobs(_hashes(vocabulary, base, both[0].astype(np.int64)), both[1], bits).to_pandas()
+        sent = blobs(_hashes(vocabulary, base, both[0].astype(np.int64)), both[1], coarse).to_pandas()
         for k in range(1, 5):
             sent[f"c{k}"] = 0
             sent.loc[0, f"c{k}"] = int(np.count_nonzero(counts == k))
@@ -160,13 +162,16 @@ def fit(docs: DataFrame, folder: str, text_column: str = "text") -> Bigrams:
     of_pairs = sums.agg(*(F.sum(f"c{k}") for k in range(1, 5))).first()
     words = HashArrays(f"{folder}/words", bits, {"count": "<i8", "id": "<i8", **dict.fromkeys(_STATS, "<i8")})
 
-    def store_words(shard, keys, columns):
-        known, counted = vocabulary.shard(shard)
-        if not np.array_equal(known, keys):
-            raise ValueError("a word of the vocabulary is missing from the pairs")
-        own = dict(zip(_STATS, columns))
-        words.write(shard, keys, {"count": counted["count"], "id": base[shard] + np.arange(len(keys)), **own})
-        before = own["before"]
+    def store_words(group, keys, columns):
+        low, high = group << (bits - coarse), (group + 1) << (bits - coarse)
+        edges = np.searchsorted(shard_of(keys, bits), np.arange(low, high + 1))
+        for shard, a, b in zip(range(low, high), edges, edges[1:]):
+            known, counted = vocabulary.shard(shard)
+            if not np.array_equal(known, keys[a:b]):
+                raise ValueError("a word of the vocabulary is missing from the pairs")
+            own = {name: c[a:b] for name, c in zip(_STATS, columns)}
+            words.write(shard, keys[a:b], {"count": counted["count"], "id": base[shard] + np.arange(b - a), **own})
+        before = columns[_STATS.index("before")]
         return pd.DataFrame({f"c{k}": [int(np.count_nonzero(before == k))] for k in range(1, 5)} | {"c5": [int(np.count_nonzero(before > 2))], "kinds": [int(before.sum())]})
 
     of_words = by_shard(sums.select("shard", "payload"), store_words, "c1 long, c2 long, c3 long, c4 long, c5 long, kinds long")
