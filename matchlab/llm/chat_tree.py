@@ -57,32 +57,62 @@ def turn_of(formatted: str) -> tuple[str, str]:
     return role, unescape(text)
 
 
-def _paths(turns: DataFrame) -> DataFrame:
-    """(conv_id, turn_no, path, formatted, loss_start, loss_end): path is the node ids down to the turn."""
+def _nodes_of(turns: DataFrame) -> DataFrame:
+    """(conv_id, turn_no, node, parent, formatted, loss_start, loss_end), streamed turn by turn."""
     rows = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, path = object(), []
+        current, node, n = object(), None, 0
         for part in chunks(batches, "text"):
             out = []
             for conv, role, text in zip(*(part.column(c).to_pylist() for c in ("conv_id", "role", "text"))):
                 if conv != current:
-                    current, path = conv, []
-                role, text = role or "", text or ""
-                node = hashlib.sha256(b"%b%d:" % (path[-1] if path else b"", len(role.encode())) + (role + text).encode())
-                path.append(node.digest()[:16])
+                    current, node, n = conv, None, 0
+                body = b"%b%d:" % (node or b"", len(role.encode())) + (role + text).encode()
+                parent, node = node, hashlib.sha256(body).digest()[:16]
                 formatted, start, end = segment(role, text)
                 graded = role == ASSISTANT
-                out.append((conv, len(path) - 1, list(path), formatted, start if graded else 0, end if graded else 0))
+                out.append((conv, n, node, parent, formatted, start if graded else 0, end if graded else 0))
+                n += 1
+            types = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.string(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.list_(pa.binary()), pa.string(), pa.int64(), pa.int64()))],
-                ["conv_id", "turn_no", "path", "formatted", "loss_start", "loss_end"],
+                [pa.array(c, t) for c, t in zip(zip(*out), types)],
+                ["conv_id", "turn_no", "node", "parent", "formatted", "loss_start", "loss_end"],
             )
 
-    return rows.mapInArrow(task, "conv_id long, turn_no long, path array<binary>, formatted string, loss_start long, loss_end long")
+    return rows.mapInArrow(task, "conv_id long, turn_no long, node binary, parent binary, formatted string, loss_start long, loss_end long")
+
+
+def _places(rows: DataFrame) -> DataFrame:
+    """(node, heads, nth) from (conv_id, turn_no, node, head): a node's place in the tree.
+
+    A run of nodes without a branch is a chain. ``heads`` are the first nodes of the
+    chains down to the node's own, ``nth`` its place in that; so a conversation of many
+    turns needs no list of them.
+    """
+    rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn_no")
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, heads, nth = object(), [], 0
+        for batch in batches:
+            out = []
+            for conv, node, head in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "node", "head"))):
+                if conv != current:
+                    current, heads = conv, []
+                heads, nth = ([*heads, node], 0) if head else (heads, nth + 1)
+                out.append((node, heads, nth))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(zip(*out), (pa.binary(), pa.list_(pa.binary()), pa.int64()))], ["node", "heads", "nth"]
+            )
+
+    return rows.select("conv_id", "turn_no", "node", "head").mapInArrow(task, "node binary, heads array<binary>, nth long").dropDuplicates(["node"])
 
 
 def _tokens(nodes: DataFrame, vocabulary: str) -> DataFrame:
+    nodes_schema = (
+        "node binary, parent binary, heads array<binary>, nth long, formatted string, loss_start long, loss_end long, length long, ids binary"
+    )
+
     def task(batches):
         for part in chunks(batches, "formatted"):
             ids, offsets = encoder(vocabulary).encode(part.column("formatted"))
@@ -90,7 +120,7 @@ def _tokens(nodes: DataFrame, vocabulary: str) -> DataFrame:
             body = pa.array([raw[a:b] for a, b in zip(at, at[1:])], pa.binary())
             yield part.append_column("length", pa.array(np.diff(offsets))).append_column("ids", body)
 
-    return nodes.mapInArrow(task, "path array<binary>, formatted string, loss_start long, loss_end long, length long, ids binary")
+    return nodes.mapInArrow(task, nodes_schema)
 
 
 def write_tree(
@@ -101,39 +131,45 @@ def write_tree(
 
     Turns are ordered by turn number, ties by role and text; repeated turns stay. A null
     role or text is empty; turns without conversation id are one conversation. Extra
-    columns are ignored; an empty table writes empty tables. A conversation is streamed
-    turn by turn; its node ids are kept with each turn, 16 bytes for every turn before.
+    columns are ignored; an empty table writes empty tables. Conversations are streamed
+    turn by turn. Intervals are one for each chain above a node, since a chain lies
+    together in the line, so their number grows with the branches and not the turns.
     """
     rows = turns.select(
         F.col(conv_column).cast("long").alias("conv_id"), F.col(turn_column).alias("turn"),
         F.coalesce(F.col(role_column), F.lit("")).alias("role"), F.coalesce(F.col(text_column), F.lit("")).alias("text"),
     )
-    paths = durable(_paths(rows))
-    node = F.element_at("path", -1).alias("node")
-    paths.select("conv_id", "turn_no", node).write.parquet(f"{folder}/turns")
-    kept = ("path", "formatted", "loss_start", "loss_end")
-    # Arrays compare element by element and a prefix comes first: path order is depth first.
-    distinct = paths.withColumn("node", node).dropDuplicates(["node"]).select(*kept)
-    ranged = _tokens(distinct.repartitionByRange("path").sortWithinPartitions("path"), vocabulary).withColumn("part", F.spark_partition_id())
-    nodes = durable(ranged)
+    taken = durable(_nodes_of(rows))
+    taken.select("conv_id", "turn_no", "node").write.parquet(f"{folder}/turns")
+    distinct = durable(taken.drop("conv_id", "turn_no").dropDuplicates(["node"]))
+    branches = distinct.groupBy("parent").agg(F.count("*").alias("n")).where("n > 1 and parent is not null").select(F.col("parent").alias("branch"))
+    heads = distinct.join(branches, F.col("parent") == F.col("branch"), "left").select("node", F.expr("parent is null or branch is not null").alias("head"))
+    places = _places(taken.select("conv_id", "turn_no", "node").join(heads, "node"))
+    # Arrays compare element by element and a prefix comes first: this order is depth first.
+    ranged = distinct.join(places, "node").select("node", "parent", "heads", "nth", "formatted", "loss_start", "loss_end")
+    ranged = durable(ranged).repartitionByRange("heads", "nth").sortWithinPartitions("heads", "nth")
+    nodes = durable(_tokens(ranged, vocabulary).withColumn("part", F.spark_partition_id()))
     parts = nodes.groupBy("part").agg(F.sum("length").alias("size"))
     base = parts.select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("base"))
-    within = Window.partitionBy("part").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("part").orderBy("heads", "nth").rowsBetween(Window.unboundedPreceding, -1)
     line = durable(
         nodes.withColumn("before", F.coalesce(F.sum("length").over(within), F.lit(0))).join(base, "part")
-        .select(node, *kept, "length", "ids", (F.col("base") + F.col("before")).alias("start"))
+        .withColumn("start", F.col("base") + F.col("before")).withColumn("chain", F.element_at("heads", -1)).drop("part", "base", "before")
     )
-    up = line.select("node", F.explode(F.slice("path", 1, F.size("path") - 1)).alias("above")).join(
-        line.select(F.col("node").alias("above"), "start", (F.col("start") + F.col("length")).alias("end")), "above"
+    chains = line.groupBy("chain").agg(F.min("start").alias("from"), F.max(F.col("start") + F.col("length")).alias("to"), F.first("heads").alias("heads"))
+    chains = durable(chains)
+    up = chains.select("chain", F.explode(F.slice("heads", 1, F.size("heads") - 1)).alias("above")).join(
+        chains.select(F.col("chain").alias("above"), F.col("from").alias("start"), F.col("to").alias("end")), "above"
     )
-    up = up.groupBy("node").agg(
-        F.sort_array(F.collect_list(F.struct("start", "end"))).alias("ancestors"), F.sum(F.col("end") - F.col("start")).alias("position")
+    up = up.groupBy("chain").agg(
+        F.sort_array(F.collect_list(F.struct("start", "end"))).alias("above"), F.sum(F.col("end") - F.col("start")).alias("over")
     )
-    line.join(up, "node", "left").select(
-        "node", F.try_element_at("path", F.lit(-2)).alias("parent"), (F.size("path") - 1).alias("depth"), "start", "length",
-        F.coalesce("position", F.lit(0)).alias("position"),
-        F.coalesce("ancestors", F.array().cast("array<struct<start:bigint,end:bigint>>")).alias("ancestors"),
-        "formatted", "loss_start", "loss_end", "ids",
+    whole = chains.select("chain", "from").join(up, "chain", "left")
+    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
+    own = F.when(F.col("nth") > 0, F.array(F.struct(F.col("from").alias("start"), F.col("start").alias("end")))).otherwise(none)
+    line.join(whole, "chain").select(
+        "node", "parent", "chain", "nth", "start", "length", (F.coalesce("over", F.lit(0)) + F.col("start") - F.col("from")).alias("position"),
+        F.concat(F.coalesce("above", none), own).alias("ancestors"), "formatted", "loss_start", "loss_end", "ids",
     ).write.parquet(f"{folder}/nodes")
 
 

@@ -52,17 +52,25 @@ def test_layout(spark, folder):
     for r in line:
         assert r.start == end and len(r.ids) == 4 * r.length
         end += r.length
-    open_ends = {}
+    last = {}
     for r in line:
-        above, up = [], r.parent and bytes(r.parent)
+        above, up, depth = [], r.parent and bytes(r.parent), 0
         while up:
             above.append((nodes[up].start, nodes[up].start + nodes[up].length))
-            up = nodes[up].parent and bytes(nodes[up].parent)
-        assert [tuple(a) for a in r.ancestors] == sorted(above) and r.position == sum(b - a for a, b in above) and r.depth == len(above)
+            up, depth = nodes[up].parent and bytes(nodes[up].parent), depth + 1
+        assert {x for a, b in above for x in range(a, b)} == {x for a, b in r.ancestors for x in range(a, b)}
+        assert r.position == sum(b - a for a, b in above) == sum(b - a for a, b in r.ancestors)
         # Depth first: nobody comes between a node and what is below it but its descendants.
-        open_ends = {k: v for k, v in open_ends.items() if k < r.depth}
-        assert r.depth == 0 or open_ends[r.depth - 1] == bytes(r.parent)
-        open_ends[r.depth] = bytes(r.node)
+        last = {k: v for k, v in last.items() if k < depth}
+        assert depth == 0 or last[depth - 1] == bytes(r.parent)
+        last[depth] = bytes(r.node)
+
+
+def test_long_conversation_needs_few_intervals(spark, folder):
+    rows = [(c, t, "user", f"t{t}" if t < 900 or c < 2 else f"t{t} of {c}") for c in range(3) for t in range(1000)]
+    chat_tree.write_tree(_turns(spark, rows), folder, VOCABULARY)
+    nodes = spark.read.parquet(f"{folder}/nodes")
+    assert nodes.count() == 1100 and nodes.selectExpr("max(size(ancestors)) as n").first().n == 2
 
 
 def test_empty(spark, folder):
