@@ -111,9 +111,13 @@ def kickoff_utc(day: Column, time: Column) -> Column:
 def iso_to_utc(raw: Column) -> Column:
     """ISO-8601 text with or without an offset to a naive UTC timestamp; null if unreadable.
 
-    The session time zone must be UTC.
+    The same in any session time zone: a text with an offset is an instant, one
+    without is taken as UTC.
     """
-    return F.try_to_timestamp(raw).cast("timestamp_ntz")
+    instant = F.unix_micros(F.try_to_timestamp(raw))
+    utc = F.timestamp_add("MICROSECOND", instant, F.lit("1970-01-01").cast("timestamp_ntz"))
+    zoned = raw.rlike(r"(?i)\d:\d\d.*(z|utc|gmt|[+-]\d{1,2}(:?\d\d)?)\s*$")
+    return F.when(zoned, utc).otherwise(raw.try_cast("timestamp_ntz"))
 
 
 def strip_code_fence(text: Column) -> Column:

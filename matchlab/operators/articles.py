@@ -74,19 +74,21 @@ def team_article_match(
 
 def fingerprint(title: Column, description: Column) -> Column:
     """First characters of title and description, lower case: same article, other address."""
-    return F.lower(F.substring(F.concat(title, description), 1, C.FINGERPRINT_CHARS))
+    parts = F.concat(F.coalesce(title, F.lit("")), F.coalesce(description, F.lit("")))
+    return F.lower(F.substring(parts, 1, C.FINGERPRINT_CHARS))
 
 
 def dedupe_articles(matched: DataFrame) -> DataFrame:
     """Keep an article of a team unless an earlier kept one has its link or fingerprint.
 
-    ``matched`` has team, pos, link, fingerprint (and more); rows without a link
-    are dropped.  Copies of a (link, fingerprint) pair fall together in a
+    ``matched`` has team, pos, link, fingerprint (and more); rows without a link,
+    team or place are dropped, a missing fingerprint is an empty one.  Copies of a (link, fingerprint) pair fall together in a
     map-side aggregate.  Then rounds of aggregates decide the rest: an article
     that is the earliest of both its link and its fingerprint is kept, and those
     it shadows are dropped, until none is open.
     """
-    rows = matched.filter(F.coalesce("link", F.lit("")) != "")
+    rows = matched.filter((F.coalesce("link", F.lit("")) != "") & F.col("team").isNotNull() & F.col("pos").isNotNull())
+    rows = rows.withColumn("fingerprint", F.coalesce("fingerprint", F.lit("")))
     keys = rows.groupBy("team", "link", "fingerprint").agg(F.min("pos").alias("pos"))
     open_rows, kept = durable(keys), None
     while True:
@@ -103,7 +105,8 @@ def dedupe_articles(matched: DataFrame) -> DataFrame:
         )
         if open_rows.isEmpty():
             break
-    return rows.join(kept.select("team", "pos"), ["team", "pos"], "left_semi")
+    named = ["team", "pos", "link", "fingerprint"]
+    return rows.join(kept.select(*named), named, "left_semi")
 
 
 def top_articles(articles: DataFrame, n: int = C.TEAM_ARTICLES) -> DataFrame:

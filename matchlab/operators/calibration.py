@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchlab import constants as C
+from matchlab.session import drop_durable, durable
 
 
 def bin_index(prob: Column, bins: int = C.CALIBRATION_BINS) -> Column:
@@ -55,16 +56,17 @@ def _nll_at(probs: list[str], label: str, temperature: float) -> Column:
 
 
 def fit_temperature(
-    df: DataFrame, probs: list[str], label: str, points: int = 12, rounds: int = 6
+    df: DataFrame, probs: list[str], label: str, points: int = 12, width: float = 1e-4
 ) -> float:
     """Temperature in (0.01, 10) with the least mean NLL.
 
     The loss has one valley in log-temperature.  Each round is one aggregate
     over the table that evaluates all candidates, and keeps the bracket round
-    the best of them.
+    the best of them, until the bracket is narrower than ``width``, relatively.
     """
+    df = durable(df.select(*probs, label))
     low, high = C.TEMPERATURE_RANGE
-    for _ in range(rounds):
+    while high / low > 1 + width:
         ratio = (high / low) ** (1.0 / (points - 1))
         candidates = [low * ratio**i for i in range(points)]
         losses = df.agg(
@@ -72,6 +74,7 @@ def fit_temperature(
         ).first()
         best = min(range(points), key=lambda i: losses[i])
         low, high = candidates[max(best - 1, 0)], candidates[min(best + 1, points - 1)]
+    drop_durable(df)
     return (low * high) ** 0.5
 
 

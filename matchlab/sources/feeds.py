@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -82,11 +81,11 @@ def normalise_fixtures_flat(payload: DataFrame, column: str = "payload") -> Data
 
 
 def source_fallback(sources: list[DataFrame]) -> DataFrame:
-    """Rows of the first source, in order of preference, that has any."""
-    tagged = [df.withColumn("_priority", F.lit(i)) for i, df in enumerate(sources)]
-    rows = reduce(lambda a, b: a.unionByName(b), tagged)
-    best = rows.select(F.min("_priority")).scalar()
-    return rows.filter(F.col("_priority") == best).drop("_priority")
+    """Rows of the first source, in order of preference, that has any.
+
+    A source is only probed for one row, and only the one that is taken is read.
+    """
+    return next((df for df in sources if not df.isEmpty()), sources[-1])
 
 
 def event_best_odds(payload: DataFrame, column: str = "payload") -> DataFrame:
