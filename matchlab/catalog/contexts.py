@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from matchlab.catalog.registry import query
@@ -13,6 +14,7 @@ from matchlab.operators import folds as D
 from matchlab.operators import scores as S
 from matchlab.operators import squads as Q
 from matchlab.operators import timeline as T
+from matchlab.session import durable
 
 # A schedule: one fixture per customer, named by nations, kickoffs in June and July 2026.
 SCHEDULE = """
@@ -352,19 +354,21 @@ def inject_completed(spark, sf):
 @query(
     "chronological_sort",
     twin("tb_matches", """
-    select match_id, match_date, lag(match_id) over (order by match_date, match_id) as previous
-    from tb_matches order by match_date desc, match_id desc limit 50"""),
+    select match_id, match_date, row_number() over (order by match_date, match_id) - 1 as place
+    from tb_matches"""),
 )
 def chronological_sort(spark, sf):
-    """The end of the sorted table with each row's predecessor."""
-    tail = K.chronological(view(spark, sf, "tb_matches")).select("match_id", "match_date")
-    last = tail.orderBy(F.desc("match_date"), F.desc("match_id")).limit(51)
-    from pyspark.sql import Window
-
-    # 51 rows: a top list, not the table.
-    order = Window.partitionBy(F.lit(1)).orderBy("match_date", "match_id")
-    ranked = last.withColumn("previous", F.lag("match_id").over(order))
-    return ranked.filter("previous is not null").select("match_id", "match_date", "previous")
+    """Every row's place in the sorted table, read off the written parts of the sort."""
+    ordered = K.chronological(view(spark, sf, "tb_matches")).select("match_id", "match_date")
+    at = durable(ordered.withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33).alias("_part")
+    # One row for each part of the sort.
+    sizes = at.groupBy(part).agg(F.count("*").alias("_n"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    placed = at.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+    within = F.col("_at").bitwiseAND((1 << 33) - 1)
+    return placed.select("match_id", "match_date", (F.col("_before") + within).alias("place"))
 
 
 LATE = """
@@ -452,7 +456,7 @@ standard as (select c_name as player_name, c_mktsegment as club, c_custkey as po
     cast(c_custkey % 5 as double) as assists from customer),
 shooting as (select c_name as player_name, c_mktsegment as club, cast(count(*) as double) / 4 as xg,
     cast(count(*) as double) / 5 as npxg, sum(o_totalprice) / 1000000 as xa
-  from orders join customer on c_custkey = o_custkey where o_orderpriority = '1-URGENT' group by 1, 2),
+  from orders join customer on c_custkey = o_custkey group by 1, 2),
 stats as (select s.*, coalesce(xg, 0) as xg, coalesce(npxg, 0) as npxg, coalesce(xa, 0) as xa,
     greatest(minutes, 1) / 90 as nineties from standard s left join shooting using (player_name, club))
 """
@@ -469,7 +473,7 @@ def player_stats(spark, sf):
         (key % 5).cast("double").alias("assists"),
     )
     shooting = (
-        table(spark, sf, "orders").filter("o_orderpriority = '1-URGENT'")
+        table(spark, sf, "orders")
         .join(c, F.col("o_custkey") == key)
         .groupBy(F.col("c_name").alias("player_name"), F.col("c_mktsegment").alias("club"))
         .agg(
@@ -581,10 +585,9 @@ def injury_loss(spark, sf):
 @query(
     "absence_list",
     twin("tb_squads", """
-    select team, pos // 4096 as block, string_agg(player_name, ',' order by pos) as players
-    from tb_squads where caps % 5 = 0 group by team, pos // 4096"""),
+    select team, row_number() over (partition by team order by pos) - 1 as place, player_name
+    from tb_squads where caps % 5 = 0"""),
 )
 def absence_list(spark, sf):
     absent = view(spark, sf, "tb_squads").filter(F.col("caps") % 5 == 0)
-    df = Q.absence_list(absent.select("team", "player_name", "pos"))
-    return df.select("team", "block", F.array_join("players", ",").alias("players"))
+    return Q.absence_list(absent.select("team", "player_name", "pos"))

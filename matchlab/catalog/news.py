@@ -47,10 +47,10 @@ BODY = r"""
 paras as (select page_id, list_transform(regexp_extract_all(html, '(?s)<p[^>]*>(.*?)</p>', 1), lambda p:
     trim(regexp_replace(replace(replace(replace(replace(regexp_replace(p, '<[^>]+>', ' ', 'g'), '&quot;', '"'),
       '&middot;', '·'), '&copy;', '©'), '&amp;', '&'), '[\s\x0b\x{85}\p{Z}]+', ' ', 'g'))) as ps from pages),
-bodies as (select page_id, substring(array_to_string(list_filter(ps, lambda p: length(p) >= 60
+bodies as (select page_id, array_to_string(list_filter(ps, lambda p: length(p) >= 60
     and not starts_with(p, 'BBC') and not starts_with(lower(p), 'play ')
     and not regexp_matches(lower(p), 'cookie|subscribe|close dialogue|toggle caption|document\.addeventlistener|veggieburger|print subscriptions|search jobs')),
-    ' '), 1, 8000) as body from paras)
+    ' ') as body from paras)
 """
 
 
@@ -93,7 +93,7 @@ def body_or_summary(spark, sf):
 @query(
     "dedupe_articles",
     twin("tb_articles", MATCHED + """,
-    seq as (select team, pos, link, lower(substring(concat(title, description), 1, 120)) as mark,
+    seq as (select team, pos, link, lower(concat(title, description)) as mark,
       row_number() over (partition by team order by pos) as rn from matched where link <> ''),
     walk as (
       select distinct team, 0::bigint as rn, null::bigint as pos, null::varchar as link, false as kept,

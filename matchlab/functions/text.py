@@ -136,8 +136,8 @@ def clean_html(text: Column, entities: bool = True) -> Column:
     return F.trim(F.regexp_replace(plain, SPACES, " "))
 
 
-def article_body(html_text: Column, max_chars: int | None = C.ARTICLE_MAX_CHARS) -> Column:
-    """Readable paragraphs of a page joined by spaces.
+def article_body(html_text: Column, max_chars: int | None = None) -> Column:
+    """Readable paragraphs of a page joined by spaces, whole unless ``max_chars`` is given.
 
     Paragraphs are split by the same ``<p>`` pattern everywhere.  Entities are
     decoded in one pass over the joined page rather than per paragraph: a

@@ -254,7 +254,7 @@ def fit(
     alphabetical order; scalars: by, log_gamma, rho.  Attack and defence (with
     the home factor and rho) are improved in turn, one aggregate over the
     pairings each, until no slope, relative to its expected goals, exceeds
-    ``tolerance``.
+    ``tolerance``.  Raises when ``max_sweeps`` are not enough.
     """
     by = list(by)
     stats = durable(stats)
@@ -267,6 +267,8 @@ def fit(
             worst = max(worst, state.agg(F.max("gap")).first()[0] or 0.0)
         if worst < tolerance:
             break
+    else:
+        raise RuntimeError(f"not converged after {max_sweeps} sweeps: the largest relative slope is {worst:.2g}")
     teams, scalars = _parts(state, by)
     first = teams.groupBy(*by).agg(F.min_by("attack", "team").alias("_ref"))
     if by:

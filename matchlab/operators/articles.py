@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,15 +13,27 @@ from matchlab.functions import text as X
 from matchlab.functions.once import with_once
 from matchlab.session import durable
 
-MAX_TERMS = 5000
+TERMS_A_PASS = 2000
 
 
 def _terms(terms: Mapping[str, tuple[str, ...]]) -> list[tuple[str, list[str]]]:
-    if sum(len(t) for t in terms.values()) > MAX_TERMS:
-        raise ValueError(f"more than {MAX_TERMS} search terms: they are part of the plan")
     return [(team, [t.lower() for t in words]) for team, words in terms.items()]
 
 
+def _by_passes(
+    terms: Mapping[str, tuple[str, ...]], rows: Callable[[list[tuple[str, list[str]]]], DataFrame]
+) -> DataFrame:
+    """Rows of all teams: terms are part of the plan, so long lists go through it in several passes."""
+    passes, size = [[]], 0
+    for team, words in _terms(terms):
+        if passes[-1] and size + len(words) > TERMS_A_PASS:
+            passes.append([])
+            size = 0
+        passes[-1].append((team, words))
+        size += len(words)
+    return reduce(DataFrame.union, map(rows, passes))
+
+
 def _teams_where(flags: list[tuple[str, Column]]) -> Column:
     """Array of the team names whose condition holds."""
     return F.array_compact(F.array(*[F.when(flag, F.lit(team)) for team, flag in flags]))
@@ -40,10 +53,13 @@ def team_article_match(
 
     A team's term in the title is enough; otherwise its terms must occur at
     least twice in the plain description (overlapping terms count each).  Terms
-    are literals evaluated in one pass over the articles; rows appear only for
-    hits.
+    are literals evaluated in one pass over the articles for every
+    ``TERMS_A_PASS`` of them; rows appear only for hits.
     """
-    listed = _terms(terms)
+    return _by_passes(terms, lambda listed: _hits(articles, listed))
+
+
+def _hits(articles: DataFrame, listed: list[tuple[str, list[str]]]) -> DataFrame:
     rows = articles.withColumns(
         {"_title": F.lower("title"), "_plain": F.lower(X.clean_html(F.col("description")))}
     )
@@ -72,10 +88,15 @@ def team_article_match(
     )
 
 
-def fingerprint(title: Column, description: Column) -> Column:
-    """First characters of title and description, lower case: same article, other address."""
+def fingerprint(title: Column, description: Column, max_chars: int | None = None) -> Column:
+    """Digest of title and description in lower case: same article, other address.
+
+    With ``max_chars`` only their first characters decide.
+    """
     parts = F.concat(F.coalesce(title, F.lit("")), F.coalesce(description, F.lit("")))
-    return F.lower(F.substring(parts, 1, C.FINGERPRINT_CHARS))
+    if max_chars is not None:
+        parts = F.substring(parts, 1, max_chars)
+    return F.sha2(F.lower(parts), 256)
 
 
 def dedupe_articles(matched: DataFrame) -> DataFrame:
@@ -163,20 +184,26 @@ def match_report_filter(
     articles: DataFrame,
     terms: Mapping[str, tuple[str, ...]] = C.SEARCH_TERMS,
     days: int = C.REPORT_WINDOW_DAYS,
+    max_chars: int | None = None,
 ) -> DataFrame:
     """Reports of a team's matches: published within ``days``, team in the title, body not empty.
 
+    Bodies stay whole unless ``max_chars`` is given.
+
     ``team_matches`` has team, match_id, match_date; ``articles`` title, url,
     published (timestamp), body_html.  An article names the few match dates it
     can belong to, so matches and articles meet by equality.
     """
-    flags = [(t, _any_term(F.lower("title"), words)) for t, words in _terms(terms)]
+
+    def titled(listed):
+        flags = [(t, _any_term(F.lower("title"), words)) for t, words in listed]
+        return articles.withColumn("team", F.explode(_teams_where(flags)))
+
     day = F.to_date("published")
-    rows = (
-        articles.withColumn("team", F.explode(_teams_where(flags)))
-        .withColumn("_body", F.substring(X.clean_html(F.col("body_html")), 1, C.ARTICLE_MAX_CHARS))
-        .drop("body_html")
-    )
+    body = X.clean_html(F.col("body_html"))
+    if max_chars is not None:
+        body = F.substring(body, 1, max_chars)
+    rows = _by_passes(terms, titled).withColumn("_body", body).drop("body_html")
     rows = (
         with_once(rows, "body", F.col("_body"))
         .drop("_body")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchlab import constants as C
@@ -151,17 +151,24 @@ def injury_loss(matched: DataFrame, squads: DataFrame) -> DataFrame:
     return size.join(hits, "team", "left").select("team", bounded.alias("loss"))
 
 
-def absence_list(absent: DataFrame, width: int = 4096) -> DataFrame:
-    """(team, block, players): absent players per team in feed order, each once.
+NUMBERING_STRETCH = 4096
 
-    A block covers ``width`` feed positions, so no list outgrows it; a team whose
-    absences lie within one stretch of the feed has a single block 0.
+
+def absence_list(absent: DataFrame) -> DataFrame:
+    """(team, place, player_name): absent players per team in feed order from 0, each once.
+
+    A place is the count of the team's players in earlier stretches of the feed plus
+    the rank within the stretch, so no sort holds more than one stretch of a team;
+    the places do not depend on the stretches.
     """
     first = absent.groupBy("team", "player_name").agg(F.min("pos").alias("pos"))
-    start = F.floor(F.col("pos") / width)
-    listed = F.sort_array(F.collect_list(F.struct("pos", "player_name")))
-    return (
-        first.groupBy("team", start.alias("block"))
-        .agg(listed.alias("_l"))
-        .select("team", "block", F.transform("_l", lambda s: s["player_name"]).alias("players"))
+    rows = first.withColumn("_stretch", F.floor(F.col("pos") / NUMBERING_STRETCH))
+    earlier = Window.partitionBy("team").orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("team", "_stretch").agg(F.count("*").alias("_n"))
+    before = counts.select(
+        "team", "_stretch", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")
+    )
+    within = F.row_number().over(Window.partitionBy("team", "_stretch").orderBy("pos", "player_name"))
+    return rows.withColumn("_rank", within).join(before, ["team", "_stretch"]).select(
+        "team", (F.col("_before") + F.col("_rank") - 1).alias("place"), "player_name"
     )

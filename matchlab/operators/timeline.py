@@ -58,26 +58,31 @@ def _days(matches: DataFrame, n: int) -> DataFrame:
     return kept.groupBy("team", "match_date").agg(F.sort_array(F.collect_list(item)).alias("day"))
 
 
-def team_days(matches: DataFrame, n: int | None = None) -> DataFrame:
-    """(team, match_date, first_match, gap) and, with ``n``, (history).
+def team_days(matches: DataFrame, n: int | None = None, rest: bool = True) -> DataFrame:
+    """(team, match_date), with ``rest`` also (first_match, gap) and with ``n`` (history).
 
     ``gap`` counts days since the team's previous playing date; ``history`` holds
     its last n matches strictly before the date.  Both come from one ordering of
     the team-days: n preceding team-days always hold the n preceding matches.
     """
-    days = _side_rows(matches).groupBy("team", "match_date").agg(
-        F.min("match_id").alias("first_match")
-    )
-    if n is not None:
-        # Both aggregates are spread by team and date already: no further shuffle.
-        days = days.join(_days(matches, n), ["team", "match_date"])
+    history = None if n is None else _days(matches, n)
+    if rest or history is None:
+        days = _side_rows(matches).groupBy("team", "match_date").agg(
+            F.min("match_id").alias("first_match")
+        )
+        if history is not None:
+            # Both aggregates are spread by team and date already: no further shuffle.
+            days = days.join(history, ["team", "match_date"])
+    else:
+        days = history
     order = Window.partitionBy("team").orderBy("match_date")
-    columns = {"gap": F.datediff("match_date", F.lag("match_date").over(order)).cast("double")}
+    columns: dict[str, Column] = {}
+    if rest:
+        gap = F.datediff("match_date", F.lag("match_date").over(order)).cast("double")
+        columns |= {"first_match": F.col("first_match"), "gap": gap}
     if n is not None:
         columns["history"] = _last(n, F.collect_list("day").over(order.rowsBetween(-n, -1)))
-    return days.select(
-        "team", "match_date", "first_match", *[c.alias(name) for name, c in columns.items()]
-    )
+    return days.select("team", "match_date", *[c.alias(name) for name, c in columns.items()])
 
 
 def with_team_days(
@@ -93,7 +98,7 @@ def with_team_days(
     x 5 values.  A team never meets itself.
     """
     n = max(form or 0, sequence or 0) or None
-    days = team_days(matches, n)
+    days = team_days(matches, n, rest)
     columns: dict[str, Column] = {}
     if rest:
         columns |= {"_first": F.col("first_match"), "_gap": F.col("gap")}

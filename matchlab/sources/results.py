@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from matchlab.operators.context import chronological
 from matchlab.operators.scores import extra_time_correction
 
 RESULT_COLUMNS = (
@@ -41,17 +40,21 @@ def scan_goalscorers(spark: SparkSession, path: str) -> DataFrame:
 def load_results(
     spark: SparkSession, path: str, goalscorers: str | None = None
 ) -> DataFrame:
-    """Typed results in date order; rows without both scores are dropped.
+    """Typed results; rows without both scores are dropped.
 
     With a goal-event file, scores that include extra time are set back to
-    regulation time.  ``match_id`` is the file's own, else the place in the file.
+    regulation time.  ``match_id`` is the file's own, else a hash of date and teams
+    and of the rank among rows that share them, the same however the file is split.
+    Sort with ``operators.context.chronological`` where the order of rows matters.
     """
     raw = _read_strings(spark, path)
-    ident = (
-        F.col("match_id").cast("bigint")
-        if "match_id" in raw.columns
-        else F.monotonically_increasing_id()
-    )
+    if "match_id" in raw.columns:
+        ident = F.col("match_id").cast("bigint")
+    else:
+        match = ["date", "home_team", "away_team"]
+        rest = sorted(c for c in raw.columns if c not in match)
+        same = F.row_number().over(Window.partitionBy(*match).orderBy(*rest))
+        ident = F.xxhash64(*match, same)
     rows = raw.withColumn("match_id", ident).select(
         "match_id",
         F.to_date("date").alias("match_date"), "home_team", "away_team",
@@ -60,7 +63,7 @@ def load_results(
     ).na.drop(subset=["home_score", "away_score"])
     if goalscorers is not None:
         rows = extra_time_correction(rows, scan_goalscorers(spark, goalscorers))
-    return chronological(rows.select("match_id", *RESULT_COLUMNS))
+    return rows.select("match_id", *RESULT_COLUMNS)
 
 
 def save_cache(df: DataFrame, path: str, partition_by: str | None = "year") -> None:

@@ -103,12 +103,11 @@ def test_injury_loss_by_caps_and_by_heads(spark):
     assert out == {"A": 0.3, "B": 1.0, "C": 0.0}
 
 
-def test_absence_blocks_keep_feed_order_and_every_player(spark):
-    rows = [("A", f"p{i % 700}", i) for i in range(1000)]
+def test_absences_keep_feed_order_and_every_player(spark):
+    rows = [("A", f"p{i % 700}", 31 * i) for i in range(1000)] + [("B", "q", 9000), ("B", "p0", 2)]
     df = spark.createDataFrame(rows, "team string, player_name string, pos bigint")
-    blocks = Q.absence_list(df, width=64).orderBy("block").collect()
-    assert max(len(b["players"]) for b in blocks) <= 64
-    assert [p for b in blocks for p in b["players"]] == [f"p{i}" for i in range(700)]
+    places = sorted(tuple(r) for r in Q.absence_list(df).select("team", "place", "player_name").collect())
+    assert places == [("A", i, f"p{i}") for i in range(700)] + [("B", 0, "p0"), ("B", 1, "q")]
 
 
 def test_upcoming_window_and_due_notices(spark):

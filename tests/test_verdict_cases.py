@@ -3,9 +3,12 @@
 import pytest
 from pyspark.sql import functions as F
 
+from helpers import MATCH_SCHEMA, random_matches
 from matchlab.functions import text as X
+from matchlab.models import goal_rates as G
 from matchlab.operators import articles as A
 from matchlab.operators.components import connected_components
+from matchlab.sources.results import load_results
 
 
 def test_dedupe_ends_on_nulls_and_repeated_places(spark):
@@ -16,8 +19,46 @@ def test_dedupe_ends_on_nulls_and_repeated_places(spark):
     df = spark.createDataFrame(rows, "team string, pos int, link string, fingerprint string")
     kept = sorted((r.pos, r.link) for r in A.dedupe_articles(df).collect())
     assert kept[0] == (1, "a") and kept[-1] == (4, "d") and len(kept) <= 4
-    prints = spark.createDataFrame([("T", None), (None, None)], "t string, d string").select(A.fingerprint(F.col("t"), F.col("d")).alias("f"))
-    assert [r.f for r in prints.collect()] == ["t", ""]
+
+
+def test_fingerprint_reads_whole_texts(spark):
+    rows = [("T", None), (None, None), ("x" * 200, "a"), ("X" * 200, "A"), ("x" * 200, "b")]
+    df = spark.createDataFrame(rows, "t string, d string")
+    whole, start = (
+        [r.f for r in df.select(A.fingerprint(F.col("t"), F.col("d"), n).alias("f")).collect()] for n in (None, 120)
+    )
+    assert None not in whole
+    assert len(set(whole)) == 4 and whole[2] == whole[3] != whole[4]
+    assert start[2] == start[3] == start[4]
+
+
+def test_many_terms_take_several_passes(spark, monkeypatch):
+    rows = [(1, "alpha beats gamma", "x"), (2, "none", "beta and Beta"), (3, "delta", "")]
+    df = spark.createDataFrame(rows, "pos int, title string, description string")
+    terms = {"A": ("alpha",), "B": ("beta", "bet"), "C": ("gamma",), "D": ("delta",)}
+    found = lambda: sorted(map(tuple, A.team_article_match(df, terms).select("pos", "team", "in_title").collect()))
+    whole = found()
+    monkeypatch.setattr(A, "TERMS_A_PASS", 1)
+    assert found() == whole == [(1, "A", True), (1, "C", True), (2, "B", False), (3, "D", True)]
+    assert A.team_article_match(df, {}).count() == 0
+
+
+def test_fit_says_when_it_has_not_converged(spark):
+    rows = random_matches(60, teams=4, seed=5)
+    df = spark.createDataFrame(rows, MATCH_SCHEMA)
+    with pytest.raises(RuntimeError, match="not converged"):
+        G.fit(G.sufficient_stats(df), max_sweeps=1, tolerance=1e-9)
+
+
+def test_ids_of_results_do_not_depend_on_the_splits(spark, tmp_path):
+    head = "date,home_team,away_team,home_score,away_score,tournament,city,country,neutral"
+    lines = [f"2000-01-{1 + i % 9:02d},A{i % 3},B,{i % 2},1,Cup,X,Y,FALSE" for i in range(40)]
+    ids = []
+    for name, some in (("one", lines), ("other", lines[::-1])):
+        path = tmp_path / f"{name}.csv"
+        path.write_text("\n".join([head, *some]))
+        ids.append(sorted(tuple(r) for r in load_results(spark, str(path)).select("match_id", "match_date", "home_team", "home_score").collect()))
+    assert ids[0] == ids[1] and len({r[0] for r in ids[0]}) == 40
 
 
 @pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
