@@ -211,10 +211,8 @@ def scorer_events(spark, sf):
 
 
 def quality(spark, sf):
-    goals = Q.career_goals(scorer_events(spark, sf), ascii_only=True)
-    return Q.squad_quality(
-        squads(spark, sf), goals, top_clubs=("BUILDING", "MACHINERY"), ascii_only=True
-    )
+    goals = Q.career_goals(scorer_events(spark, sf))
+    return Q.squad_quality(squads(spark, sf), goals, top_clubs=("BUILDING", "MACHINERY"))
 
 
 @query(
@@ -223,7 +221,7 @@ def quality(spark, sf):
     select lower(trim(scorer)) as name, count(*) as goals from tb_goals where not own_goal group by 1"""),
 )
 def career_goals(spark, sf):
-    return Q.career_goals(view(spark, sf, "tb_goals"), ascii_only=True)
+    return Q.career_goals(view(spark, sf, "tb_goals"))
 
 
 @query(
@@ -522,7 +520,7 @@ def roster_stats(spark, sf):
     )
     roster = view(spark, sf, "tb_squads").withColumn("player_name", listed)
     stats = player_stats(spark, sf).withColumn("pos", F.lit(0))
-    return Q.squad_stats_join(roster.select("team", "player_name", "club"), stats, ascii_only=True)
+    return Q.squad_stats_join(roster.select("team", "player_name", "club"), stats)
 
 
 @query(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from matchlab.catalog.grids import CELLS, MARKETS, grids, scored
-from matchlab.catalog.prices import BETS, VIEWS, priced
+from matchlab.catalog.prices import BETS, VIEWS
 from matchlab.catalog.registry import query
 from matchlab.catalog.views import table, twin, view
 from matchlab.functions import grid as G
@@ -14,6 +14,7 @@ from matchlab.models import ensemble as E
 from matchlab.operators import bets as B
 from matchlab.operators import calibration as L
 from matchlab.operators import folds as D
+from matchlab.operators import odds as O
 
 # No month of the table starts on a day past the 28th, so plain month steps agree.
 FOLDS = """
@@ -113,13 +114,14 @@ perfold as (select fold_idx, count(*) as n_matches, avg(rps) as rps, avg(nll) as
 
 
 def scored_folds(spark, sf):
-    df = B.with_returns(B.with_selection(priced(spark, sf)))
+    # Rows outside all folds are dropped before any grid is built for them.
+    rows = D.validation_rows(view(spark, sf, "tb_matches"), folds(spark, sf))
+    rated = G.with_outcome_probs(G.with_score_grid(rows.join(view(spark, sf, "tb_params"), "match_id")))
+    prices = O.best_quotes(view(spark, sf, "tb_quotes"))
+    df = B.with_returns(B.with_selection(rated.join(prices, "match_id", "left")))
     outcome = M.outcome_class(F.col("home_score"), F.col("away_score"))
     nll = G.scoreline_nll(F.col("grid"), F.col("home_score"), F.col("away_score"))
-    df = df.withColumns(
-        {"rps": M.rps(F.col("prob_home"), F.col("prob_draw"), outcome), "nll": nll}
-    )
-    return D.validation_rows(df, folds(spark, sf))
+    return df.withColumns({"rps": M.rps(F.col("prob_home"), F.col("prob_draw"), outcome), "nll": nll})
 
 
 def rounded(df, first):
@@ -208,14 +210,24 @@ def temperature_scale(spark, sf):
     return df.select("match_id", *[F.round(c, 6).alias(n) for n, c in zip(names, scaled)])
 
 
-@query("fit_temperature")
+@query(
+    "fit_temperature",
+    twin("tb_matches tb_params", CELLS + MARKETS + """,
+    z as (select ln(greatest(home_win, 1e-10)) as h, ln(greatest(draw, 1e-10)) as d, ln(greatest(away_win, 1e-10)) as a,
+        case when home_score > away_score then ln(greatest(home_win, 1e-10))
+          when home_score = away_score then ln(greatest(draw, 1e-10)) else ln(greatest(away_win, 1e-10)) end as c
+      from tb_matches join markets using (match_id)),
+    tried as (select t / 100 as temperature, avg(ln(exp(h * 100 / t) + exp(d * 100 / t) + exp(a * 100 / t)) - c * 100 / t) as nll
+      from z, range(1, 1001) g(t) group by t)
+    select round(arg_min(temperature, nll), 2) as temperature, round(min(nll), 6) as nll from tried"""),
+)
 def fit_temperature(spark, sf):
     df = home_win_forecast(spark, sf)
     names = ["prob_home", "prob_draw", "prob_away"]
-    t = L.fit_temperature(df, names, "outcome")
+    t = round(L.fit_temperature(df, names, "outcome"), 2)
     scaled = M.temperature_scale([F.col(c) for c in names], t)
     chosen = F.element_at(F.array(*scaled), F.col("outcome") + 1)
-    return df.agg(F.lit(round(t, 3)).alias("temperature"), F.avg(-F.log(chosen)).alias("nll"))
+    return df.agg(F.lit(t).alias("temperature"), F.round(F.avg(-F.log(chosen)), 6).alias("nll"))
 
 
 @query(

@@ -312,6 +312,7 @@ def normalise_squads(spark, sf):
     "export_predictions",
     twin("tb_matches tb_params", CELLS + MARKETS + """
     select match_date as date, home_team, away_team, count(*) as n, round(sum(home_win), 5) as prob_home,
+      round(sum(draw), 5) as prob_draw, round(sum(away_win), 5) as prob_away,
       round(sum(over_2_5), 5) as over_2_5, round(sum(btts_yes), 5) as btts_yes
     from tb_matches join markets using (match_id)
     where tournament = 'UEFA Euro' and match_date >= date '1999-01-01' group by 1, 2, 3"""),
@@ -327,7 +328,7 @@ def export_predictions(spark, sf):
     written = spark.read.schema(schema).option("header", True).csv(path)
     return written.groupBy("date", "home_team", "away_team").agg(
         F.count("*").alias("n"),
-        *[F.round(F.sum(c), 5).alias(c) for c in ("prob_home", "over_2_5", "btts_yes")],
+        *[F.round(F.sum(c), 5).alias(c) for c in ("prob_home", "prob_draw", "prob_away", "over_2_5", "btts_yes")],
     )
 
 
@@ -427,7 +428,7 @@ def nfc_name_key(spark, sf):
     # The accent arrives as a combining mark and must come out as one letter.
     split_accent = F.concat(F.lit("José "), "player_name", F.lit(" (captain)"))
     return view(spark, sf, "tb_squads").select(
-        "pos", X.nfc_name_key(F.concat(F.lit(" "), "player_name"), ascii_only=True).alias("plain"),
+        "pos", X.nfc_name_key(F.concat(F.lit(" "), "player_name")).alias("plain"),
         X.nfc_name_key(split_accent, strip_notes=True).alias("accented"),
     )
 
@@ -478,10 +479,12 @@ def validate_signal(spark, sf):
 @query(
     "clean_html",
     twin("tb_ticks", r"""
-    select page_id, md5(trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'),
-      '[\s\x0b\x{85}\p{Z}]+', ' ', 'g'))) as digest from pages"""),
+    plain as (select page_id, regexp_replace(html, '<[^>]+>', ' ', 'g') as t from pages),
+    named as (select page_id, replace(replace(replace(t, '&middot;', '·'), '&copy;', '©'), '&quot;', '"') as t from plain)
+    select page_id, md5(trim(regexp_replace(regexp_replace(t, '&amp;?', '&', 'g'),
+      '[\s\x0b\x{85}\p{Z}]+', ' ', 'g'))) as digest from named"""),
 )
 def clean_html(spark, sf):
-    """Tags and white space of whole pages; SQL has no entity decoder, tests cover that part."""
-    text = X.clean_html(F.col("html"), entities=False)
+    """Tags, entities and white space of whole pages; the twin knows the entities that occur in them."""
+    text = X.clean_html(F.col("html"))
     return table(spark, sf, "pages").select("page_id", F.md5(text).alias("digest"))

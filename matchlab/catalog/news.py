@@ -260,16 +260,31 @@ def absent_names(spark, sf):
     return view(spark, sf, "tb_squads").select("team", spelled.alias("absent_name"), "pos")
 
 
-@query("fuzzy_name_match")
+# A name in capitals is found as it is, one with a wrong letter by its likeness, one without its
+# first nine letters as a part; its squad has no other name with the same number.
+FOUND = """
+found as (select team, pos, case pos % 4 when 0 then upper(player_name)
+    when 1 then concat(substring(player_name, 1, 5), 'x', substring(player_name, 7))
+    when 2 then substring(player_name, 10) else concat('Zz ', cast(pos as varchar)) end as absent_name,
+  case when pos % 4 <> 3 then player_name end as player_name,
+  case pos % 4 when 0 then 'exact' when 1 then 'similar' when 2 then 'part' end as how from tb_squads)
+"""
+
+
+@query("fuzzy_name_match", twin("tb_squads", FOUND + "select * from found"))
 def fuzzy_name_match(spark, sf):
     squads = view(spark, sf, "tb_squads").select("team", "player_name", "pos")
-    return N.fuzzy_name_match(absent_names(spark, sf), squads, ascii_only=True)
+    return N.fuzzy_name_match(absent_names(spark, sf), squads)
 
 
-@query("injury_loss_fuzzy")
+@query(
+    "injury_loss_fuzzy",
+    twin("tb_squads", FOUND + """
+    select team, round(least(1, case when sum(s.caps) > 0 then sum(case when f.player_name is not null then s.caps else 0 end)
+      / sum(s.caps) else count(f.player_name) / count(*) end), 6) as loss
+    from tb_squads s join found f using (team, pos) group by team"""),
+)
 def injury_loss_fuzzy(spark, sf):
     squads = view(spark, sf, "tb_squads")
-    found = N.fuzzy_name_match(
-        absent_names(spark, sf), squads.select("team", "player_name", "pos"), ascii_only=True
-    )
-    return Q.injury_loss(found.select("team", "player_name"), squads)
+    found = N.fuzzy_name_match(absent_names(spark, sf), squads.select("team", "player_name", "pos"))
+    return Q.injury_loss(found.select("team", "player_name"), squads).withColumn("loss", F.round("loss", 6))

@@ -11,11 +11,19 @@ from matchlab.session import scratch_path
 from matchlab.streaming import jobs as J
 
 
-def as_stream(df, name, files=4):
-    """The same rows as a stream of files."""
+def as_stream(df, name, clock, closing=None, files=4):
+    """The same rows as a stream of files in the order of ``clock``, one file a micro-batch.
+
+    The rows of ``closing`` come last and end the stream.
+    """
     path = scratch_path(df.sparkSession, name)
-    df.repartition(files).write.parquet(path)
-    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
+    low, high = df.agg(F.min(clock), F.max(clock)).first()
+    part = F.least(F.lit(files - 1), F.floor((clock - low) * files / (high - low + 1)))
+    for i in range(files):
+        df.filter(part == i).coalesce(1).write.mode("append").parquet(path)
+    if closing is not None:
+        closing.select(*df.columns).coalesce(1).write.mode("append").parquet(path)
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 def to_table(stream, name):
@@ -37,13 +45,15 @@ def ticks(spark, sf):
 @query(
     "stream_best_odds",
     twin("tb_ticks", """
-    w as (select time_bucket(interval 15 minutes, ts) as start, match_no, event_type, max(price) as price, count(*) as n
-      from tb_ticks group by 1, 2, 3)
-    select start, match_no, event_type, round(price, 6) as price, n from w
-    where start + interval 15 minutes <= (select max(ts) from tb_ticks) - interval 15 minutes"""),
+    select time_bucket(interval 15 minutes, ts) as start, match_no, event_type, round(max(price), 6) as price,
+      count(*) as n from tb_ticks group by 1, 2, 3"""),
 )
 def stream_best_odds(spark, sf):
-    out = to_table(J.best_odds_windows(as_stream(ticks(spark, sf), "ticks")), "best")
+    rows = ticks(spark, sf)
+    # A tick a day later ends all windows of the real ones; its own stays open.
+    last = rows.orderBy(F.desc("ts")).limit(1).withColumn("ts", F.expr("ts + interval 1 day"))
+    stream = as_stream(rows, "ticks", F.unix_micros("ts"), closing=last)
+    out = to_table(J.best_odds_windows(stream), "best")
     return out.select(
         F.col("start").cast("timestamp_ntz").alias("start"), "match_no", "event_type",
         F.round("price", 6).alias("price"), "n",
@@ -59,30 +69,30 @@ def stream_best_odds(spark, sf):
 def stream_odds_snapshot(spark, sf):
     rows = ticks(spark, sf).select("match_no", "event_type", "event_id", "ts", "price")
     path = scratch_path(spark, "snapshot")
-    # One file per batch: the snapshot is merged several times.
-    source = scratch_path(spark, "ticks")
-    rows.repartition(3).write.parquet(source)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
     run = J.snapshot_stream(
-        stream, path, scratch_path(spark, "progress"), ["match_no", "event_type"], ["ts", "event_id"]
+        as_stream(rows, "ticks", F.unix_micros("ts")), path, scratch_path(spark, "progress"),
+        ["match_no", "event_type"], ["ts", "event_id"],
     )
     run.awaitTermination()
-    return J.latest_snapshot(spark, path, run).drop("ts")
+    return J.latest_snapshot(spark, path, rows.schema).drop("ts")
 
 
 @query(
     "stream_elo",
     twin("tb_matches", ELO + """
-    select match_id, round(hp, 6) as elo_home_pre, round(ap, 6) as elo_away_pre
-    from rated join (select pool, max(match_date) as last from tb_matches group by pool) using (pool)
-    where match_date < last - 1""", True),
+    select match_id, round(hp, 6) as elo_home_pre, round(ap, 6) as elo_away_pre from rated""", True),
 )
 def stream_elo(spark, sf):
     store = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(store)
     spark.conf.set(store, J.STATE_STORE)
     try:
-        stream = as_stream(view(spark, sf, "tb_matches"), "matches")
+        rows = view(spark, sf, "tb_matches")
+        # A row without teams a year later closes each pool.
+        ends = rows.groupBy("pool").agg(F.date_add(F.max("match_date"), 366).alias("match_date"))
+        blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema if f.name not in ends.columns]
+        closing = ends.select("*", *blank).withColumn("match_id", F.lit(-1).cast("bigint"))
+        stream = as_stream(rows, "matches", F.unix_date("match_date"), closing)
         out = to_table(J.rating_stream(stream), "rated")
     finally:
         spark.conf.set(store, before)
@@ -103,7 +113,7 @@ def stream_form_log(spark, sf):
         F.col("value").alias("form_score"),
     )
     path = scratch_path(spark, "form-log")
-    J.form_log_stream(as_stream(rows, "signals"), path, scratch_path(spark, "progress")).awaitTermination()
+    J.form_log_stream(as_stream(rows, "signals", F.unix_micros("logged_at")), path, scratch_path(spark, "progress")).awaitTermination()
     written = spark.read.schema("team string, form_score double, log_date date").json(path)
     return written.groupBy("log_date").agg(
         F.count("*").alias("n"), F.round(F.sum("form_score"), 4).alias("form_score")

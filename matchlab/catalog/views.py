@@ -112,20 +112,9 @@ def twin(names: str, body: str, recursive: bool = False) -> str:
     return f"with {'recursive ' if recursive else ''}{head}{glue} {rest}"
 
 
-_LARGE = ("orders", "lineitem", "documents", "pages", "events")
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A supplied table.
-
-    A large one that arrives in fewer splits than there are cores (the test
-    tables are single files) is spread out first; a table of many files is not.
-    """
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in _LARGE and df.rdd.getNumPartitions() < cores:
-        df = df.repartition(cores)
-    return df
+    """A supplied table."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

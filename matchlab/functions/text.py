@@ -26,16 +26,16 @@ def _unescape(texts: pd.Series) -> pd.Series:
     return texts.map(lambda s: None if s is None else html.unescape(s))
 
 
-def nfc_name_key(name: Column, strip_notes: bool = False, ascii_only: bool = False) -> Column:
+def nfc_name_key(name: Column, strip_notes: bool = False) -> Column:
     """Lower-case, trimmed, NFC-normalised player name.
 
     ``strip_notes`` also drops "(...)" annotations (rosters carry them, goal
-    lists do not).  ``ascii_only`` promises that no name needs normalising and
-    keeps the whole expression in the JVM.
+    lists do not).  Plain ASCII names have one form only: nothing of them goes
+    through Python.
     """
     text = F.regexp_replace(name, r"\s*\([^)]*\)", "") if strip_notes else name
     key = F.lower(F.trim(text))
-    return key if ascii_only else _nfc(key)
+    return F.coalesce(_nfc(F.when(key.rlike(r"[^\x00-\x7F]"), key)), key)
 
 
 def odds_name_key(name: Column) -> Column:

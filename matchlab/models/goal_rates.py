@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from matchlab import constants as C
 from matchlab.functions.grid import with_outcome_probs, with_score_grid
 from matchlab.operators.context import latest_date
-from matchlab.session import durable
+from matchlab.session import drop_durable, durable
 
 _LOW = {"n00": (0, 0), "n10": (1, 0), "n01": (0, 1), "n11": (1, 1)}
 _SUMS = ("w", "w_home", "w_away", *_LOW)
@@ -79,14 +79,16 @@ def fold_stats(matches: DataFrame, folds: DataFrame, per_day: float = C.DECAY_PE
     )
 
 
-def _with_rates(stats: DataFrame, teams: DataFrame, scalars: DataFrame, by: list[str]) -> DataFrame:
+def _with_rates(
+    stats: DataFrame, teams: DataFrame, scalars: DataFrame, by: list[str], how: str = "inner"
+) -> DataFrame:
     out = stats
     for side in ("home", "away"):
         lookup = teams.select(
             *by, F.col("team").alias(f"{side}_team"),
             F.col("attack").alias(f"_a_{side}"), F.col("defence").alias(f"_d_{side}"),
         )
-        out = out.join(lookup, [*by, f"{side}_team"])
+        out = out.join(lookup, [*by, f"{side}_team"], how)
     if by:
         # One row per model: bounded by the number of folds.
         out = out.join(F.broadcast(scalars), by)
@@ -263,12 +265,14 @@ def fit(
         worst = 0.0
         for part in ("attack", "defence"):
             rated = _with_rates(stats, *_parts(state, by), by)
-            state = _advance(state, _sweep(rated, by, part), by, part)
+            before, state = state, _advance(state, _sweep(rated, by, part), by, part)
+            drop_durable(before)
             worst = max(worst, state.agg(F.max("gap")).first()[0] or 0.0)
         if worst < tolerance:
             break
     else:
         raise RuntimeError(f"not converged after {max_sweeps} sweeps: the largest relative slope is {worst:.2g}")
+    drop_durable(stats)
     teams, scalars = _parts(state, by)
     first = teams.groupBy(*by).agg(F.min_by("attack", "team").alias("_ref"))
     if by:
@@ -285,11 +289,16 @@ def fit(
 def predict_rates(
     matches: DataFrame, teams: DataFrame, scalars: DataFrame, by: tuple[str, ...] = ()
 ) -> DataFrame:
-    """Add lambda_home, lambda_away, rho; matches with an unfitted team drop out."""
+    """Add lambda_home, lambda_away, rho and ``unseen``, the teams without parameters.
+
+    A match of such a team stays, without rates.
+    """
     fitted = teams.withColumnsRenamed({"log_alpha": "attack", "log_beta": "defence"})
-    rated = _with_rates(matches, fitted, scalars, list(by))
+    rated = _with_rates(matches, fitted, scalars, list(by), "left")
+    unseen = [F.when(F.col(f"_a_{side}").isNull(), F.col(f"{side}_team")) for side in ("home", "away")]
     return rated.select(
-        *matches.columns, F.col("lh").alias("lambda_home"), F.col("la").alias("lambda_away"), "rho"
+        *matches.columns, F.col("lh").alias("lambda_home"), F.col("la").alias("lambda_away"), "rho",
+        F.array_compact(F.array(*unseen)).alias("unseen"),
     )
 
 

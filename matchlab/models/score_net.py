@@ -59,17 +59,41 @@ def context_vector(columns: list[str]) -> Column:
     return F.array(*[v.cast("float") for v in values])
 
 
+def with_vectors(vocab: DataFrame, embeddings: DataFrame) -> DataFrame:
+    """(team, idx, vector): the vocabulary with its embeddings (idx, vector), null where there is none."""
+    return vocab.join(embeddings.select("idx", "vector"), "idx", "left").select("team", "idx", "vector")
+
+
+def asof_sequences(matches: DataFrame, history: DataFrame) -> DataFrame:
+    """Add home_seq and away_seq of matches still to come, from ``history`` before their date."""
+    rows = matches
+    for side in ("home", "away"):
+        probes = rows.select(F.col(f"{side}_team").alias("team"), F.col("match_date").alias("as_of")).distinct()
+        found = timeline.history_asof(history, probes, C.SEQUENCE_LENGTH).select(
+            F.col("team").alias(f"{side}_team"), F.col("as_of").alias("match_date"),
+            timeline.form_sequence(F.col("history")).alias(f"{side}_seq"),
+        )
+        rows = rows.join(found, [f"{side}_team", "match_date"], "left")
+    return rows
+
+
 def sequence_tensors(matches: DataFrame, vocab: DataFrame) -> DataFrame:
-    """One training row per match: team indexes, two 10 x 5 sequences, 13 context values."""
+    """One row per match: team indexes, two 10 x 5 sequences, 13 context values.
+
+    If ``vocab`` has a vector for its teams, home_vector and away_vector ride on
+    the same joins.
+    """
     rows = matches if "home_seq" in matches.columns else timeline.match_sequences(matches)
     rows = rows.withColumn("context", context_vector(rows.columns))
+    vectors = []
     for side in ("home", "away"):
-        lookup = vocab.select(F.col("team").alias(f"{side}_team"), F.col("idx").alias(f"_{side}"))
-        rows = rows.join(lookup, f"{side}_team", "left")
+        renamed = {"team": f"{side}_team", "idx": f"_{side}", "vector": f"{side}_vector"}
+        rows = rows.join(vocab.withColumnsRenamed(renamed), f"{side}_team", "left")
+        vectors += [f"{side}_vector"] * ("vector" in vocab.columns)
     return rows.select(
         "match_id", "match_date", "home_team", "away_team", "home_score", "away_score",
         F.coalesce("_home", F.lit(0)).alias("home_idx"),
-        F.coalesce("_away", F.lit(0)).alias("away_idx"), "home_seq", "away_seq", "context",
+        F.coalesce("_away", F.lit(0)).alias("away_idx"), "home_seq", "away_seq", "context", *vectors,
         *[c for c in ("sample_weight",) if c in rows.columns],
     )
 
@@ -94,21 +118,14 @@ def _forward(home, away, home_seq, away_seq, context, w) -> np.ndarray:
     return np.column_stack([rates, C.RHO_SCALE * np.tanh(out[:, 2])])
 
 
-def net_batch_score(
-    tensors: DataFrame, embeddings: DataFrame, weights: dict[str, np.ndarray]
-) -> DataFrame:
+def net_batch_score(tensors: DataFrame, weights: dict[str, np.ndarray]) -> DataFrame:
     """(match_id, rates, rho, grid, 1X2, expected goals) of a trained network.
 
-    ``embeddings`` is (idx, vector) and may lack indexes: those score as the
-    zero vector of the unknown team.
+    ``tensors`` carry the teams' vectors; a team without one scores as the zero
+    vector of the unknown team.  The width of the vectors is that of the weights.
     """
-    zero = F.array(*[F.lit(0.0).cast("float")] * C.EMBED_DIM)
-    rows = tensors
-    for side in ("home", "away"):
-        lookup = embeddings.select(F.col("idx").alias(f"{side}_idx"), F.col("vector").alias("_v"))
-        rows = rows.join(lookup, f"{side}_idx", "left").withColumn(
-            f"_{side}", F.coalesce("_v", zero)
-        ).drop("_v")
+    width = (weights["fuse1"].shape[1] - 2 * C.GRU_HIDDEN - C.CONTEXT_OUT) // 2
+    zero = F.array_repeat(F.lit(0.0).cast("float"), width)
     fixed = {name: np.asarray(value, dtype="float64") for name, value in weights.items()}
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,8 +147,9 @@ def net_batch_score(
                 names=["match_id", "lambda_home", "lambda_away", "rho"],
             )
 
-    rated = rows.select(
+    rated = tensors.select(
         "match_id", F.flatten("home_seq").alias("_home_steps"),
-        F.flatten("away_seq").alias("_away_steps"), "context", "_home", "_away",
+        F.flatten("away_seq").alias("_away_steps"), "context",
+        *[F.coalesce(f"{side}_vector", zero).alias(f"_{side}") for side in ("home", "away")],
     ).mapInArrow(score, "match_id bigint, lambda_home double, lambda_away double, rho double")
     return with_expected_goals(with_outcome_probs(with_score_grid(rated)))

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchlab import constants as C
 from matchlab.functions import text as X
 from matchlab.functions.once import with_once
+from matchlab.operators.components import connected_components
 from matchlab.session import durable
 
 TERMS_A_PASS = 2000
@@ -99,24 +102,66 @@ def fingerprint(title: Column, description: Column, max_chars: int | None = None
     return F.sha2(F.lower(parts), 256)
 
 
+DEDUPE_ROUNDS = 4
+
+
+def _in_order(rows: DataFrame) -> DataFrame:
+    """The greedy pass itself over (team, link, fingerprint, pos), one task per connected group.
+
+    Equal hashes can only join two groups, which changes nothing in the result.
+    """
+    ends = rows.select(
+        F.xxhash64(F.lit("link"), "team", "link").alias("_link"),
+        F.xxhash64(F.lit("print"), "team", "fingerprint").alias("_print"),
+    )
+    groups = connected_components(ends.distinct(), "_link", "_print")
+    grouped = rows.withColumn("node", F.xxhash64(F.lit("link"), "team", "link")).join(groups, "node")
+    schema = rows.select("team", "pos", "link", "fingerprint").schema
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, seen = None, set()
+        for batch in batches:
+            keep = np.zeros(len(batch), dtype=bool)
+            columns = [batch[c].tolist() for c in ("component", "team", "link", "fingerprint")]
+            for i, (component, team, link, printed) in enumerate(zip(*columns)):
+                if component != group:
+                    group, seen = component, set()
+                keys = {(team, "link", link), (team, "print", printed)}
+                if seen.isdisjoint(keys):
+                    seen |= keys
+                    keep[i] = True
+            yield batch.loc[keep, schema.names]
+
+    return (
+        grouped.repartition("component")
+        .sortWithinPartitions("component", "pos", "link", "fingerprint")
+        .mapInPandas(walk, schema)
+    )
+
+
 def dedupe_articles(matched: DataFrame) -> DataFrame:
     """Keep an article of a team unless an earlier kept one has its link or fingerprint.
 
     ``matched`` has team, pos, link, fingerprint (and more); rows without a link,
-    team or place are dropped, a missing fingerprint is an empty one.  Copies of a (link, fingerprint) pair fall together in a
-    map-side aggregate.  Then rounds of aggregates decide the rest: an article
-    that is the earliest of both its link and its fingerprint is kept, and those
-    it shadows are dropped, until none is open.
+    team or place are dropped, a missing fingerprint is an empty one; on equal
+    places the smaller link, then fingerprint, comes first.  Copies of a (link,
+    fingerprint) pair fall together in a map-side aggregate.  Then ``DEDUPE_ROUNDS``
+    rounds of aggregates decide all but long chains: an article that is the
+    earliest of both its link and its fingerprint is kept, and those it shadows
+    are dropped.  What is still open is split into groups that share links or
+    fingerprints, and each group is read in order by one task, which keeps the
+    links and fingerprints it has seen; this is the limit of one very large group.
     """
     rows = matched.filter((F.coalesce("link", F.lit("")) != "") & F.col("team").isNotNull() & F.col("pos").isNotNull())
     rows = rows.withColumn("fingerprint", F.coalesce("fingerprint", F.lit("")))
     keys = rows.groupBy("team", "link", "fingerprint").agg(F.min("pos").alias("pos"))
     open_rows, kept = durable(keys), None
-    while True:
-        by_link = open_rows.groupBy("team", "link").agg(F.min("pos").alias("_link_first"))
-        by_print = open_rows.groupBy("team", "fingerprint").agg(F.min("pos").alias("_print_first"))
+    place = F.struct("pos", "link", "fingerprint")
+    for _ in range(DEDUPE_ROUNDS):
+        by_link = open_rows.groupBy("team", "link").agg(F.min(place).alias("_link_first"))
+        by_print = open_rows.groupBy("team", "fingerprint").agg(F.min(place).alias("_print_first"))
         ranked = open_rows.join(by_link, ["team", "link"]).join(by_print, ["team", "fingerprint"])
-        first = (F.col("pos") == F.col("_link_first")) & (F.col("pos") == F.col("_print_first"))
+        first = (place == F.col("_link_first")) & (place == F.col("_print_first"))
         winners = durable(ranked.filter(first).select("team", "link", "fingerprint", "pos"))
         kept = winners if kept is None else kept.unionByName(winners)
         open_rows = durable(
@@ -126,6 +171,8 @@ def dedupe_articles(matched: DataFrame) -> DataFrame:
         )
         if open_rows.isEmpty():
             break
+    else:
+        kept = kept.unionByName(_in_order(open_rows))
     named = ["team", "pos", "link", "fingerprint"]
     return rows.join(kept.select(*named), named, "left_semi")
 

@@ -148,10 +148,13 @@ def inject_completed(
     completed: DataFrame,
     squad_features: DataFrame | None = None,
     pool: str | None = None,
+    rated: bool = True,
     **options,
 ) -> DataFrame:
     """History plus the current tournament's finished matches, with the same columns.
 
+    ``rated`` asks for the ratings of the new matches, carried on from the history.
+
     ``sample_weight`` of the new rows is a placeholder of 1: recompute it over
     the merged frame, whose last date has moved.
     """
@@ -159,7 +162,8 @@ def inject_completed(
     rows = completed.withColumn("match_date", day)
     stage = F.col("stage") if "stage" in completed.columns else None
     rows = _current_columns(rows, knockout_stage(F.col("match_date"), stage))
-    rows = ratings.extend_ratings(history, rows, pool, **options)
+    if rated:
+        rows = ratings.extend_ratings(history, rows, pool, **options)
     rows = squads.join_squad_features(rows, squad_features, year=C.CURRENT_YEAR)
     shared = [c for c in rows.columns if c in history.columns]
     return history.unionByName(rows.select(*shared), allowMissingColumns=True)

@@ -21,6 +21,9 @@ from matchlab import constants as C
 from matchlab.functions.text import nfc_name_key
 
 
+PIECES_FROM = 0.7
+
+
 @F.pandas_udf(T.DoubleType())
 def similarity(candidate: pd.Series, name: pd.Series) -> pd.Series:
     """Matching-blocks ratio of two names."""
@@ -86,17 +89,26 @@ def _piece_rows(df: DataFrame, cutoff: float, is_candidate: bool) -> DataFrame:
     return df.select("team", "name_key").mapInPandas(emit, "team string, name_key string, piece string")
 
 
-def _substrings(name: Column) -> Column:
-    """Every non-empty substring of a name."""
+def _letter_rows(df: DataFrame) -> DataFrame:
+    """One row per name and different character: names with any ratio above 0 share one."""
+    letters = F.array_distinct(F.split("name_key", ""))
+    return df.select("team", "name_key", F.explode(letters).alias("piece")).filter("piece <> ''")
+
+
+def _lengths(df: DataFrame, name: str) -> DataFrame:
+    """(team, _lengths): the different lengths of a team's names, no more than the longest name has."""
+    return df.groupBy("team").agg(F.array_sort(F.collect_set(F.length(name))).alias("_lengths"))
+
+
+def _substrings(name: Column, lengths: Column) -> Column:
+    """Every substring of a name that has one of the given lengths."""
     size = F.length(name)
-    starts = F.when(size > 0, F.sequence(F.lit(1), size))
+    fitting = F.filter(lengths, lambda n: (n > 0) & (n <= size))
     return F.array_distinct(
         F.flatten(
             F.transform(
-                starts,
-                lambda i: F.transform(
-                    F.sequence(F.lit(1), size - i + 1), lambda n: F.substring(name, i, n)
-                ),
+                fitting,
+                lambda n: F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.substring(name, i, n)),
             )
         )
     )
@@ -106,15 +118,16 @@ def fuzzy_name_match(
     absent: DataFrame,
     squads: DataFrame,
     cutoff: float = C.NAME_MATCH_CUTOFF,
-    ascii_only: bool = False,
 ) -> DataFrame:
     """(team, absent_name, pos, player_name, how): squad name of each absent name, null if none.
 
-    ``absent`` has team, absent_name, pos; ``squads`` team, player_name, pos.
+    ``absent`` has team, absent_name, pos; ``squads`` team, player_name, pos.  Below
+    a cutoff of ``PIECES_FROM`` no longer piece need survive in both names, so
+    names of a team that share a character are compared.
     """
-    if not 0.7 <= cutoff <= 1.0:
-        raise ValueError("cutoff must lie in [0.7, 1]: below that no piece need survive")
-    key = lambda c: nfc_name_key(F.col(c), ascii_only=ascii_only)
+    if not 0.0 < cutoff <= 1.0:
+        raise ValueError("cutoff must lie in (0, 1]")
+    key = lambda c: nfc_name_key(F.col(c))
     listed = absent.withColumn("name_key", key("absent_name"))
     roster = (
         squads.withColumn("cand_key", key("player_name"))
@@ -128,15 +141,17 @@ def fuzzy_name_match(
     )
     hit = exact.filter("player_name is not null").withColumn("how", F.lit("exact"))
     left = exact.filter("player_name is null").drop("player_name")
+    # From here on only squads with an open name matter.
+    roster = roster.join(left.select("team").distinct(), "team", "left_semi")
 
     # Most similar name: pairs share a piece, then the ratio decides.
     cand = roster.select("team", F.col("cand_key").alias("name_key"))
+    if cutoff >= PIECES_FROM:
+        own, theirs = _piece_rows(left, cutoff, False), _piece_rows(cand, cutoff, True)
+    else:
+        own, theirs = _letter_rows(left), _letter_rows(cand)
     pairs = (
-        _piece_rows(left, cutoff, False)
-        .join(
-            _piece_rows(cand, cutoff, True).withColumnRenamed("name_key", "cand_key"),
-            ["team", "piece"],
-        )
+        own.join(theirs.withColumnRenamed("name_key", "cand_key"), ["team", "piece"])
         .select("team", "name_key", "cand_key")
         .distinct()
         .withColumn("ratio", similarity("cand_key", "name_key"))
@@ -152,12 +167,17 @@ def fuzzy_name_match(
 
     # First squad name holding the absent name: one row per team and substring.
     holds = (
-        roster.select("team", "player_name", "cand_pos", F.explode(_substrings(F.col("cand_key"))).alias("name_key"))
+        roster.join(_lengths(left, "name_key"), "team")
+        .select(
+            "team", "player_name", "cand_pos",
+            F.explode(_substrings(F.col("cand_key"), F.col("_lengths"))).alias("name_key"),
+        )
         .groupBy("team", "name_key")
         .agg(F.min(F.struct("cand_pos", "player_name")).alias("c"))
     )
     inside = (
-        left.select("team", "name_key", F.explode(_substrings(F.col("name_key"))).alias("cand_key"))
+        left.join(_lengths(roster, "cand_key"), "team")
+        .select("team", "name_key", F.explode(_substrings(F.col("name_key"), F.col("_lengths"))).alias("cand_key"))
         .join(roster, ["team", "cand_key"])
         .groupBy("team", "name_key")
         .agg(F.min(F.struct("cand_pos", "player_name")).alias("c"))

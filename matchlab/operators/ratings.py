@@ -5,10 +5,11 @@ scan is sequential inside a pool of teams that meet each other, and parallel
 over pools.  Spark partitions by pool and sorts (spilling where needed); a task
 holds one Arrow batch and one number per team, never the pool's matches.
 
-A pool too long for one task is cut into date slices: each slice starts from the
-ratings the one before it left, and both the ratings and the scanned rows of a
-slice are checkpointed, so a lost executor costs one slice and no task ever
-reads more than about ``rows_per_task`` rows.
+Pools that no column names are found as the connected components of the teams
+that have met.  With ``rows_per_task`` a pool too long for one task is cut into
+date slices: each slice starts from the ratings the one before it left, and both
+the ratings and the scanned rows of a slice are written out, so a lost executor
+costs one slice and no task reads much more than that many rows.
 """
 
 from __future__ import annotations
@@ -22,28 +23,34 @@ from pyspark.sql import functions as F
 
 from matchlab import constants as C
 from matchlab.functions.metrics import competition_k, rating_1x2
+from matchlab.operators.components import connected_components
 from matchlab.session import durable
 
-ROWS_PER_TASK = 20_000_000
 _SCAN_SCHEMA = (
     "pool string, src int, match_id bigint, day int, home_team string, away_team string, "
     "elo_home_pre double, elo_away_pre double, elo_home_post double, elo_away_post double"
 )
 
 
+def decayed(rating: float, gap: int) -> float:
+    """A rating after ``gap`` days without a match."""
+    if gap > C.INACTIVITY_DAYS:
+        rating -= C.INACTIVITY_RATE * (gap / 365.0) * (rating - C.INITIAL_RATING)
+    return rating
+
+
+def updated(own: float, other: float, bonus: float, score: float, k: float) -> tuple[float, float]:
+    """Both ratings after a match that the first side entered with ``bonus`` and scored ``score`` in."""
+    expected = 1.0 / (1.0 + 10.0 ** ((other - (own + bonus)) / C.RATING_SCALE))
+    return own + k * (score - expected), other + k * ((1.0 - score) - (1.0 - expected))
+
+
 def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Walk rows sorted by (pool, day, match_id); rows without a match id seed the state."""
     pool, rating, last = None, {}, {}
-    start, scale = C.INITIAL_RATING, C.RATING_SCALE
 
     def current(team: str, day: int) -> float:
-        value = rating.get(team)
-        if value is None:
-            return start
-        gap = day - last[team]
-        if gap > C.INACTIVITY_DAYS:
-            value -= C.INACTIVITY_RATE * (gap / 365.0) * (value - start)
-        return value
+        return decayed(rating[team], day - last[team]) if team in rating else C.INITIAL_RATING
 
     for batch in batches:
         out = np.empty((len(batch), 4))
@@ -60,10 +67,7 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 keep[i] = False
                 continue
             own, other = current(home, day), current(away, day)
-            expected = 1.0 / (1.0 + 10.0 ** ((other - (own + bonus)) / scale))
-            gain = k * (score - expected)
-            loss = k * ((1.0 - score) - (1.0 - expected))
-            rating[home], rating[away] = own + gain, other + loss
+            rating[home], rating[away] = updated(own, other, bonus, score, k)
             last[home] = last[away] = day
             out[i] = own, other, rating[home], rating[away]
         done = batch.loc[keep, ["pool", "src", "match_id", "day", "home_team", "away_team"]].copy()
@@ -87,14 +91,14 @@ def _run(rows: DataFrame) -> DataFrame:
     )
 
 
-def _scan_input(matches: DataFrame, pool: str | None) -> DataFrame:
+def _scan_input(matches: DataFrame, pool: str) -> DataFrame:
     score = (
         F.when(F.col("home_score") > F.col("away_score"), 1.0)
         .when(F.col("home_score") == F.col("away_score"), 0.5)
         .otherwise(0.0)
     )
     return matches.select(
-        (F.col(pool).cast("string") if pool else F.lit("all")).alias("pool"),
+        F.col(pool).cast("string").alias("pool"),
         F.col("match_id").cast("bigint").alias("match_id"),
         F.lit(None).cast("double").alias("seed"),
         F.datediff("match_date", F.lit("1970-01-01").cast("date")).alias("day"),
@@ -125,17 +129,26 @@ def _slice_ends(rows: DataFrame, rows_per_task: int) -> list[int]:
     return ends + ([days[-1][0]] if days else [])
 
 
+def with_pools(matches: DataFrame, out: str) -> DataFrame:
+    """Add ``out``, the first team by name of all that a match's teams are linked with by meetings."""
+    met = matches.select("home_team", "away_team").distinct()
+    found = connected_components(met, "home_team", "away_team")
+    return matches.join(found.select(F.col("node").alias("home_team"), F.col("component").alias(out)), "home_team")
+
+
 def rating_scan(
-    matches: DataFrame, pool: str | None = "pool", rows_per_task: int = ROWS_PER_TASK
+    matches: DataFrame, pool: str | None = "pool", rows_per_task: int | None = None
 ) -> DataFrame:
     """Ratings of both sides before and after every match.
 
     ``matches`` needs match_id, match_date, home_team, away_team, home_score,
-    away_score, neutral, tournament and, unless ``pool`` is None, the pool
-    column: teams of different pools never meet.
+    away_score, neutral, tournament and the pool column: teams of different pools
+    never meet.  Without a pool column (None) pools are found by ``with_pools``.
     """
+    if pool is None:
+        matches, pool = with_pools(matches, "_pool"), "_pool"
     rows = _scan_input(matches, pool)
-    ends = _slice_ends(rows, rows_per_task)
+    ends = [] if rows_per_task is None else _slice_ends(rows, rows_per_task)
     if len(ends) <= 1:
         return _run(rows)
     done, state, after = None, None, None
@@ -227,16 +240,21 @@ def extend_ratings(
 def with_latest_rating(
     rows: DataFrame, ratings: DataFrame, default: float = C.INITIAL_RATING
 ) -> DataFrame:
-    """Add elo_home_pre / elo_away_pre, the last known rating of each side or the default."""
-    out = rows
+    """Add elo_home_pre / elo_away_pre, the last known rating of each side or the default.
+
+    Where both tables have a pool, a team is looked up in the pool of the row.
+    """
+    pooled = "pool" in rows.columns and "pool" in ratings.columns
+    out = rows.withColumn("_pool", F.col("pool").cast("string") if pooled else F.lit(""))
+    found = ratings.withColumn("_pool", F.col("pool").cast("string") if pooled else F.lit(""))
     for side in ("home", "away"):
-        lookup = ratings.select(
-            F.col("team").alias(f"{side}_team"), F.col("rating").alias(f"_r_{side}")
+        lookup = found.select(
+            "_pool", F.col("team").alias(f"{side}_team"), F.col("rating").alias(f"_r_{side}")
         )
-        out = out.join(lookup, f"{side}_team", "left").withColumn(
+        out = out.join(lookup, ["_pool", f"{side}_team"], "left").withColumn(
             f"elo_{side}_pre", F.coalesce(f"_r_{side}", F.lit(default))
         ).drop(f"_r_{side}")
-    return out
+    return out.drop("_pool")
 
 
 def with_rating_probs(rows: DataFrame) -> DataFrame:

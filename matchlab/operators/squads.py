@@ -11,12 +11,12 @@ from matchlab.functions.text import nfc_name_key
 FEATURES = {"top5_share": "squad_top5", "avg_caps_norm": "squad_caps", "intl_goals_per_cap": "squad_goals"}
 
 
-def career_goals(goals: DataFrame, ascii_only: bool = False) -> DataFrame:
+def career_goals(goals: DataFrame) -> DataFrame:
     """(name, goals): goals per scorer, own goals left out."""
     kept = goals.filter(~F.col("own_goal"))
     # Count by raw spelling first: the name key is then built once per spelling.
     spelled = kept.groupBy("scorer").agg(F.count("*").alias("n"))
-    key = nfc_name_key(F.col("scorer"), ascii_only=ascii_only)
+    key = nfc_name_key(F.col("scorer"))
     return spelled.groupBy(key.alias("name")).agg(F.sum("n").alias("goals"))
 
 
@@ -25,10 +25,9 @@ def squad_quality(
     goals: DataFrame,
     top_clubs: tuple[str, ...] = C.TOP_LEAGUE_CLUBS,
     keys: tuple[str, ...] = ("tournament_key", "team"),
-    ascii_only: bool = False,
 ) -> DataFrame:
     """Per squad: top5_share, avg_caps_norm, intl_goals_per_cap."""
-    key = nfc_name_key(F.col("player_name"), strip_notes=True, ascii_only=ascii_only)
+    key = nfc_name_key(F.col("player_name"), strip_notes=True)
     caps = F.coalesce(F.col("caps").cast("double"), F.lit(0.0))
     rows = squads.withColumn("_name", key).join(
         goals.withColumnsRenamed({"name": "_name", "goals": "_goals"}), "_name", "left"
@@ -87,16 +86,14 @@ def player_stats_merge(standard: DataFrame, shooting: DataFrame) -> DataFrame:
     return joined.withColumns({f"{c}_per90": F.col(c) / nineties for c in ("xg", "xa", "npxg")})
 
 
-def squad_stats_join(
-    squads: DataFrame, stats: DataFrame, ascii_only: bool = False
-) -> DataFrame:
+def squad_stats_join(squads: DataFrame, stats: DataFrame) -> DataFrame:
     """Roster rows with the first statistics row of the same name key (left join)."""
-    keyed = stats.withColumn("_key", nfc_name_key(F.col("player_name"), ascii_only=ascii_only))
+    keyed = stats.withColumn("_key", nfc_name_key(F.col("player_name")))
     columns = ["league", "minutes", "xg_per90", "xa_per90", "npxg_per90"]
     first = keyed.groupBy("_key").agg(
         F.min_by(F.struct(*columns, F.lit(True).alias("matched")), "pos").alias("stat")
     )
-    roster = squads.withColumn("_key", nfc_name_key(F.col("player_name"), ascii_only=ascii_only))
+    roster = squads.withColumn("_key", nfc_name_key(F.col("player_name")))
     return roster.join(first, "_key", "left").select(
         *squads.columns, *[F.col(f"stat.{c}").alias(c) for c in columns],
         F.coalesce("stat.matched", F.lit(False)).alias("matched"),

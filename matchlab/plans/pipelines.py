@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from matchlab.functions import grid as G
 from matchlab.functions import metrics as M
-from matchlab.models import ensemble, goal_rates, trees
+from matchlab.models import ensemble, goal_rates, score_net, trees
 from matchlab.operators import bets, context, folds, odds, ratings, signals
 from matchlab.session import durable
+from matchlab.sources import results
 
 best_prices = odds.best_quotes
 
@@ -150,6 +151,30 @@ def _tree_folds(matches: DataFrame, fold_table: DataFrame, options: dict) -> Dat
     return out
 
 
+def played(
+    history: DataFrame,
+    completed: DataFrame | None = None,
+    squad_features: DataFrame | None = None,
+    pool: str | None = "pool",
+    contextual: bool = True,
+) -> DataFrame:
+    """The rows a model is fitted on before the next matches of the running tournament.
+
+    With ``completed`` the history's own rows of that tournament give way to them;
+    sample weights are taken from the last date of the merged rows.  ``contextual``
+    adds ratings, rest days, flags and squad features.
+    """
+    if not contextual:
+        if completed is None:
+            return history
+        return context.inject_completed(context.drop_current(history), completed, pool=pool, rated=False)
+    rows = history if completed is None else context.drop_current(history)
+    rows = context.derive_context(ratings.elo_ratings(rows, pool), squad_features)
+    if completed is not None:
+        rows = context.inject_completed(rows, completed, squad_features, pool)
+    return durable(context.sample_weight(rows))
+
+
 def predict_upcoming(
     history: DataFrame,
     schedule: DataFrame,
@@ -160,20 +185,85 @@ def predict_upcoming(
     squad_features: DataFrame | None = None,
     pool: str | None = "pool",
     next_only: bool = False,
+    model: str = "rates",
+    completed: DataFrame | None = None,
+    network: tuple[DataFrame, dict] | None = None,
+    tree_options: dict | None = None,
     **fit_options,
 ) -> DataFrame:
     """Upcoming matches with adjusted goal rates, markets and bet selection.
 
-    Rates come from the attack/defence model fitted on ``history``; teams it has
-    not seen are left out.
+    ``model`` is "rates" (attack/defence), "trees", "network" (``network`` holds its
+    vocabulary with vectors, and its weights) or "ensemble", the equal mean of rates,
+    trees and, where given, the network.  ``completed`` are finished matches of the
+    running tournament; they are put into the history first.  A match of a team that
+    the rates model has not seen stays without rates, the team listed in ``unseen``.
     """
-    latest = ratings.current_ratings(ratings.rating_scan(history, pool))
-    rows = context.upcoming_feature_rows(
-        context.upcoming_matches(schedule, next_only), latest.select("team", "rating"), squad_features
-    )
-    teams, scalars = goal_rates.fit(goal_rates.sufficient_stats(history), **fit_options)
-    rated = goal_rates.predict_rates(rows, teams, scalars)
-    adjusted = signals.adjustment_chain(rated, losses, sentiment, trajectory)
+    if model not in ("rates", "trees", "network", "ensemble"):
+        raise ValueError(f"unknown model {model!r}")
+    if model == "network" and network is None:
+        raise ValueError("the network needs its vocabulary and weights")
+    coming = context.upcoming_matches(schedule, next_only)
+    past = played(history, completed, squad_features, pool, contextual=model != "rates")
+    if model == "rates":
+        latest = history.sparkSession.createDataFrame([], "team string, rating double")
+    else:
+        latest = ratings.current_ratings(ratings.rating_scan(past, pool))
+        latest = latest if pool else latest.select("team", "rating")
+    rows = context.upcoming_feature_rows(coming, latest, squad_features)
+    parts = []
+    if model in ("rates", "ensemble"):
+        teams, scalars = goal_rates.fit(goal_rates.sufficient_stats(past), **fit_options)
+        parts.append(goal_rates.predict(rows, teams, scalars))
+    if model in ("trees", "ensemble"):
+        parts.append(trees.fit(past, **(tree_options or {})).predict(rows))
+    if network is not None and model in ("network", "ensemble"):
+        vocab, weights = network
+        tensors = score_net.sequence_tensors(score_net.asof_sequences(rows, past), vocab)
+        parts.append(score_net.net_batch_score(tensors, weights))
+    if model == "rates":
+        (rated,) = parts
+    else:
+        forecast = ensemble.ensemble_grid(parts) if model == "ensemble" else parts[0]
+        names = ["match_id", "lambda_home", "lambda_away", "rho", "grid"]
+        rated = rows.join(forecast.select(*names), "match_id")
+        if model == "ensemble":
+            rated = rated.join(parts[0].select("match_id", "unseen"), "match_id")
+    if losses is None and sentiment is None and trajectory is None:
+        adjusted = G.with_expected_goals(G.with_outcome_probs(G.with_markets(rated)))
+    else:
+        adjusted = signals.adjustment_chain(rated, losses, sentiment, trajectory)
     if prices is None:
         return adjusted
     return bets.live_bets(odds.odds_join_swapped(adjusted, prices))
+
+
+def export_run(
+    matches: DataFrame,
+    path: str,
+    tournament: str | None = None,
+    since: str | None = None,
+    model: str = "rates",
+    tree_options: dict | None = None,
+    pool: str | None = "pool",
+    **fit_options,
+) -> DataFrame:
+    """Fit on all matches but the chosen ones, predict those, write the predictions to ``path``.
+
+    ``model`` is "rates", "trees" or "ensemble", their equal mean.
+    """
+    if model not in ("rates", "trees", "ensemble"):
+        raise ValueError(f"unknown model {model!r}")
+    rows = matches if model == "rates" else played(matches, pool=pool)
+    wanted, train = context.complement_split(rows, tournament, since)
+    parts = []
+    if model != "trees":
+        teams, scalars = goal_rates.fit(goal_rates.sufficient_stats(train), **fit_options)
+        parts.append(goal_rates.predict(wanted, teams, scalars))
+    if model != "rates":
+        parts.append(trees.fit(train, **(tree_options or {})).predict(wanted))
+    forecast = ensemble.ensemble_grid(parts) if len(parts) == 2 else parts[0]
+    rated = wanted.join(forecast.select("match_id", "grid"), "match_id")
+    out = G.with_outcome_probs(G.with_markets(rated))
+    results.export_predictions(out, path)
+    return out

@@ -67,11 +67,18 @@ def load_results(
 
 
 def save_cache(df: DataFrame, path: str, partition_by: str | None = "year") -> None:
-    """Overwrite a cached table; match tables are partitioned by year."""
+    """Overwrite a cached table; match tables are partitioned by year.
+
+    Rows are brought together by year first, and split again where a year is large,
+    so a year has few files.
+    """
     if partition_by == "year" and "year" not in df.columns:
         df = df.withColumn("year", F.year("match_date"))
-    writer = df.write.mode("overwrite")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    if not partition_by:
+        df.write.mode("overwrite").parquet(path)
+        return
+    together = df.hint("rebalance", F.col(partition_by))
+    together.write.mode("overwrite").partitionBy(partition_by).parquet(path)
 
 
 def load_cache(spark: SparkSession, path: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from matchlab import constants as C
 from matchlab.operators.odds import latest_per_key
-from matchlab.operators.ratings import _scan_input
+from matchlab.operators.ratings import _scan_input, decayed, updated
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -32,23 +32,66 @@ def best_odds_windows(ticks: DataFrame, minutes: int = C.ODDS_FRESH_MINUTES) ->
     return best.select("w.start", "w.end", "match_no", "event_type", "price", "n")
 
 
+SNAPSHOT_BUCKETS = 64
+_MANIFEST = "bucket int, version long, v long"
+
+
+def _folder(spark: SparkSession, path: str):
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
+
+
+def _versions(spark: SparkSession, path: str, before: int | None = None) -> dict[int, int]:
+    """Version of every bucket as the last batch (of those before ``before``) left it."""
+    system, folder = _folder(spark, f"{path}/manifest")
+    if not system.exists(folder):
+        return {}
+    rows = spark.read.schema(_MANIFEST).parquet(f"{path}/manifest")
+    if before is not None:
+        rows = rows.filter(F.col("v") < before)
+    last = rows.agg(F.max("v")).first()[0]
+    return {r["bucket"]: r["version"] for r in rows.filter(F.col("v") == last).collect()}
+
+
+def _places(path: str, versions: dict[int, int], buckets: list[int]) -> list[str]:
+    return [f"{path}/data/v={versions[b]}/snapshot_bucket={b}" for b in buckets if b in versions]
+
+
 def snapshot_stream(
-    batches: DataFrame, path: str, checkpoint: str, keys: list[str], order: list[str]
+    batches: DataFrame, path: str, checkpoint: str, keys: list[str], order: list[str],
+    buckets: int = SNAPSHOT_BUCKETS,
 ) -> StreamingQuery:
-    """Keep the latest row per key; each micro-batch writes a new snapshot version.
+    """Keep the latest row per key, in buckets of keys; a batch rewrites the buckets it touches.
 
-    The version is named by the batch id and built from the version before it,
-    so a batch that runs again writes the same folder again.
+    A batch writes its buckets under its id and then a manifest, one row per
+    bucket, that says which version of every bucket holds.  It reads the manifest
+    of the batch before it, so a batch that runs again writes the same files
+    again.  What no manifest but older ones name is deleted one batch later.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows = batch
-        if batch_id > 0:
-            rows = rows.unionByName(spark.read.schema(batch.schema).parquet(f"{path}/v={batch_id - 1}"))
-        latest_per_key(rows, keys, order).select(*batch.columns).write.mode("overwrite").parquet(
-            f"{path}/v={batch_id}"
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int").alias("snapshot_bucket")
+        held = _versions(spark, path, batch_id)
+        # No more rows than there are buckets.
+        touched = [r[0] for r in batch.select(bucket).distinct().collect()]
+        old, rows = _places(path, held, touched), batch
+        if old:
+            rows = rows.unionByName(spark.read.schema(batch.schema).parquet(*old))
+        kept = latest_per_key(rows, keys, order).select(*batch.columns, bucket)
+        if touched:
+            kept.repartition("snapshot_bucket").write.mode("overwrite").partitionBy("snapshot_bucket").parquet(
+                f"{path}/data/v={batch_id}"
+            )
+        now = {**held, **{b: batch_id for b in touched}}
+        spark.createDataFrame(list(now.items()), "bucket int, version long").coalesce(1).write.mode("overwrite").parquet(
+            f"{path}/manifest/v={batch_id}"
         )
+        gone = _versions(spark, path, batch_id - 1)
+        stale = [b for b in gone if held.get(b) != gone[b]]
+        for place in [*_places(path, gone, stale), f"{path}/manifest/v={batch_id - 2}"]:
+            system, folder = _folder(spark, place)
+            system.delete(folder, True)
 
     return (
         batches.writeStream.foreachBatch(merge)
@@ -58,9 +101,11 @@ def snapshot_stream(
     )
 
 
-def latest_snapshot(spark: SparkSession, path: str, query: StreamingQuery) -> DataFrame:
-    """The snapshot after the query's last batch."""
-    return spark.read.parquet(f"{path}/v={query.lastProgress['batchId']}")
+def latest_snapshot(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The snapshot that the newest manifest names; empty before the first batch."""
+    versions = _versions(spark, path)
+    places = _places(path, versions, list(versions))
+    return spark.read.schema(schema).parquet(*places) if places else spark.createDataFrame([], schema)
 
 
 class _RatingProcessor(StatefulProcessor):
@@ -89,6 +134,8 @@ class _RatingProcessor(StatefulProcessor):
             for r in batch.itertuples(index=False):
                 day, ident = int(r.day), int(r.match_id)
                 newest = day if newest is None else max(newest, day)
+                if not isinstance(r.home_team, str):
+                    continue
                 if closed is not None and day < closed:
                     late.append((key[0], ident, day, r.home_team, r.away_team, None, None, "late"))
                 else:
@@ -104,9 +151,8 @@ class _RatingProcessor(StatefulProcessor):
         for place in ready:
             home, away, bonus, score, k = fresh.get(place) or waiting[place]
             own, other = self._current(home, place[0], now), self._current(away, place[0], now)
-            expected = 1.0 / (1.0 + 10.0 ** ((other - (own + bonus)) / C.RATING_SCALE))
-            now[home] = (own + k * (score - expected), place[0])
-            now[away] = (other + k * ((1.0 - score) - (1.0 - expected)), place[0])
+            after = updated(own, other, bonus, score, k)
+            now[home], now[away] = (after[0], place[0]), (after[1], place[0])
             done.append((key[0], place[1], place[0], home, away, own, other, "rated"))
         for team, value in now.items():
             self.teams.updateValue((team,), value)
@@ -125,10 +171,7 @@ class _RatingProcessor(StatefulProcessor):
                 return C.INITIAL_RATING
             now[team] = self.teams.getValue((team,))
         rating, last = now[team]
-        gap = day - last
-        if gap > C.INACTIVITY_DAYS:
-            rating -= C.INACTIVITY_RATE * (gap / 365.0) * (rating - C.INITIAL_RATING)
-        return rating
+        return decayed(rating, day - last)
 
     def close(self) -> None:
         pass
@@ -150,7 +193,8 @@ def rating_stream(matches: DataFrame, pool: str = "pool", delay_days: int = 1) -
     """Pre-match ratings of a match stream, in event-time order per pool.
 
     A match is rated once its pool has seen a match more than ``delay_days``
-    later.  One that arrives after its day was rated comes out with status
+    later.  A row without teams only moves its pool's clock: one with a late date
+    closes the pool.  A match that arrives after its day was rated comes out with status
     "late" and no rating, instead of being dropped as a watermark would: a batch
     run over the corrected history places it.  The session needs the RocksDB
     state store.

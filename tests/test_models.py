@@ -106,14 +106,15 @@ def test_folds_fit_like_single_models(spark):
     assert here["log_gamma"] == pytest.approx(single.first()["log_gamma"], abs=1e-3)
 
 
-def test_neutral_ground_drops_the_home_factor_and_unknown_teams_drop_out(spark, fitted):
+def test_neutral_ground_drops_the_home_factor_and_unknown_teams_are_named(spark, fitted):
     _, _, teams, scalars = fitted
     df = spark.createDataFrame(
         [(1, "T1", "T2", True), (2, "T1", "T2", False), (3, "T1", "nobody", True)],
         "match_id int, home_team string, away_team string, neutral boolean",
     )
     out = {r["match_id"]: r for r in G.predict(df, teams, scalars).collect()}
-    assert set(out) == {1, 2} and out[2]["lambda_home"] > out[1]["lambda_home"]
+    assert set(out) == {1, 2, 3} and out[2]["lambda_home"] > out[1]["lambda_home"]
+    assert out[1]["unseen"] == [] and out[3]["unseen"] == ["nobody"] and out[3]["lambda_home"] is out[3]["prob_home"] is None
     assert out[1]["prob_home"] + out[1]["prob_draw"] + out[1]["prob_away"] == pytest.approx(1.0)
     assert {r["team"] for r in D.unseen_teams(df, teams).collect()} == {"nobody"}
 
@@ -166,11 +167,12 @@ def test_network_scores_like_plain_numpy(spark):
     vocab = N.team_vocab(df)
     names = sorted({r["team"] for r in vocab.collect()})
     assert {r["team"]: r["idx"] for r in vocab.collect()} == {t: i + 1 for i, t in enumerate(names)}
-    tensors = N.sequence_tensors(df, vocab.filter(F.col("team") != names[0]))
     rng, w = np.random.default_rng(1), net_weights()
     vectors = {i: rng.normal(size=C.EMBED_DIM).astype("float32") for i in range(1, len(names) + 1)}
     emb = spark.createDataFrame([(i, v.tolist()) for i, v in vectors.items()], "idx bigint, vector array<float>")
-    out = {r["match_id"]: r for r in N.net_batch_score(tensors, emb, w).collect()}
+    known = N.with_vectors(vocab.filter(F.col("team") != names[0]), emb)
+    tensors = N.sequence_tensors(df, known)
+    out = {r["match_id"]: r for r in N.net_batch_score(tensors, w).collect()}
     sig = lambda x: 1 / (1 + np.exp(-x))
 
     def encode(seq):

@@ -1,5 +1,7 @@
 """Cases an earlier review found: null fingerprints, repeated places, session time zones."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,6 +9,8 @@ from helpers import MATCH_SCHEMA, random_matches
 from matchlab.functions import text as X
 from matchlab.models import goal_rates as G
 from matchlab.operators import articles as A
+from matchlab.operators import matching as N
+from matchlab.operators import ratings as R
 from matchlab.operators.components import connected_components
 from matchlab.sources.results import load_results
 
@@ -21,6 +25,42 @@ def test_dedupe_ends_on_nulls_and_repeated_places(spark):
     assert kept[0] == (1, "a") and kept[-1] == (4, "d") and len(kept) <= 4
 
 
+def kept_by_hand(rows):
+    seen, kept = set(), []
+    for team, pos, link, printed in sorted(rows, key=lambda r: (r[0], r[1], r[2], r[3])):
+        keys = {(team, "l", link), (team, "f", printed)}
+        if not keys & seen:
+            seen |= keys
+            kept.append((team, pos, link, printed))
+    return kept
+
+
+def test_dedupe_of_long_chains_is_the_ordered_pass(spark):
+    rng = random.Random(8)
+    chain = [("T", i, f"l{(i + 1) // 2}", f"f{i // 2}") for i in range(2000)]
+    mixed = [(rng.choice("AB"), i // 2, f"l{rng.randrange(150)}", f"f{rng.randrange(150)}") for i in range(400)]
+    rows = [*chain, *mixed]
+    df = spark.createDataFrame(rows, "team string, pos int, link string, fingerprint string")
+    assert sorted(map(tuple, A.dedupe_articles(df).collect())) == sorted(kept_by_hand(rows))
+
+
+def test_scan_finds_pools_itself(spark):
+    rows = random_matches(150, pools=3, seed=12)
+    df = spark.createDataFrame(rows, MATCH_SCHEMA)
+    named = lambda pool: sorted(map(tuple, R.rating_scan(df, pool).select("match_id", "elo_home_pre", "elo_away_post").collect()))
+    assert named(None) == named("pool")
+    assert R.with_pools(df, "p").select("p").distinct().count() == 3
+
+
+def test_names_below_the_cutoff_of_pieces(spark):
+    squads = spark.createDataFrame([("A", "Kylian Mbappe", 1), ("A", "Li", 2)], "team string, player_name string, pos int")
+    absent = spark.createDataFrame([("A", "K. Mbape", 1), ("A", "xyz", 2)], "team string, absent_name string, pos int")
+    found = {r["pos"]: r["player_name"] for r in N.fuzzy_name_match(absent, squads, cutoff=0.5).collect()}
+    assert found == {1: "Kylian Mbappe", 2: None}
+    with pytest.raises(ValueError):
+        N.fuzzy_name_match(absent, squads, cutoff=0.0)
+
+
 def test_fingerprint_reads_whole_texts(spark):
     rows = [("T", None), (None, None), ("x" * 200, "a"), ("X" * 200, "A"), ("x" * 200, "b")]
     df = spark.createDataFrame(rows, "t string, d string")
