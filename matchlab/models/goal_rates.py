@@ -220,8 +220,8 @@ def _parts(state: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
 
 
 def _advance(state: DataFrame, moved: DataFrame, by: list[str], part: str) -> DataFrame:
-    """State after one block update; ``gap`` is the relative slope before it."""
-    joined = state.drop("gap").join(moved, [*by, "kind", "team"], "left")
+    """State after one block update; ``gap`` is the largest relative slope before the sweep's updates."""
+    joined = state.withColumnRenamed("gap", "_gap").join(moved, [*by, "kind", "team"], "left")
     slope, curve = F.coalesce("slope", F.lit(0.0)), F.coalesce("curve", F.lit(0.0))
     step = F.when(curve > 0, _step(slope, curve)).otherwise(0.0)
     newton = F.when(curve > 0, slope / curve).otherwise(0.0)
@@ -231,6 +231,8 @@ def _advance(state: DataFrame, moved: DataFrame, by: list[str], part: str) -> Da
     # A team without goals has no finite optimum; it must not keep the loop alive.
     live = (slope + curve) > 1e-6 * curve
     gap = F.when(live & (curve > 0), F.abs(slope) / curve).otherwise(0.0)
+    if part == "defence":
+        gap = F.greatest("_gap", gap)
     return durable(
         joined.withColumns(
             {
@@ -240,7 +242,7 @@ def _advance(state: DataFrame, moved: DataFrame, by: list[str], part: str) -> Da
                 .otherwise(F.col("value")),
                 "gap": gap,
             }
-        ).drop("slope", "curve")
+        ).drop("slope", "curve", "_gap")
     )
 
 
@@ -262,12 +264,11 @@ def fit(
     stats = durable(stats)
     state = _start(stats, by)
     for _ in range(max_sweeps):
-        worst = 0.0
         for part in ("attack", "defence"):
             rated = _with_rates(stats, *_parts(state, by), by)
             before, state = state, _advance(state, _sweep(rated, by, part), by, part)
             drop_durable(before)
-            worst = max(worst, state.agg(F.max("gap")).first()[0] or 0.0)
+        worst = state.agg(F.max("gap")).first()[0] or 0.0
         if worst < tolerance:
             break
     else:
