@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -21,6 +22,32 @@ HEADLINE = (
     "odds_join_swapped", "known_team_semijoin", "stream_best_odds",
 )
 
+# Slower or iterative queries, timed after the headline and not part of its total.
+OTHERS = (
+    "dc_fit", "fit_temperature", "isotonic_fit", "fuzzy_name_match", "dedupe_articles", "stream_elo", "stream_odds_snapshot",
+)
+LARGE = ("orders", "lineitem", "documents", "pages", "events")
+
+
+def prepared(spark, sf_dir: str, files: int) -> str:
+    """The tables with the large ones in several files, as a table of a cluster would be."""
+    out = tempfile.mkdtemp(prefix="bench-")
+    for name in os.listdir(sf_dir):
+        if name.removesuffix(".parquet") in LARGE:
+            spark.read.parquet(os.path.join(sf_dir, name)).repartition(files).write.parquet(os.path.join(out, name))
+        else:
+            os.symlink(os.path.join(sf_dir, name), os.path.join(out, name))
+    return out
+
+
+def timed(spark, sf_dir: str, names: tuple[str, ...]) -> dict[str, float]:
+    seconds = {}
+    for name in names:
+        start = time.perf_counter()
+        QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+        seconds[name] = round(time.perf_counter() - start, 3)
+    return seconds
+
 
 def warm_up(spark) -> None:
     """Start the executor threads and a Python worker, so the first query is not charged for it."""
@@ -35,11 +62,8 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     load_all()
     warm_up(spark)
-    seconds = {}
-    for name in HEADLINE:
-        start = time.perf_counter()
-        QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        seconds[name] = round(time.perf_counter() - start, 3)
+    tables = prepared(spark, sf_dir, cpus)
+    seconds, others = timed(spark, tables, HEADLINE), timed(spark, tables, OTHERS)
     spark.stop()
     print(
         json.dumps(
@@ -48,6 +72,7 @@ def main() -> None:
                 "value": round(sum(seconds.values()), 3),
                 "unit": "sec",
                 "queries": seconds,
+                "others": others,
                 "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"),
             }
         )
