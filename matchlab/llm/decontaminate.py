@@ -1,12 +1,14 @@
-"""Training passages that copy or paraphrase test items: rare seeds, then alignment.
+"""Training passages that copy or paraphrase test items: seeds, then alignment.
 
-1. The items' n-grams are counted over all documents, and of every ``BLOCK`` n-grams
-   in a row the rarest becomes a seed. So each part of an item has a seed, however
-   common its words are, and no item is dropped.
+1. Every n-gram of every item is a seed, however rare or common it is. So a copy is
+   proposed as soon as any ``GRAM`` words in a row survive in it, wherever it was
+   edited, and no item is dropped.
 2. A document's n-grams are looked up among the seeds, which workers map into memory
-   as sorted hash arrays. Each hit proposes a stretch of the document for an item.
-3. Smith-Waterman alignment scores the stretch against the whole item; edited words,
-   gaps and insertions cost, and the score is a share of a perfect copy's.
+   as sorted hash arrays. The hits of an item propose stretches of the document.
+3. A stretch that holds too few of the item's words, in any order, cannot reach the
+   share and is passed over. Smith-Waterman alignment scores the others against the
+   whole item; edited words, gaps and insertions cost, and the score is a share of a
+   perfect copy's.
 
 No document is shuffled: its rows are made where it is read.
 """
@@ -18,16 +20,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchlab.llm.counting import shard_bits, tally
+from matchlab.llm.counting import shard_bits
 from matchlab.llm.storage import HashArrays, shard_of
 from matchlab.llm.words import chunks, cut, windows
-from matchlab.session import drop_durable, durable
 
 GRAM = 3
-BLOCK = 4
 SHARE = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 
@@ -84,18 +84,21 @@ class _Seeds:
 
     def __init__(self, folder: str, bits: int):
         self.grams = HashArrays(f"{folder}/grams", bits, {"first": "<i8", "n": "<i8"})
-        self.places = HashArrays(f"{folder}/places", bits, {"item": "<i8", "place": "<i8", "size": "<i8", "words": "<i8"})
+        self.places = HashArrays(f"{folder}/places", bits, {"item": "<i8", "body": "<i8", "place": "<i8", "size": "<i8", "words": "<i8"})
         self.bodies = HashArrays(f"{folder}/bodies", bits, {})
 
     def write(self, shard: int, rows: pd.DataFrame) -> None:
-        rows = rows.assign(u=rows["gram"].to_numpy().view(np.uint64)).sort_values(["u", "item_id", "place"])
-        body = [np.frombuffer(w, "<u8") for w in rows["words"]]
+        rows = rows.assign(u=rows["gram"].to_numpy().view(np.uint64)).sort_values(["u", "item_id", "body", "place"])
+        # The words of an item are stored once a shard, not once a place.
+        which, bodies = pd.factorize(rows["words"])
+        body = [np.frombuffer(w, "<u8") for w in bodies]
         sizes = np.array([len(b) for b in body], np.int64)
         keys, first, n = np.unique(rows["u"].to_numpy(), return_index=True, return_counts=True)
         self.grams.write(shard, keys, {"first": first, "n": n})
+        values = {"item": rows["item_id"], "body": rows["body"], "place": rows["place"]}
         self.places.write(
             shard, rows["u"].to_numpy(),
-            {"item": rows["item_id"].to_numpy(), "place": rows["place"].to_numpy(), "size": sizes, "words": np.cumsum(sizes) - sizes},
+            {**{k: v.to_numpy() for k, v in values.items()}, "size": sizes[which], "words": (np.cumsum(sizes) - sizes)[which]},
         )
         self.bodies.write(shard, np.concatenate(body), {})
 
@@ -108,59 +111,45 @@ class _Seeds:
         row = np.repeat(got["first"][which] - (np.cumsum(n) - n), n) + np.arange(len(index))
         return index, shard_of(grams[index], self.grams.bits), row
 
-    def item(self, shard: int, row: int) -> tuple[int, int, np.ndarray]:
-        _, own = self.places.shard(shard)
-        words, at, size = self.bodies.shard(shard)[0], int(own["words"][row]), int(own["size"][row])
-        return int(own["item"][row]), int(own["place"][row]), words[at : at + size]
+    def owners(self, shard: np.ndarray, row: np.ndarray) -> dict[str, np.ndarray]:
+        """The columns of ``places`` for each hit."""
+        out = {name: np.zeros(len(row), np.int64) for name in self.places.columns}
+        for number in np.unique(shard).tolist():
+            at = np.flatnonzero(shard == number)
+            own = self.places.shard(number)[1]
+            for name, values in out.items():
+                values[at] = own[name][row[at]]
+        return out
 
+    def body(self, shard: int, at: int, size: int) -> np.ndarray:
+        return self.bodies.shard(shard)[0][at : at + size]
 
-def _seeds(rows: DataFrame, items: DataFrame, folder: str) -> _Seeds | None:
-    bits = shard_bits(rows.sparkSession)
-    grams = durable(_item_grams(items))
-    wanted = HashArrays(f"{folder}/wanted", bits, {})
+
+def _seeds(spark: SparkSession, items: DataFrame, folder: str) -> _Seeds | None:
+    bits = shard_bits(spark)
+    seeds = _Seeds(folder, bits)
+    grams = _item_grams(items).withColumn("body", F.xxhash64("words"))
 
     def numbered(batches):
         for batch in batches:
             shard = shard_of(batch.column("gram").to_numpy().view(np.uint64), bits)
             yield batch.append_column("shard", pa.array(shard, pa.int32()))
 
-    def store_wanted(key, part):
-        wanted.write(int(key[0]), np.unique(part["gram"].to_numpy().view(np.uint64)), {})
-        return pd.DataFrame({"n": [len(part)]})
-
-    distinct = grams.select("gram").distinct().mapInArrow(numbered, "gram long, shard int")
-    if not distinct.groupBy("shard").applyInPandas(store_wanted, "n long").agg(F.sum("n")).first()[0]:
-        return None
-
-    def count(batches):
-        for part in chunks(batches, "text"):
-            words = cut(part.column("text"), plain=True)
-            run, valid = windows(words.hashes(), words.text, GRAM)
-            keys, (counts,) = tally(run[valid])
-            found, _ = wanted.find(keys)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[found].view(np.int64)), pa.array(counts[found])], ["gram", "c"])
-
-    often = rows.select("text").mapInArrow(count, "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c"))
-    block = Window.partitionBy("item_id", "words", F.expr(f"place div {BLOCK}")).orderBy(F.coalesce("c", F.lit(0)), "gram", "place")
-    chosen = grams.join(often, "gram", "left").withColumn("rank", F.row_number().over(block)).where("rank = 1")
-    seeds = _Seeds(folder, bits)
-
     def store(key, part):
         seeds.write(int(key[0]), part)
         return pd.DataFrame({"n": [len(part)]})
 
-    columns = "gram long, item_id long, place long, words binary"
-    spread = chosen.select("gram", "item_id", "place", "words").mapInArrow(numbered, f"{columns}, shard int")
-    spread.groupBy("shard").applyInPandas(store, "n long").agg(F.sum("n")).collect()
-    drop_durable(grams)
-    return seeds
+    columns = "gram long, item_id long, body long, place long, words binary"
+    spread = grams.select("gram", "item_id", "body", "place", "words").mapInArrow(numbered, f"{columns}, shard int")
+    return seeds if spread.groupBy("shard").applyInPandas(store, "n long").agg(F.sum("n")).first()[0] else None
 
 
-def _stretches(at: np.ndarray, place: np.ndarray, size: int, n_words: int) -> list[tuple[int, int]]:
+def _stretches(at: np.ndarray, place: np.ndarray, size: int, n_words: int, share: float) -> list[tuple[int, int]]:
     """Parts of a document that may hold an item, from where its seeds were hit."""
-    slack = size // 2 + 2
+    # So many words can be inserted before the rest of a perfect copy falls below the share.
+    slack = int((1 - share) * MATCH * size / -GAP) + 2
     out: list[list[int]] = []
-    for start in np.sort(at - place).tolist():
+    for start in np.unique(at - place).tolist():
         low, high = max(start - slack, 0), min(start + size + slack, n_words)
         if out and low <= out[-1][1]:
             out[-1][1] = max(out[-1][1], high)
@@ -180,26 +169,34 @@ def _found(part: pa.RecordBatch, seeds: _Seeds, share: float):
         return
     at = at[index]
     text = words.text[at]
-    met: dict[tuple[int, int], tuple[np.ndarray, list, list]] = {}
-    for t, s, r, p in zip(text.tolist(), shard.tolist(), row.tolist(), (at - first[text]).tolist()):
-        item, place, body = seeds.item(s, r)
-        known = met.setdefault((t, item), (body, [], []))
-        known[1].append(p)
-        known[2].append(place)
-    for (t, item), (body, p, place) in met.items():
-        best = None
-        own = hashes[first[t] : first[t + 1]]
-        for low, high in _stretches(np.array(p), np.array(place), len(body), int(counts[t])):
-            score, start, end = align(body, own[low:high])
-            if best is None or score > best[0]:
-                best = (score, low + start, low + end)
-        if best[0] >= share * MATCH * len(body):
-            yield (t, item, best[0] / (MATCH * len(body)), *best[1:])
-
-
-def _prepared(docs: DataFrame, items: DataFrame, folder: str, text_column: str, item_column: str, item_text: str) -> _Seeds | None:
+    own = seeds.owners(shard, row)
+    # Hits of one text with one item; rows of different texts may share an item's id.
+    order = np.lexsort((own["body"], own["item"], text))
+    text, at, shard = text[order], (at - first[text])[order], shard[order]
+    own = {name: values[order] for name, values in own.items()}
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (np.diff(text) != 0) | (np.diff(own["item"]) != 0) | (np.diff(own["body"]) != 0)
+    edges = np.append(np.flatnonzero(fresh), len(order)).tolist()
+    best: dict[tuple[int, int], tuple] = {}
+    for a, b in zip(edges, edges[1:]):
+        t, item = int(text[a]), int(own["item"][a])
+        body = seeds.body(int(shard[a]), int(own["words"][a]), int(own["size"][a]))
+        around = hashes[first[t] : first[t + 1]]
+        for low, high in _stretches(at[a:b], own["place"][a:b], len(body), int(counts[t]), share):
+            # No alignment matches more words of the item than the stretch holds at all.
+            if np.count_nonzero(np.isin(body, around[low:high])) < share * len(body):
+                continue
+            score, start, end = align(body, around[low:high])
+            reached = score / (MATCH * len(body))
+            if score >= share * MATCH * len(body) and ((t, item) not in best or reached > best[t, item][0]):
+                best[t, item] = (reached, low + start, low + end)
+    for key, found in best.items():
+        yield (*key, *found)
+
+
+def _prepared(docs: DataFrame, items: DataFrame, folder: str, item_column: str, item_text: str) -> _Seeds | None:
     wanted = items.select(F.col(item_column).cast("long").alias("item_id"), F.col(item_text).alias("text")).where("item_id is not null")
-    return _seeds(docs.select(F.col(text_column).alias("text")), wanted, folder)
+    return _seeds(docs.sparkSession, wanted, folder)
 
 
 def contaminated(
@@ -210,13 +207,15 @@ def contaminated(
 
     ``share`` is the alignment's part of a perfect copy's score, at least the limit;
     ``start`` and ``end`` are the words of the document it spans. Words here are runs of
-    letters, digits and characters outside ASCII, compared in lower case. Documents without a hit give no row. Items of fewer than
-    three words, null texts and items without id match nothing; repeated items and rows
-    count each; a null document id stays null. Extra columns are ignored. ``folder``
-    lies on the shared store and receives the seeds.
+    letters, digits and characters outside ASCII, compared in lower case. Documents without a hit give no row. A copy in which
+    no three words in a row survive is not found: by substitutions alone its share is
+    at most 0.5 and one word, but a word inserted after every second one also hides it.
+    Items of fewer than three words, null texts and items without id match nothing;
+    repeated items and rows count each; a null document id stays null. Extra columns are
+    ignored. ``folder`` lies on the shared store and receives the seeds.
     """
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    seeds = _prepared(docs, items, folder, text_column, item_column, item_text)
+    seeds = _prepared(docs, items, folder, item_column, item_text)
     schema = f"doc_id long, {_HITS}"
     if seeds is None:
         return docs.sparkSession.createDataFrame([], schema)
@@ -239,7 +238,7 @@ def clean(
     item_text: str = "text", share: float = SHARE,
 ) -> DataFrame:
     """The rows of ``docs``, all columns, that copy no item."""
-    seeds = _prepared(docs, items, folder, text_column, item_column, item_text)
+    seeds = _prepared(docs, items, folder, item_column, item_text)
     if seeds is None:
         return docs
     rows = docs.select(F.struct(*docs.columns).alias("own"), F.col(text_column).alias("text"))

@@ -390,6 +390,27 @@ def test_contaminated(spark, folder):
     assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == [3, 4, 5, 6, 7]
 
 
+@pytest.mark.parametrize("edited", [0.10, 0.15, 0.20, 0.25])
+def test_contaminated_finds_what_alignment_finds(spark, folder, edited):
+    rng = np.random.default_rng(int(1000 * edited))
+    items = [[f"w{x}" for x in rng.integers(0, 60, n)] for n in rng.integers(15, 60, 40)]
+    items.append([f"v{i}" for i in range(60)])
+    docs = [[w if rng.random() >= edited else f"x{rng.integers(900)}" for w in item] for item in items for _ in range(8)]
+    docs += [[w if i % 6 else "other" for i, w in enumerate(item)] for item in items]
+    docs += [list(item) for item in items]
+    code = lambda body: cut(pa.array([" ".join(body)]), plain=True).hashes()
+    want = set()
+    for d, doc in enumerate(docs):
+        for i, item in enumerate(items):
+            share = decontaminate.align(code(item), code(doc))[0] / (2 * len(item))
+            if share >= 0.5 + 1 / len(item):
+                want.add((d, i))
+    table = spark.createDataFrame([(d, "filler " * 9 + " ".join(doc)) for d, doc in enumerate(docs)], "doc_id long, text string")
+    tests = spark.createDataFrame([(i, " ".join(item)) for i, item in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.share for r in decontaminate.contaminated(table, tests, folder).collect()}
+    assert want <= set(got) and min(got.values()) >= 0.5
+
+
 def test_contaminated_empty(spark, docs, none, folder):
     items = spark.createDataFrame([(1, "a b c d e")], "item_id long, text string")
     assert decontaminate.contaminated(none, items, folder).count() == 0
