@@ -37,18 +37,27 @@ def _sketches(docs: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """(id, n, shingles): each document's sorted shingle hashes as bytes."""
+    """(id, digest, n, shingles): each document's different sets of shingles, as sorted hashes in bytes.
+
+    ``docs`` says in ``repeated`` whether its id has several rows; only those are compared.
+    """
 
     def task(batches):
         for part in chunks(batches, "text"):
             shingle, offsets = shingle_sets(part.column("text"))
             raw, at = shingle.tobytes(), (8 * offsets).tolist()
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(np.diff(offsets), pa.int64()), pa.array([raw[a:b] for a, b in zip(at, at[1:])], pa.binary())],
-                ["id", "n", "shingles"],
+                [
+                    part.column("doc_id"), part.column("repeated"), pa.array(digests(shingle, offsets)[0]), pa.array(np.diff(offsets), pa.int64()),
+                    pa.array([raw[a:b] for a, b in zip(at, at[1:])], pa.binary()),
+                ],
+                ["id", "repeated", "digest", "n", "shingles"],
             )
 
-    return docs.mapInArrow(task, "id long, n long, shingles binary")
+    made = durable(docs.mapInArrow(task, "id long, repeated boolean, digest long, n long, shingles binary"))
+    columns = ["id", "digest", "n", "shingles"]
+    several = made.where("repeated").select(columns).dropDuplicates(["id", "digest", "n"])
+    return made.where("not repeated").select(columns).union(several)
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -91,12 +100,14 @@ def _rest_pairs(open_rows: DataFrame, sets: DataFrame, percent: int) -> DataFram
             raw = [np.frombuffer(x.as_buffer(), "<i8") for x in batch.column("shingles")]
             sizes = [len(x) for x in raw]
             rows = np.repeat(np.arange(len(raw)), sizes)
-            one = batch.select(["id", "component", "n"]).take(pa.array(rows))
-            yield pa.RecordBatch.from_arrays([*one.columns, pa.array(np.concatenate(raw), pa.int64())], ["id", "component", "n", "shingle"])
+            one = batch.select(own).take(pa.array(rows))
+            yield pa.RecordBatch.from_arrays([*one.columns, pa.array(np.concatenate(raw), pa.int64())], [*own, "shingle"])
 
-    spread = rows.select("id", "component", "n", "shingles").mapInArrow(task, "id long, component long, n long, shingle long")
+    own = ["id", "digest", "component", "n"]
+    spread = rows.select(*own, "shingles").mapInArrow(task, "id long, digest long, component long, n long, shingle long")
     often = spread.groupBy("shingle").agg(F.count("*").alias("often")).where("often > 1")
-    order = Window.partitionBy("id", "n").orderBy(F.coalesce("often", F.lit(1)), "shingle")
+    # One id may have several sets, also of equal size: each is ranked by itself.
+    order = Window.partitionBy("id", "digest", "n").orderBy(F.coalesce("often", F.lit(1)), "shingle")
     first = (
         spread.join(often, "shingle", "left")
         .withColumn("rank", F.row_number().over(order))
@@ -152,7 +163,8 @@ def near_duplicates(
         .where("rep != pivot")
     )
     involved = members.select(F.col("rep").alias("doc_id")).union(members.select("pivot")).distinct()
-    sets = durable(_sets(rows.join(involved, "doc_id")))
+    several = sketch.where("doc_id is not null").groupBy("doc_id").agg((F.count("*") > 1).alias("repeated"))
+    sets = _sets(rows.join(involved.join(several, "doc_id"), "doc_id"))
     first = members.where(_alike_in_size("n", "np", percent)).select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
     links = durable(_linked(first, sets, percent))
     joined = connected_components(links, "a", "b")

@@ -162,6 +162,41 @@ def test_near_duplicates_in_large_groups(spark):
     assert got == {i: c for i, (_, c) in brute.near(rows).items()}
 
 
+def test_near_duplicates_of_repeated_rows(spark):
+    """Every row twice, and ids with two texts of equal length."""
+    import random
+
+    rng = random.Random(6)
+    base = [f"b{i}" for i in range(104)]
+    rows = []
+    for i in range(150):
+        w = list(base)
+        for _ in range(rng.choice([1, 2, 3, 4])):
+            w[rng.randrange(104)] = f"e{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    got = {r.doc_id: r.component_id for r in near_dups.near_duplicates(brute.documents(spark, rows + rows)).collect()}
+    assert got == {i: c for i, (_, c) in brute.near(rows).items()}
+
+
+@pytest.mark.parametrize("other", ["same", "equal size"])
+def test_rest_pairs_with_several_rows_of_an_id(spark, other):
+    """Sets of 96 shingles, 8 to 13 of them different: each pair reaches the similarity."""
+    rng = np.random.default_rng(7)
+    rows, components, want = [], [], set()
+    for k in range(0, 400, 2):
+        left = rng.integers(0, 2**62, 100)
+        right = np.r_[left[: 100 - rng.integers(8, 14)], rng.integers(0, 2**62, 100)][:100]
+        for i, own in ((k, left), (k + 1, right)):
+            again = own if other == "same" else rng.integers(0, 2**62, 100)
+            rows += [(i, d, " ".join(f"s{x}" for x in body)) for d, body in enumerate((own, again))]
+            components.append((i, i))
+        want.add((k, k + 1))
+    table = spark.createDataFrame([(i, f"{t}") for i, _, t in rows], "doc_id long, text string").withColumn("repeated", F.lit(True))
+    sets = near_dups._sets(table)
+    pairs = near_dups._rest_pairs(spark.createDataFrame(components, "id long, component long"), sets, 75)
+    assert want <= {tuple(r) for r in pairs.collect()}
+
+
 def test_near_duplicates_odd_ids(spark, none):
     assert near_dups.near_duplicates(none).count() == 0
     text = " ".join(f"x{i}" for i in range(40))
