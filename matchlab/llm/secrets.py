@@ -41,11 +41,21 @@ BASE_RULES = (
     Rule("access", r"AKIA[A-Z0-9]{16,}"),
     Rule("hex", r"[0-9a-f]{24,}"),
 )
+_KEY_HEAD = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"
+# All up to the END line, unless another line of five dashes comes first. Only header lines hold dashes.
+_KEY_TO_END = r"[^-]*(?:-{1,4}[^-]+){0,40}-----END [A-Z ]{0,30}PRIVATE KEY-----"
+# A key without its end: header lines, base64 lines, and what begins the line after them; of
+# indented lines, all words up to the next other sign. No group repeats without a limit, as
+# Java's matcher needs stack for each turn; runs of one class need none.
+_KEY_LINES = (
+    r"(?:(?:\\[rn]|\s){1,40}[A-Z][A-Za-z-]{2,20}:\x20[^\s\\]+){0,10}(?:\\[rn]|[\s>|]){0,40}[A-Za-z0-9+/=]{20,}"
+    r"(?:(?:\\[rn]|[\r\n]){1,4}[\x20\t>|]+[A-Za-z0-9+/=]{19,}[A-Za-z0-9+/=\\\s>|]*[A-Za-z0-9+/=]|[A-Za-z0-9+/=\\\r\n]*[A-Za-z0-9+/=])?"
+)
 MORE_RULES = (
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"),
+    Rule("private_key", _KEY_HEAD + rf"(?:{_KEY_TO_END}|{_KEY_LINES})?", version=2),
 )
 RULES = BASE_RULES + MORE_RULES
 
