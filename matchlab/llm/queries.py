@@ -10,13 +10,16 @@ from pyspark.sql import functions as F
 
 from matchlab.llm.chat_tree import digests, read_conversations, write_tree
 from matchlab.llm.decontaminate import contaminated
+from matchlab.llm.fst_tokens import token_counts
 from matchlab.llm.html_paths import extract
 from matchlab.llm.lm_scoring import fit, score
 from matchlab.llm.near_dups import near_duplicates
 from matchlab.llm.packing import pack
 from matchlab.llm.quality import judge
 from matchlab.llm.repeats import remove_repeats
+from matchlab.llm.resampling import resample
 from matchlab.llm.secrets import BASE_RULES, RULES, findings, scan
+from matchlab.llm.spelling import spelling_variants
 from matchlab.llm.token_files import read_tokens, write_tokens
 from matchlab.session import scratch_path
 
@@ -223,3 +226,103 @@ def op3_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "chat-tree")
     write_tree(turns, folder, VOCABULARY)
     return digests(read_conversations(spark, folder))
+
+
+# Checksums of strings, half a byte at a time, lower half first; ``{0}`` is the string.
+_NIBBLES = """list_transform(range(1, 2 * octet_length(encode({0})) + 1), lambda i: strpos('0123456789ABCDEF',
+  substring(hex(encode({0})), case when i % 2 = 1 then i + 1 else i - 1 end, 1)) - 1)"""
+_HALVES = ", ".join(str(v) for v in (
+    0x00000000, 0x1DB71064, 0x3B6E20C8, 0x26D930AC, 0x76DC4190, 0x6B6B51F4, 0x4DB26158, 0x5005713C,
+    0xEDB88320, 0xF00F9344, 0xD6D6A3E8, 0xCB61B38C, 0x9B64C2B0, 0x86D3D2D4, 0xA00AE278, 0xBDBDF21C,
+))
+
+
+def _crc32_sql(string: str) -> str:
+    """The unsigned CRC-32 of a string's bytes, as DuckDB SQL."""
+    return f"""xor(4294967295, list_reduce(list_prepend(4294967295::bigint, {_NIBBLES.format(string)}::bigint[]),
+      lambda v, b: xor(v >> 4, ([{_HALVES}]::bigint[])[(xor(v, b) & 15) + 1])))"""
+
+
+_query_twin(
+    "op11_resample",
+    f"""
+    with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as ws from documents),
+    b as (select unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) as w from benchmark),
+    dw as (select doc_id, w, count(*) as c from (select doc_id, unnest(ws) as w from d) group by all),
+    n as (select w, sum(s) as s, sum(t) as t from (
+      select w, sum(c) as s, 0 as t from dw group by w union all select w, 0, count(*) from b group by w) group by w),
+    k as (select w, s, t, {_crc32_sql("w")} % 10000 as bucket from n),
+    g as (select bucket, cast(floor(1000 * ln((sum(k.t)::double + 1) * (any_value(x.s)::double + 10000)
+        / ((sum(k.s)::double + 1) * (any_value(x.t)::double + 10000)))) as bigint) as gain
+      from k, (select sum(s) as s, sum(t) as t from n) x group by bucket),
+    v as (select doc_id, sum(c * gain) as weight from dw join k using (w) join g using (bucket) group by doc_id),
+    f as (
+      select doc_id, len(ws) as n_features, coalesce(cast(weight as bigint), 0) as weight,
+        list_reduce(list_prepend(0::bigint, list_transform(range(1, 9), lambda i: (strpos('0123456789abcdef',
+          substring(sha256('2024:' || doc_id), i, 1)) - 1)::bigint)), lambda a, b: 16 * a + b) as h
+      from d left join v using (doc_id)),
+    r as (select *, weight + cast(floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296))) as bigint) as score from f),
+    drawn as (
+      select doc_id, row_number() over (order by score desc, doc_id) as place, count(*) over () as total
+      from r where n_features >= 20)
+    select doc_id, n_features, weight, score, case when place <= 10 * total // 100 then place end as rank
+    from r left join drawn using (doc_id)
+    """,
+)
+
+
+@_query
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's weight towards the benchmark, its score, and its rank if drawn."""
+    drawn = resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@_query
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's bytes and tokens."""
+    return token_counts(_table(spark, sf_dir, "documents"), VOCABULARY)
+
+
+_query_twin(
+    "op13_spelling",
+    f"""
+    with recursive runs as (
+      select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')) as run from documents),
+    told as (select doc_id || ':' || run as s, run, count(*) as c from runs group by all),
+    summed as (select run, c, {_crc32_sql("s")} as h from told),
+    w as (
+      select word, sum(c)::bigint as n from (
+        select c, case when h % 97 = 0 then substring(run, 1, h % length(run)) || substring(run, h % length(run) + 2) else run end as word
+        from summed) where length(word) >= 5 group by word having sum(c) >= 3),
+    holes as (
+      select word, n, j, unnest([false, true]) as opened from (select word, n, unnest(range(length(word) + 1)) as j from w)),
+    keyed as (
+      select word, n, opened, substring(word, 1, j) || '*' || substring(word, case when opened then j + 1 else j + 2 end) as key
+      from holes where opened or j < length(word)),
+    pairs as (select distinct a.word, b.word as other, b.n as other_n
+      from keyed a join keyed b on a.key = b.key and a.word <> b.word and not (a.opened and b.opened)),
+    best as (
+      select word, count(*) as n_near, first(other order by other_n desc, other) as form, max(other_n) as form_n
+      from pairs group by word),
+    formed as (
+      select w.word, n, coalesce(n_near, 0) as n_near, case when form_n >= 2 * n then form end as form,
+        case when form_n >= 2 * n then form_n end as form_n
+      from w left join best using (word)),
+    chain as (
+      select word, word as here, 0 as steps from formed
+      union all
+      select chain.word, form, steps + 1 from chain join formed on here = formed.word where form is not null)
+    select f.word, form, here as root, n, n_near, form_n
+    from formed f join (select word, last(here order by steps) as here from chain group by word) using (word)
+    """,
+)
+
+
+@_query
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frequent word, its near words' number, its form and the root of its forms."""
+    return spelling_variants(_table(spark, sf_dir, "documents"))
