@@ -8,6 +8,7 @@ from matchlab.catalog.registry import query
 from matchlab.catalog.views import twin, view
 from matchlab.functions import grid as G
 from matchlab.functions import metrics as M
+from matchlab.functions import sql as S
 
 # Twin of the grid: one row per match and cell.
 CELLS = """
@@ -260,3 +261,14 @@ def weighted_nll(spark, sf):
     weight = 1.0 + F.col("match_id") % 5
     total = F.sum(nll * weight) / F.greatest(F.sum(weight), F.lit(1e-10))
     return scored(spark, sf).agg(F.round(total, 6).alias("weighted_nll"))
+
+
+@query("sql_markets", twin("tb_params", CELLS + MARKETS + f"select match_id, {_FLAT} from markets"))
+def sql_markets(spark, sf):
+    """Markets by the registered SQL functions alone."""
+    S.register(spark)
+    view(spark, sf, "tb_params").createOrReplaceTempView("forecasts")
+    columns = ", ".join(f"round(m.{c}, 6) as {c}" for c in G.MARKETS)
+    return spark.sql(
+        f"select match_id, {columns} from (select match_id, score_markets(score_grid(lambda_home, lambda_away, rho)) as m from forecasts)"
+    )

@@ -15,6 +15,7 @@ from matchlab.catalog.timelines import ELO, HISTORY, LONG
 from matchlab.catalog.views import table, twin, view
 from matchlab.functions import text as X
 from matchlab.models import goal_rates as G
+from matchlab.models import poisson_glm as L
 from matchlab.models import score_net as N
 from matchlab.models import trees as T
 from matchlab.operators import context as K
@@ -106,7 +107,7 @@ fit as (
                   select r.fold_idx, half, att, def, gamma, rho, worst, h, a, neutral, w, w_home, w_away, n00, n10, n01, n11,
                     exp(att[h] + def[a] + case when neutral then 0 else gamma end) as lh, exp(att[a] + def[h]) as la
                   from (select *, max(worst) over () as still from fit) r join met m on m.fold_idx = r.fold_idx
-                  where half % 2 = 1 or still >= 1e-4)))))
+                  where half % 2 = 1 or still >= 1e-9)))))
         group by fold_idx, half, att, def, gamma, rho, worst, e.t))
     group by fold_idx, half, att, def, gamma, rho, worst)),
 fitted as (select * from fit qualify half = max(half) over ())
@@ -117,9 +118,11 @@ rates as (select match_id, exp(att[x.i] + def[y.i] + case when neutral then 0 el
   from asked q join fitted using (fold_idx) join idx x on x.fold_idx = q.fold_idx and x.team = home_team
   join idx y on y.fold_idx = q.fold_idx and y.team = away_team)
 """
+# Teams of different pools never meet; the first of each pool has attack 0.
 PARAMETERS = """
-  team, round(att[i] - att[1], 6) as log_alpha, round(def[i] + att[1], 6) as log_beta, round(gamma, 6) as log_gamma,
-  round(rho, 6) as rho from fitted join idx using (fold_idx)
+  team, round(att[i] - att[one], 6) as log_alpha, round(def[i] + att[one], 6) as log_beta, round(gamma, 6) as log_gamma,
+  round(rho, 6) as rho from fitted join (select *, first_value(i) over (
+    partition by fold_idx, cast(substring(team, 2) as int) % 8 order by team) as one from idx) using (fold_idx)
 """
 
 
@@ -152,6 +155,35 @@ def dc_fit_folds(spark, sf):
     return df.select("fold_idx", "team", *[F.round(c, 6).alias(c) for c in names])
 
 
+# Rates without the low scores, then the root of the slope in rho.
+GLM = STATS.replace("stats as (", "whole as (") + """
+stats as (select * replace (0.0::double as n00, 0.0::double as n10, 0.0::double as n01, 0.0::double as n11) from whole),
+""" + FIT + """,
+placed as (select s.*, exp(att[x.i] + def[y.i] + case when neutral then 0 else gamma end) as lh, exp(att[y.i] + def[x.i]) as la
+  from whole s join fitted using (fold_idx) join idx x on x.fold_idx = s.fold_idx and x.team = home_team
+  join idx y on y.fold_idx = s.fold_idx and y.team = away_team),
+search as (
+  select 0 as step, 0.0::double as low_rho
+  union all
+  select step + 1, greatest(-0.99, least(0.99, low_rho + sum(g) / sum(g2))) from (
+    select step, low_rho, -n00 * lh * la / f00 + n10 * la / f10 + n01 * lh / f01 - n11 / f11 as g,
+      n00 * lh * la * lh * la / (f00 * f00) + n10 * la * la / (f10 * f10) + n01 * lh * lh / (f01 * f01) + n11 / (f11 * f11) as g2
+    from (select *, 1 - lh * la * low_rho as f00, 1 + la * low_rho as f10, 1 + lh * low_rho as f01, 1 - low_rho as f11
+      from search, placed where step < 30))
+  group by step, low_rho)
+"""
+
+
+@query(
+    "poisson_glm_fit",
+    twin("tb_matches", GLM + "select" + PARAMETERS.replace("round(rho, 6)", "(select round(low_rho, 6) from search where step = 30)"), True),
+)
+def poisson_glm_fit(spark, sf):
+    teams, scalars = L.fit(G.sufficient_stats(view(spark, sf, "tb_matches")))
+    df = teams.join(F.broadcast(scalars))
+    return df.select("team", *[F.round(c, 6).alias(c) for c in ("log_alpha", "log_beta", "log_gamma", "rho")])
+
+
 # Given parameters instead of fitted ones, so that the prediction has a twin.
 GIVEN = """
 params as (select concat('T', cast(c_custkey as varchar(10))) as team, (c_custkey % 9 - 4) / 20.0 as log_alpha,
@@ -484,9 +516,16 @@ odds as (select m.match_id, coalesce(s.odds_home, r.odds_away) as odds_home,
 """) + """
 select match_id, round(lambda_home, 6) as lambda_home, round(lambda_away, 6) as lambda_away, round(home_win, 6) as prob_home,
   round(draw, 6) as prob_draw, round(away_win, 6) as prob_away, pick as best_edge_outcome, round(edge, 6) as best_edge,
-  is_value, round(case when is_value and price > 1 then stake else 0 end, 6) as kelly_stake
-from staked join adjusted using (match_id)
+  is_value, round(case when is_value and price > 1 then stake else 0 end, 6) as kelly_stake,
+  round(coalesce(lasth.r, 1500), 6) as elo_home_pre, round(coalesce(lasta.r, 1500), 6) as elo_away_pre
+from staked join adjusted using (match_id) join asked using (match_id)
+left join lastly lasth on lasth.team = asked.home_team left join lastly lasta on lasta.team = asked.away_team
 """
+# The latest ratings of the played rows.
+LASTLY = ELO.replace("tb_matches", "past") + """,
+lastly as (select team, arg_max(r, struct_pack(d := match_date, m := match_id)) as r from (
+  select home_team as team, match_date, match_id, hn as r from rated
+  union all select away_team, match_date, match_id, an from rated) group by team),"""
 ASKED = """,
 asked as (select match_id, home_team, away_team, true as neutral, 0 as fold_idx from tb_matches
   where match_date >= date '2001-07-01'),"""
@@ -499,7 +538,7 @@ def _run(spark, sf, history, **options):
     )
     losses, sentiment, trajectory = signal_tables(spark, sf)
     df = P.predict_upcoming(history, schedule, listed(spark, sf), losses, sentiment, trajectory, **options)
-    names = ["lambda_home", "lambda_away", "prob_home", "prob_draw", "prob_away", "best_edge", "kelly_stake"]
+    names = ["lambda_home", "lambda_away", "prob_home", "prob_draw", "prob_away", "best_edge", "kelly_stake", "elo_home_pre", "elo_away_pre"]
     return df.select("match_id", "best_edge_outcome", "is_value", *[F.round(c, 6).alias(c) for c in names])
 
 
@@ -510,7 +549,7 @@ def _before(spark, sf, day):
 @query(
     "predict_upcoming",
     twin("tb_matches", """
-    past as (select * from tb_matches where match_date < date '2001-07-01'),"""
+    past as (select * from tb_matches where match_date < date '2001-07-01'),""" + LASTLY
     + stats_sql("past", "(select max(match_date) from past)") + FIT + ASKED + RUN, True),
 )
 def predict_upcoming(spark, sf):
@@ -521,8 +560,9 @@ def predict_upcoming(spark, sf):
 @query(
     "predict_upcoming_injected",
     twin("tb_matches", """
-    past as (select * replace (neutral or match_date >= date '2001-01-01' as neutral) from tb_matches
-      where match_date < date '2001-07-01'),"""
+    past as (select * replace (neutral or match_date >= date '2001-01-01' as neutral,
+      case when match_date >= date '2001-01-01' then 'FIFA World Cup' else tournament end as tournament) from tb_matches
+      where match_date < date '2001-07-01'),""" + LASTLY
     + stats_sql("past", "(select max(match_date) from past)") + FIT + ASKED + RUN, True),
 )
 def predict_upcoming_injected(spark, sf):

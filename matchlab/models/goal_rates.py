@@ -2,24 +2,36 @@
 
 The likelihood of a match depends only on (home, away, neutral) and on whether
 the score is one of four low ones, so matches are reduced once, by a map-side
-aggregate, to weighted counts per pairing.  The fit is a sequence of joins and
-aggregates over that table; teams and parameters stay in DataFrames, and all
-folds of a back-test are fitted by the same jobs.
+aggregate, to weighted counts per pairing.  The fit takes Newton steps, one aggregate
+over that table each; teams and parameters stay in DataFrames, and all folds of a
+back-test are fitted by the same jobs.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchlab import constants as C
 from matchlab.functions.grid import with_outcome_probs, with_score_grid
+from matchlab.operators.components import connected_components
 from matchlab.operators.context import latest_date
 from matchlab.session import drop_durable, durable
 
 _LOW = {"n00": (0, 0), "n10": (1, 0), "n01": (0, 1), "n11": (1, 1)}
 _SUMS = ("w", "w_home", "w_away", *_LOW)
 
+#: Parameters of a model that one task solves for; larger models take conjugate gradients.
+DENSE = 2048
+#: Curvature, relative to a parameter's own, below which a direction is left where it is.
+RIDGE = 1e-10
+#: Share of the largest curvature below which a parameter does not delay the end of a fit.
+NEGLIGIBLE = 1e-9
+#: Log rate of a side without goals: so low that no other parameter gains by lowering it further.
+HELD = -40.0
+
 
 def sufficient_stats(
     matches: DataFrame,
@@ -120,171 +132,302 @@ def log_likelihood(rated: DataFrame) -> Column:
     return total
 
 
-def _moves() -> dict[str, tuple[Column, Column]]:
-    """Slope and curvature of the log-likelihood per pairing, by parameter."""
-    lh, la, rho = F.col("lh"), F.col("la"), F.col("rho")
-    factors = _factors()
+# A pairing's terms as SQL text: built once, analysed quickly in every round.
+_FACTORS = {"n00": "1 - lh * la * rho", "n10": "1 + la * rho", "n01": "1 + lh * rho", "n11": "1 - rho"}
+# First and second derivatives of each low-score factor in (log lh, log la, rho).
+_FIRST = {
+    "n00": ("-lh * la * rho", "-lh * la * rho", "-lh * la"), "n10": ("0", "la * rho", "la"),
+    "n01": ("lh * rho", "0", "lh"), "n11": ("0", "0", "-1"),
+}
+_SECOND = {
+    "n00": {(0, 0): "-lh * la * rho", (1, 1): "-lh * la * rho", (0, 1): "-lh * la * rho", (0, 2): "-lh * la", (1, 2): "-lh * la"},
+    "n10": {(1, 1): "la * rho", (1, 2): "la"}, "n01": {(0, 0): "lh * rho", (0, 2): "lh"}, "n11": {},
+}
+_PAIRS = [(i, j) for i in range(3) for j in range(i, 3)]
 
-    def term(name: str, slope: Column) -> Column:
-        live = factors[name] > C.LOG_FLOOR
-        return F.when(live, F.col(name) * slope / factors[name]).otherwise(0.0)
-
-    home = (
-        F.col("w_home") - F.col("w") * lh + term("n00", -lh * la * rho) + term("n01", lh * rho)
-    )
-    away = (
-        F.col("w_away") - F.col("w") * la + term("n00", -lh * la * rho) + term("n10", la * rho)
-    )
-    slopes = {"n00": -lh * la, "n10": la, "n01": lh, "n11": F.lit(-1.0)}
-    rho_slope = sum((term(n, s) for n, s in slopes.items()), F.lit(0.0))
-    rho_curve = sum(
-        (
-            F.when(factors[n] > C.LOG_FLOOR, F.col(n) * (s / factors[n]) * (s / factors[n])).otherwise(0.0)
-            for n, s in slopes.items()
-        ),
-        F.lit(0.0),
-    )
-    return {
-        "home": (home, F.col("w") * lh),
-        "away": (away, F.col("w") * la),
-        "rho": (rho_slope, rho_curve),
-    }
 
+def _live_terms() -> list[str]:
+    """Each factor, and its weighted count divided by it; a factor at the floor no longer reacts."""
+    return [f"{f} as f_{n}" for n, f in _FACTORS.items()] + [f"if({f} > {C.LOG_FLOOR}D, {n} / ({f}), 0D) as t_{n}" for n, f in _FACTORS.items()]
 
-def _sweep(rated: DataFrame, by: list[str], part: str) -> DataFrame:
-    """(by, kind, team, slope, curve) summed over pairings for one block of parameters."""
-    moves = _moves()
 
-    def entry(kind: str, team: Column, source: str, keep: Column | None = None) -> Column:
-        slope, curve = moves[source]
-        if keep is not None:
-            slope, curve = F.when(keep, slope).otherwise(0.0), F.when(keep, curve).otherwise(0.0)
-        return F.struct(
-            F.lit(kind).alias("kind"), team.alias("team"), slope.alias("slope"), curve.alias("curve")
-        )
+def _sums() -> dict[str, str]:
+    """Log-likelihood, slopes and negative curvatures of a pairing."""
+    out = {
+        "ll": "w_home * ln(lh) - w * lh + w_away * ln(la) - w * la"
+        + "".join(f" + {n} * ln(greatest(f_{n}, {C.LOG_FLOOR}D))" for n in _FACTORS)
+    }
+    plain = ("w_home - w * lh", "w_away - w * la", "0D")
+    for i in range(3):
+        out[f"s{i}"] = plain[i] + "".join(f" + t_{n} * ({_FIRST[n][i]})" for n in _FACTORS if _FIRST[n][i] != "0")
+    bent = {(0, 0): "w * lh", (1, 1): "w * la"}
+    for i, j in _PAIRS:
+        terms = bent.get((i, j), "0D")
+        for n in _FACTORS:
+            if "0" not in (_FIRST[n][i], _FIRST[n][j]):
+                terms += f" + t_{n} * ({_FIRST[n][i]}) * ({_FIRST[n][j]}) / if(f_{n} > {C.LOG_FLOOR}D, f_{n}, 1D)"
+            if (i, j) in _SECOND[n]:
+                terms += f" - t_{n} * ({_SECOND[n][i, j]})"
+        out[f"c{i}{j}"] = terms
+    return out
+
+
+def _entries() -> str:
+    """All sums by the parameters they belong to; a parameter is named by a letter and its team."""
+    owners = [
+        ("concat('a', home_team)", 0), ("concat('d', away_team)", 0), ("if(neutral, null, 'gamma')", 0),
+        ("concat('a', away_team)", 1), ("concat('d', home_team)", 1), ("'rho'", 2),
+    ]
+    rows = [("''", "''", "ll")] + [(p, "''", f"s{i}") for p, i in owners]
+    for x, (p, i) in enumerate(owners):
+        for q, j in owners[x:]:
+            value = f"c{min(i, j)}{max(i, j)}"
+            rows.append((f"least({p}, {q})", f"if({p} is null or {q} is null, null, greatest({p}, {q}))", value))
+    structs = (f"named_struct('i', {i}, 'j', {j}, 'value', {v})" for i, j, v in rows)
+    return f"inline(array({', '.join(structs)}))"
 
-    none = F.lit("")
-    if part == "attack":
-        entries = [
-            entry("team", F.col("home_team"), "home"), entry("team", F.col("away_team"), "away"),
-        ]
-    else:
-        entries = [
-            entry("team", F.col("away_team"), "home"), entry("team", F.col("home_team"), "away"),
-            entry("log_gamma", none, "home", ~F.col("neutral")), entry("rho", none, "rho"),
-        ]
-    rows = rated.select(*by, F.explode(F.array(*entries)).alias("e")).select(*by, "e.*")
-    return rows.groupBy(*by, "kind", "team").agg(
-        F.sum("slope").alias("slope"), F.sum("curve").alias("curve")
-    )
 
+def _moments(rated: DataFrame, by: list[str]) -> DataFrame:
+    """(by, i, j, value): summed log-likelihood (i and j empty), slopes (j empty) and negative curvatures.
 
-def _step(slope: Column, curve: Column) -> Column:
-    """Multiplicative Poisson update on the log scale, bounded for teams without goals."""
-    ratio = F.greatest(slope / F.greatest(curve, F.lit(1e-12)), F.lit(-0.9))
-    return F.log1p(ratio)
+    Curvatures are told once for i <= j.
+    """
+    keys = [*by, "home_team", "away_team", "neutral"]
+    # A generator of one row keeps the terms from being copied into every sum that uses them.
+    once = lambda values: f"inline(array(struct({', '.join(values)})))"
+    sums = _sums()
+    rows = rated.selectExpr(*keys, *_SUMS, "lh", "la", "rho", once(_live_terms()))
+    rows = rows.selectExpr(*keys, once([f"{v} as {k}" for k, v in sums.items()])).selectExpr(*by, _entries())
+    return rows.where("i is not null and j is not null").groupBy(*by, "i", "j").agg(F.sum("value").alias("value"))
 
 
 def _start(stats: DataFrame, by: list[str]) -> DataFrame:
-    """State table: one row per team and one per scalar of every model.
+    """(by, i, value): every parameter of every model; all pairings start at the mean goal rate.
 
-    All pairings start at the mean goal rate: attack 0, defence log(mean).
+    A side without any goal has no finite optimum. Its parameter is held at the floor (``held``).
     """
-    sides = F.explode(F.array("home_team", "away_team")).alias("team")
-    teams = stats.select(*by, sides).distinct()
+    sides = F.explode(
+        F.array(
+            *[
+                F.struct(F.concat(F.lit(kind), F.col(f"{side}_team")).alias("i"), F.col(goals).alias("goals"))
+                for kind, side, goals in (("a", "home", "w_home"), ("a", "away", "w_away"), ("d", "home", "w_away"), ("d", "away", "w_home"))
+            ]
+        )
+    )
+    teams = stats.select(*by, sides.alias("s")).groupBy(*by, F.col("s.i").alias("i")).agg((F.sum("s.goals") <= 0).alias("held"))
     mean = F.sum(F.col("w_home") + F.col("w_away")) / (2 * F.sum("w"))
-    means = stats.groupBy(*by).agg(F.log(F.greatest(mean, F.lit(0.1))).alias("defence"))
+    means = stats.groupBy(*by).agg(F.log(F.greatest(mean, F.lit(0.1))).alias("mean"))
     if by:
         teams = teams.join(F.broadcast(means), by)
     else:
-        teams = teams.withColumn("defence", means.scalar())
-    teams = teams.select(
-        *by, F.lit("team").alias("kind"), "team", F.lit(0.0).alias("attack"), "defence",
-        F.lit(0.0).alias("value"), F.lit(0.0).alias("gap"),
-    )
-    kinds = F.explode(F.array(F.lit("log_gamma"), F.lit("rho"))).alias("kind")
-    scalars = means.select(
-        *by, kinds, F.lit("").alias("team"), F.lit(0.0).alias("attack"),
-        F.lit(0.0).alias("defence"), F.lit(0.0).alias("value"), F.lit(0.0).alias("gap"),
-    )
-    return durable(teams.unionByName(scalars))
+        teams = teams.withColumn("mean", means.scalar())
+    value = F.when(F.col("held"), HELD).when(F.col("i").startswith("d"), F.col("mean")).otherwise(0.0)
+    teams = teams.select(*by, "i", value.alias("value"), "held")
+    scalars = means.select(*by, F.explode(F.array(F.lit("gamma"), F.lit("rho"))).alias("i"), F.lit(0.0).alias("value"), F.lit(False).alias("held"))
+    return teams.unionByName(scalars)
 
 
 def _parts(state: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
-    teams = state.filter("kind = 'team'").select(*by, "team", "attack", "defence")
-    scalars = state.filter("kind <> 'team'").groupBy(*by).agg(
-        F.max(F.when(F.col("kind") == "log_gamma", F.col("value"))).alias("log_gamma"),
-        F.max(F.when(F.col("kind") == "rho", F.col("value"))).alias("rho"),
+    """(teams with attack and defence, scalars) of a state."""
+    of = lambda name: F.max(F.when(F.col("i") == name, F.col("value")))
+    kind, team = F.substring("i", 1, 1), F.expr("substring(i, 2)")
+    single = F.col("i").isin("gamma", "rho")
+    teams = state.where(~single).groupBy(*by, team.alias("team")).agg(
+        F.max(F.when(kind == "a", F.col("value"))).alias("attack"), F.max(F.when(kind == "d", F.col("value"))).alias("defence")
     )
+    scalars = state.where(single).groupBy(*by).agg(of("gamma").alias("log_gamma"), of("rho").alias("rho"))
     return teams, scalars
 
 
-def _advance(state: DataFrame, moved: DataFrame, by: list[str], part: str) -> DataFrame:
-    """State after one block update; ``gap`` is the largest relative slope before the sweep's updates."""
-    joined = state.withColumnRenamed("gap", "_gap").join(moved, [*by, "kind", "team"], "left")
-    slope, curve = F.coalesce("slope", F.lit(0.0)), F.coalesce("curve", F.lit(0.0))
-    step = F.when(curve > 0, _step(slope, curve)).otherwise(0.0)
-    newton = F.when(curve > 0, slope / curve).otherwise(0.0)
-    bound = F.lit(C.RHO_BOUND)
-    # rho moves together with the rates it is fitted against, so by part-steps.
-    rho = F.greatest(-bound, F.least(bound, F.col("value") + 0.7 * newton))
-    # A team without goals has no finite optimum; it must not keep the loop alive.
-    live = (slope + curve) > 1e-6 * curve
-    gap = F.when(live & (curve > 0), F.abs(slope) / curve).otherwise(0.0)
-    if part == "defence":
-        gap = F.greatest("_gap", gap)
-    return durable(
-        joined.withColumns(
-            {
-                part: F.when(F.col("kind") == "team", F.col(part) + step).otherwise(F.col(part)),
-                "value": F.when(F.col("kind") == "log_gamma", F.col("value") + step)
-                .when(F.col("kind") == "rho", rho)
-                .otherwise(F.col("value")),
-                "gap": gap,
-            }
-        ).drop("slope", "curve", "_gap")
+#: What a round leaves to the next beside the values: the point and step they come from, how
+#: far a step may go, the likelihood at that point.
+_CONTROL = "base double, step double, radius double, best double"
+
+
+def _dense_steps(moments: DataFrame, state: DataFrame, by: list[str]) -> DataFrame:
+    """``state`` with Newton steps (``fresh``), one model a task, for models of at most ``DENSE`` parameters."""
+    kinds = [f"{c} {state.schema[c].dataType.simpleString()}" for c in by]
+    schema = ", ".join([*kinds, f"i string, value double, held boolean, {_CONTROL}, first string, fresh double, c double, reached double"])
+
+    def solve(sums: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        own = own.drop(columns=["move", "first", "_model"], errors="ignore")
+        names = pd.Index(own["i"])
+        rows, cols, value = names.get_indexer(sums["i"]), names.get_indexer(sums["j"]), sums["value"].to_numpy()
+        slope, curve = np.zeros(len(names)), np.zeros((len(names), len(names)))
+        first = (rows >= 0) & (sums["j"] == "").to_numpy()
+        slope[rows[first]] = value[first]
+        both = (rows >= 0) & (cols >= 0)
+        curve[rows[both], cols[both]] = curve[cols[both], rows[both]] = value[both]
+        at = own["value"].to_numpy()
+        at_edge = (names == "rho") & (np.abs(at) >= C.RHO_BOUND) & (at * slope > 0)
+        weight = np.where(own["held"].to_numpy(), 0.0, np.diag(curve))
+        live = (weight > 0) & ~at_edge
+        step = np.zeros(len(names))
+        if live.any():
+            scale = 1 / np.sqrt(weight[live])
+            scaled = curve[np.ix_(live, live)] * scale * scale[:, None]
+            # The common shift of attack against defence has no curvature; directions below RIDGE stay where they are.
+            ridge = RIDGE
+            while True:
+                try:
+                    low = np.linalg.cholesky(scaled + ridge * np.eye(len(scaled)))
+                    break
+                except np.linalg.LinAlgError:
+                    ridge *= 100
+            step[live] = scale * np.linalg.solve(low.T, np.linalg.solve(low, scale * slope[live]))
+        reached = value[(sums["i"] == "").to_numpy()].sum()
+        # The first team of all that are linked by matches.
+        teams, rank = np.unique(names.str[1:], return_inverse=True)
+        linked = (curve != 0) & ~names.isin(["gamma", "rho"])[:, None] & ~names.isin(["gamma", "rho"])
+        while True:
+            least = np.minimum(rank, np.where(linked, rank, len(teams)).min(axis=1))
+            if (least == rank).all():
+                break
+            rank = least
+        return own.assign(fresh=step, c=weight, reached=reached, first=teams[rank])
+
+    if not by:
+        moments, state = (df.withColumn("_model", F.lit(0)) for df in (moments, state))
+    keyed = by or ["_model"]
+    return moments.groupBy(*keyed).cogroup(state.groupBy(*keyed)).applyInPandas(solve, schema)
+
+
+def _in_each(table: DataFrame, by: list[str], **sums: Column) -> DataFrame:
+    """``table`` with aggregates of each model in every row."""
+    totals = [c.alias(k) for k, c in sums.items()]
+    if by:
+        return table.join(F.broadcast(table.groupBy(*by).agg(*totals)), by)  # one row a model
+    one = table.agg(*totals)
+    return table.withColumns({k: one.select(k).scalar() for k in sums})
+
+
+def _conjugate_steps(moments: DataFrame, state: DataFrame, by: list[str], most: int = 200, enough: float = 1e-4) -> DataFrame:
+    """``state`` with Newton steps (``fresh``) by conjugate gradients over the table of curvatures.
+
+    Needs no model to fit into a task: a join and an aggregate each, to a relative residual of ``enough``.
+    """
+    keys = [*by, "i"]
+    moments = durable(moments)
+    slopes = moments.where("i <> '' and j = ''").select(*keys, F.col("value").alias("slope"))
+    off = moments.where("j <> ''")
+    diagonal = off.where("i = j and value > 0").select(*keys, F.col("value").alias("c"))
+    outward = (F.col("i") == "rho") & (F.abs("value") >= C.RHO_BOUND) & (F.col("value") * F.col("slope") > 0)
+    live = state.where("not held").join(slopes, keys).join(diagonal, keys).where(~outward)
+    scaled = live.select(*keys, F.sqrt("c").alias("c"), (F.col("slope") / F.sqrt("c")).alias("r"))
+    vectors = durable(scaled.select(*keys, "c", F.lit(0.0).alias("x"), "r", F.col("r").alias("p")))
+    side = lambda n: vectors.select(*by, F.col("i").alias(n), F.col("c").alias(f"_{n}"))
+    matrix = off.where("i <> j").join(side("i"), keys).join(side("j"), [*by, "j"])
+    matrix = matrix.select(*keys, "j", (F.col("value") / (F.col("_i") * F.col("_j"))).alias("h"))
+    matrix = durable(matrix.unionByName(matrix.select(*by, F.col("j").alias("i"), F.col("i").alias("j"), "h")))
+    square = lambda c: F.sum(F.col(c) * F.col(c))
+    total = vectors.agg(square("r")).first()[0] or 0.0
+    for _ in range(most):
+        ahead = vectors.select(*by, F.col("i").alias("j"), F.col("p").alias("_p"))
+        pulled = matrix.join(ahead, [*by, "j"]).groupBy(*keys).agg(F.sum(F.col("h") * F.col("_p")).alias("_q"))
+        rows = vectors.join(pulled, keys, "left").withColumn("q", F.coalesce("_q", F.lit(0.0)) + (1 + RIDGE) * F.col("p"))
+        rows = _in_each(rows, by, _rr=square("r"), _pq=F.sum(F.col("p") * F.col("q")))
+        ahead_by = F.when(F.col("_pq") > 0, F.col("_rr") / F.col("_pq")).otherwise(0.0)
+        rows = rows.withColumns({"x": F.col("x") + ahead_by * F.col("p"), "r": F.col("r") - ahead_by * F.col("q")})
+        rows = _in_each(rows, by, _new=square("r"))
+        turn = F.when(F.col("_rr") > 0, F.col("_new") / F.col("_rr")).otherwise(0.0)
+        before, vectors = vectors, durable(rows.select(*keys, "c", "x", "r", (F.col("r") + turn * F.col("p")).alias("p")))
+        drop_durable(before)
+        if (vectors.agg(square("r")).first()[0] or 0.0) <= enough**2 * total:
+            break
+    drop_durable(matrix)
+    steps = vectors.select(*keys, (F.col("x") / F.col("c")).alias("fresh"), (F.col("c") * F.col("c")).alias("c"))
+    rows = state.drop("move").join(steps, keys, "left").fillna(0.0, ["fresh", "c"])
+    told = moments.where("i = ''").select(*by, F.col("value").alias("reached"))
+    return rows.join(F.broadcast(told), by) if by else rows.withColumn("reached", told.select("reached").scalar())
+
+
+def _moved(rows: DataFrame, by: list[str]) -> DataFrame:
+    """The state after a round.
+
+    Where the likelihood fell, the last step was too long: a quarter of it is taken from the
+    point it started at. Else the round's own step is, within a radius that grows again; all
+    parameters of a model move in proportion. ``move`` is the whole step of a parameter that
+    carries weight, else 0.
+    """
+    rows = _in_each(rows, by, most=F.max("c"), long_old=F.max(F.abs("step")), long_new=F.max(F.abs("fresh")))
+    worse = F.col("reached") < F.col("best") - 1e-10 * F.abs("best")
+    pick = lambda old, new: F.when(worse, old).otherwise(new)
+    rows = rows.withColumns(
+        {
+            "base": pick(F.col("base"), F.col("value")), "step": pick(F.col("step"), F.col("fresh")),
+            "longest": pick(F.col("long_old"), F.col("long_new")), "best": pick(F.col("best"), F.col("reached")),
+            "radius": pick(F.least("radius", "long_old") / 4, F.least(F.lit(2.0), 2 * F.col("radius"))),
+        }
+    )
+    moved = F.col("base") + F.col("step") * F.least(F.lit(1.0), F.col("radius") / F.greatest("longest", F.lit(1e-300)))
+    bounded = F.greatest(F.lit(-C.RHO_BOUND), F.least(F.lit(C.RHO_BOUND), moved))
+    weighty = F.col("c") > NEGLIGIBLE * F.col("most")
+    return rows.select(
+        *by, "i", F.when(F.col("i") == "rho", bounded).otherwise(moved).alias("value"), "held", "base", "step", "radius", "best", "first",
+        F.when(weighty, F.abs("step")).otherwise(0.0).alias("move"),
     )
 
 
+def _first_teams(stats: DataFrame, by: list[str]) -> DataFrame:
+    """(by, team, first): the first in alphabetical order of the teams that matches link to ``team``."""
+    own = lambda side: F.concat_ws("\0", *[F.col(c).cast("string") for c in by], f"{side}_team")
+    linked = connected_components(stats.select(own("home").alias("a"), own("away").alias("b")), "a", "b")
+    name = lambda c: F.element_at(F.split(c, "\0"), -1)
+    keys = [F.split("node", "\0")[at].cast(stats.schema[c].dataType).alias(c) for at, c in enumerate(by)]
+    return linked.select(*keys, name("node").alias("team"), name("component").alias("first"))
+
+
 def fit(
-    stats: DataFrame,
-    by: tuple[str, ...] = (),
-    max_sweeps: int = 60,
-    tolerance: float = 1e-4,
+    stats: DataFrame, by: tuple[str, ...] = (), max_sweeps: int = 60, tolerance: float = 1e-5, dense: int = DENSE
 ) -> tuple[DataFrame, DataFrame]:
     """Maximum-likelihood (teams, scalars) of every model named by ``by``.
 
-    teams: by, team, log_alpha, log_beta, with log_alpha 0 for the first team in
-    alphabetical order; scalars: by, log_gamma, rho.  Attack and defence (with
-    the home factor and rho) are improved in turn, one aggregate over the
-    pairings each, until no slope, relative to its expected goals, exceeds
-    ``tolerance``.  Raises when ``max_sweeps`` are not enough.
+    teams: by, team, log_alpha, log_beta, with log_alpha 0 for the first team in alphabetical
+    order; of several groups of teams that never met, for the first of each, since no match
+    tells how they compare. scalars: by, log_gamma, rho. Newton's method: one aggregate over the
+    pairings gives slopes and curvatures of all parameters of all models, then each model's
+    step is solved for and shortened where the likelihood falls, in a task where no model has more than ``dense`` parameters, else by
+    conjugate gradients over the table of curvatures. Ends after a step that moves no
+    parameter that carries weight by more than ``tolerance``; the error left is of its
+    square. Raises when ``max_sweeps`` are not enough.
+
+    Parameters with less than ``NEGLIGIBLE`` of the largest weight (teams idle for decades) move
+    along but do not delay the end; what no match of weight tells keeps the start, the mean
+    rate. A side that never scored, or never conceded, has no finite optimum and is held at
+    ``HELD``. No matches give no rows.
     """
     by = list(by)
     stats = durable(stats)
-    state = _start(stats, by)
-    for _ in range(max_sweeps):
-        for part in ("attack", "defence"):
-            rated = _with_rates(stats, *_parts(state, by), by)
-            before, state = state, _advance(state, _sweep(rated, by, part), by, part)
-            drop_durable(before)
-        worst = state.agg(F.max("gap")).first()[0] or 0.0
-        if worst < tolerance:
+    none = F.lit(None)
+    unset = {"base": F.col("value"), "step": F.lit(0.0), "radius": F.lit(1.0), "best": none.cast("double"), "first": none.cast("string")}
+    state = durable(_start(stats, by).withColumns(unset | {"move": F.lit(0.0)}))
+    most = state.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    worst = 0.0
+    for _ in range(max_sweeps if most else 0):
+        moments = _moments(_with_rates(stats, *_parts(state, by), by), by)
+        rows = _dense_steps(moments, state, by) if most <= dense else _conjugate_steps(moments, state, by)
+        before, state = state, durable(_moved(rows, by))
+        drop_durable(before)
+        worst = state.agg(F.max("move")).first()[0]
+        if worst <= tolerance:
             break
     else:
-        raise RuntimeError(f"not converged after {max_sweeps} sweeps: the largest relative slope is {worst:.2g}")
-    drop_durable(stats)
+        if most:
+            raise RuntimeError(f"not converged after {max_sweeps} steps: the last moved a parameter by {worst:.2g}")
     teams, scalars = _parts(state, by)
-    first = teams.groupBy(*by).agg(F.min_by("attack", "team").alias("_ref"))
-    if by:
-        teams = teams.join(F.broadcast(first), by)
+    if most <= dense:
+        firsts = state.where("i like 'a%'").select(*by, F.expr("substring(i, 2)").alias("team"), "first")
     else:
-        teams = teams.withColumn("_ref", first.scalar())
-    teams = teams.select(
+        firsts = _first_teams(stats, by)
+    teams = teams.join(firsts, [*by, "team"])
+    reference = teams.where("team = first").select(*by, "first", F.col("attack").alias("_ref"))
+    teams = teams.join(reference, [*by, "first"]).select(
         *by, "team", (F.col("attack") - F.col("_ref")).alias("log_alpha"),
         (F.col("defence") + F.col("_ref")).alias("log_beta"),
     )
-    return teams, scalars
+    out = durable(teams)
+    drop_durable(stats)
+    return out, scalars
 
 
 def predict_rates(

@@ -196,7 +196,8 @@ def predict_upcoming(
     ``model`` is "rates" (attack/defence), "trees", "network" (``network`` holds its
     vocabulary with vectors, and its weights) or "ensemble", the equal mean of rates,
     trees and, where given, the network.  ``completed`` are finished matches of the
-    running tournament; they are put into the history first.  A match of a team that
+    running tournament; they are put into the history first.  Every row has the latest
+    ratings of both sides (``elo_home_pre``, ``elo_away_pre``), whatever the model.  A match of a team that
     the rates model has not seen stays without rates, the team listed in ``unseen``.
     """
     if model not in ("rates", "trees", "network", "ensemble"):
@@ -205,11 +206,8 @@ def predict_upcoming(
         raise ValueError("the network needs its vocabulary and weights")
     coming = context.upcoming_matches(schedule, next_only)
     past = played(history, completed, squad_features, pool, contextual=model != "rates")
-    if model == "rates":
-        latest = history.sparkSession.createDataFrame([], "team string, rating double")
-    else:
-        latest = ratings.current_ratings(ratings.rating_scan(past, pool))
-        latest = latest if pool else latest.select("team", "rating")
+    latest = ratings.current_ratings(ratings.rating_scan(past, pool))
+    latest = latest if pool else latest.select("team", "rating")
     rows = context.upcoming_feature_rows(coming, latest, squad_features)
     parts = []
     if model in ("rates", "ensemble"):
