@@ -3,12 +3,14 @@
 Every text node has a path of tags from the root. Paths that carry the article hold
 long texts with punctuation; paths of menus hold many short ones without. For each
 path of a page the mean text length and the mean number of punctuation marks of its
-nodes are taken, both are smoothed over neighbouring nodes, multiplied, and nodes
-over a threshold of the page are content. The smallest block that holds nearly all
-content is the article, and all its text belongs to it, short headings too.
+nodes are taken, both are smoothed over neighbouring nodes and multiplied, and the
+nodes of paths over a threshold of the page are content. The lowest block that holds
+all of them is the article, and all its text belongs to it, short headings too.
 
 Elements whose tag or class says that they are no article (menus, adverts, forms,
-comments) are left out before, since reader comments have the ratios of an article.
+comments) are left out before, since reader comments have the ratios of an article. A
+class that only begins or ends with such a word is a weaker sign: its element stays
+inside an article, and wherever it holds most of the page's long punctuated text.
 """
 
 from __future__ import annotations
@@ -44,37 +46,51 @@ LEFT_OUT_NAMES = frozenset(
     "disqus footer form login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo "
     "related replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
+#: Readers' words, however long, are never the article's.
+READERS = frozenset("comment comments disqus replies reply respond".split())
 LEFT_OUT_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _MARKS = re.compile(r"[.,;:!?。，；：！？、…]")
 _PARTS = re.compile(r"[a-z]+")
+#: A text node this long with punctuation speaks for the element that holds it.
+LONG_TEXT = 80
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "out", "path")
+    __slots__ = ("tag", "parent", "out", "doubtful", "path")
 
-    def __init__(self, tag, parent, out):
+    def __init__(self, tag, parent, out, doubtful):
         self.tag, self.parent, self.out = tag, parent, out
+        #: The outermost element around this one that only its class's wording speaks against.
+        self.doubtful = parent.doubtful if parent and parent.doubtful else self if doubtful else None
         self.path = f"{parent.path}/{tag}" if parent else tag
 
 
-def _left_out(tag: str, attributes: str, inside_article: bool) -> bool:
+def _left_out(tag: str, attributes: str, inside_article: bool) -> tuple[bool, bool]:
+    """(left out, doubtful) of an element by its own tag, role and class."""
     if tag in LEFT_OUT_TAGS or (tag == "header" and not inside_article):
-        return True
+        return True, False
     if tag in ("html", "body", "article", "main"):
-        return False
+        return False, False
+    doubtful = False
     for name, value in _NAMES.findall(attributes):
-        words = set(_PARTS.findall(value.lower()))
-        if words & (LEFT_OUT_ROLES if name.lower() == "role" else LEFT_OUT_NAMES):
-            return True
-    return False
+        tokens = value.strip("\"'").lower().split()
+        if name.lower() == "role":
+            if LEFT_OUT_ROLES & set(tokens):
+                return True, False
+            continue
+        ends = {parts[at] for parts in map(_PARTS.findall, tokens) if parts for at in (0, -1)}
+        if LEFT_OUT_NAMES & set(tokens) or READERS & ends:
+            return True, False
+        doubtful |= bool(LEFT_OUT_NAMES & ends)
+    return False, doubtful and not inside_article
 
 
 def text_nodes(page: str) -> list[tuple[_Node, int, str]]:
     """(element, block number, text) of each text node outside left-out elements, in page order."""
-    root = _Node("", None, False)
+    root = _Node("", None, False, False)
     stack, block, out, at = [root], 0, [], 0
 
     def text(raw: str) -> None:
@@ -138,8 +154,9 @@ def text_nodes(page: str) -> list[tuple[_Node, int, str]]:
                 if stack[i].tag in SCOPES and tag != "body":
                     break
         parent = stack[-1]
-        inside = any(s.tag in ("article", "main") for s in stack) if tag == "header" else False
-        node = _Node(tag, parent, parent.out or _left_out(tag, attributes, inside))
+        inside = any(s.tag in ("article", "main") for s in stack) if attributes or tag == "header" else False
+        left_out, doubtful = _left_out(tag, attributes, inside)
+        node = _Node(tag, parent, parent.out or left_out, doubtful)
         if tag in RAW:
             end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
             if not node.out:
@@ -148,7 +165,19 @@ def text_nodes(page: str) -> list[tuple[_Node, int, str]]:
             continue
         if not attributes.endswith("/") or tag in SCOPES:
             stack.append(node)
-    return out
+    return _trusted(out)
+
+
+def _trusted(nodes: list[tuple[_Node, int, str]]) -> list[tuple[_Node, int, str]]:
+    """Without doubtful elements, but for those with more than half of the page's long punctuated text."""
+    if not any(node.doubtful for node, _, _ in nodes):
+        return nodes
+    held: dict[_Node | None, int] = {}
+    for node, _, text in nodes:
+        if len(text.strip()) >= LONG_TEXT and _MARKS.search(text):
+            held[node.doubtful] = held.get(node.doubtful, 0) + len(text)
+    total = sum(held.values())
+    return [row for row in nodes if row[0].doubtful is None or 2 * held.get(row[0].doubtful, 0) > total]
 
 
 def _smoothed(values: np.ndarray) -> np.ndarray:
@@ -171,20 +200,26 @@ def content_block(nodes: list[tuple[_Node, int, str]], share: float = 0.5) -> _N
     for own in paths.values():
         length[own], points[own] = sizes[own].mean(), marks[own].mean()
     fused = _smoothed(length) * (0.1 + _smoothed(points))
-    content = np.flatnonzero(fused >= share * fused.mean())
-    weight: dict[_Node, float] = {}
+    content = [i for own in paths.values() if fused[own].mean() >= share * fused.mean() for i in own]
+    inside = [i for i in content if any(n.tag == "article" for n in _above(nodes[i][0]))]
+    if 2 * sizes[inside].sum() >= sizes[content].sum():
+        content = inside
+    # The deepest block above every content node; an article around it holds its title too.
+    held: dict[_Node, int] = {}
     for i in content:
-        node = nodes[i][0]
-        while node is not None:
-            weight[node] = weight.get(node, 0.0) + sizes[i]
-            node = node.parent
-    enough = 0.9 * sizes[content].sum()
-    best, depth = None, -1
-    for node, held in weight.items():
-        level = node.path.count("/")
-        if held >= enough and level > depth and (node.tag in SCOPES or node.parent is None):
-            best, depth = node, level
-    return best
+        for node in _above(nodes[i][0]):
+            held[node] = held.get(node, 0) + 1
+    around = [n for n in _above(nodes[content[0]][0]) if held[n] == len(content) and (n.tag in SCOPES or n.parent is None)]
+    return next((n for n in around if n.tag == "article"), around[0])
+
+
+def _above(node: _Node) -> list[_Node]:
+    """The element and all around it, from the inside out."""
+    out = []
+    while node is not None:
+        out.append(node)
+        node = node.parent
+    return out
 
 
 def main_text(page: str | None) -> str:

@@ -93,6 +93,32 @@ def test_page():
     assert main_text(PAGE) == want
 
 
+LONG = f"<p>{PROSE * 12}</p>"
+WHOLE = f"Title\n{PROSE.strip()}\n{(PROSE * 12).strip()}\nThe end, at last."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        *(f"<body><nav>a</nav><article><h1>Title</h1><p>{PROSE}</p><{t}>{LONG}</{t}><p>The end, at last.</p></article></body>" for t in ("section", "blockquote", "div")),
+        f"<article><h1>Title</h1><p>{PROSE}</p><table><tr><td><table><tr><td>{LONG}</td></tr></table></td></tr></table><p>The end, at last.</p></article>",
+        f"<article><h1>Title</h1><p>{PROSE}</p><ul><li><ol><li>{PROSE * 12}</li></ol></li></ul><p>The end, at last.</p></article>",
+        f"<div class='content-share-free'><article><h1>Title</h1><p>{PROSE}</p>{LONG}<p>The end, at last.</p></article></div>",
+        f"<div class='content-share-free'><h1>Title</h1><p>{PROSE}</p>{LONG}<p>The end, at last.</p></div><div class='site-footer'>{PROSE}</div>",
+        f"<div class='page-search'><h1>Title</h1><p>{PROSE}</p>{LONG}<p>The end, at last.</p></div><div class='share-bar'>{PROSE}</div>",
+        f"<article><h1>Title</h1><p>{PROSE}</p><div class='search-results'>{LONG}</div><p>The end, at last.</p></article>",
+        f"<div class='x'><h1>Title</h1><p>{PROSE}</p><section>{LONG}</section><p>The end, at last.</p></div><div class='article-comments'>{LONG * 3}</div>",
+    ],
+)
+def test_nothing_of_an_article_is_lost(page):
+    assert main_text(page) == WHOLE
+
+
+def test_comments_outside_stay_out_however_long():
+    page = f"<article><h1>Title</h1><p>{PROSE}</p><div class='comment-list'>{LONG * 4}</div></article>"
+    assert main_text(page) == f"Title\n{PROSE.strip()}"
+
+
 @pytest.mark.parametrize("page", [None, "", "   ", "<", "<p", "<!--", "<script>x", "</p></p>", "<nav>a</nav>"])
 def test_pages_without_article(page):
     assert main_text(page) in ("", "<", "<p")
