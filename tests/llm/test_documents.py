@@ -460,8 +460,43 @@ def test_contaminated_finds_what_alignment_finds(spark, folder, edited):
                 want.add((d, i))
     table = spark.createDataFrame([(d, "filler " * 9 + " ".join(doc)) for d, doc in enumerate(docs)], "doc_id long, text string")
     tests = spark.createDataFrame([(i, " ".join(item)) for i, item in enumerate(items)], "item_id long, text string")
-    got = {(r.doc_id, r.item_id): r.share for r in decontaminate.contaminated(table, tests, folder).collect()}
+    found = decontaminate.contaminated(table, tests, folder).collect()
+    got = {(r.doc_id, r.item_id): r.share for r in found}
     assert want <= set(got) and min(got.values()) >= 0.5
+    # Every share is the best alignment's, and its span alone reaches it.
+    for r in found:
+        text, item = ["filler"] * 9 + docs[r.doc_id], items[r.item_id]
+        assert r.share == decontaminate.align(code(item), code(text))[0] / (2 * len(item))
+        assert r.share == decontaminate.align(code(item), code(text[r.start : r.end]))[0] / (2 * len(item))
+
+
+def test_contaminated_by_long_items(spark, folder):
+    """An item of 20,000 words, and many of a usual length; each has one copy, one of them edited."""
+    rng = np.random.default_rng(6)
+    items = [[f"w{x}" for x in rng.integers(0, 5000, n)] for n in (20_000, *[700] * 300)]
+    docs = [(i, " ".join(items[i])) for i in (0, 5, 299)] + [(1000, " ".join(w if k % 5 else "x" for k, w in enumerate(items[7])))]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    tests = spark.createDataFrame([(i, " ".join(item)) for i, item in enumerate(items)], "item_id long, text string").repartition(4)
+    got = {(r.doc_id, r.item_id): (r.start, r.end) for r in decontaminate.contaminated(table, tests, folder).collect()}
+    assert set(got) == {(0, 0), (5, 5), (299, 299), (1000, 7)} and got[0, 0] == (0, 20_000)
+
+
+def test_common_phrases_propose_nothing(spark, folder, monkeypatch):
+    """A phrase in all items and documents is no seed where the items have rarer words."""
+    rows = [(i, f"one of the d{i} e{i} f{i} g{i}") for i in range(300)]
+    items = [(i, f"one of the a{i} b{i} c{i} d{i} e{i % 3}") for i in range(300)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    seeds = decontaminate._prepared(table, spark.createDataFrame(items, "item_id long, text string"), folder, "text", "item_id", "text")
+    from matchlab.llm.words import windows
+
+    words = cut(pa.array([rows[0][1]]), plain=True)
+    run, _ = windows(words.hashes(), words.text, decontaminate.GRAM)
+    index, key, place = seeds.hits(run)
+    # The phrase alone occurs; no block has another gram that does, so it stays as the seed of its block.
+    assert set(place.tolist()) == {0} and len(index) == 300
+    more = [(1000 + i, f"zz of the a{i} b{i} c{i}") for i in range(300)]
+    seeds = decontaminate._prepared(table.union(spark.createDataFrame(more, "doc_id long, text string")), spark.createDataFrame(items, "item_id long, text string"), folder + "b", "text", "item_id", "text")
+    assert not len(seeds.hits(run)[0])
 
 
 def test_contaminated_empty(spark, docs, none, folder):
