@@ -229,10 +229,10 @@ def _seeds(docs: DataFrame, items: DataFrame, folder: str) -> _Seeds | None:
     grams = durable(_item_grams(items))
     every = HashArrays(f"{folder}/every", bits, {})
     _stored(grams.select("gram").distinct(), "gram", bits, lambda shard, rows: every.write(shard, np.sort(rows["gram"].to_numpy().view(np.uint64)), {}))
-    chosen = _chosen(grams, _document_counts(docs, every), docs.count())
-    found = _stored(chosen, "gram", bits, seeds.write_places)
-    drop_durable(grams)
-    drop_durable(items)
+    counts = durable(_document_counts(docs, every))
+    found = _stored(_chosen(grams, counts, docs.count()), "gram", bits, seeds.write_places)
+    for table in (counts, grams, items):
+        drop_durable(table)
     return seeds if found else None
 
 
