@@ -226,24 +226,27 @@ def best_odds(spark, sf):
     def outcome(name, price):
         return F.struct(F.lit(name).alias("name"), price.alias("price"))
 
-    prices = F.array(
-        outcome("Home", F.when(ident % 17 != 0, F.col("price_home"))),
-        outcome("Draw", F.when(ident % 5 != 0, F.col("price_draw"))),
-        outcome("Away", F.col("price_away")),
-    )
+    def listed(name, less_home, less_away, draw):
+        prices = F.array(
+            outcome("Home", F.when(ident % 17 != 0, F.col("price_home") - less_home)),
+            outcome("Draw", draw),
+            outcome("Away", F.col("price_away") - less_away),
+        )
+        markets = F.array(
+            F.struct(F.lit("totals").alias("key"), other.alias("outcomes")),
+            F.struct(F.lit("h2h").alias("key"), prices.alias("outcomes")),
+        )
+        return F.struct(F.concat("bookmaker", F.lit(name)).alias("key"), markets.alias("markets"))
+
     other = F.array(outcome("Home", F.lit(99.0)), outcome("Away", F.lit(99.0)))
-    # One document per quote; other markets must be passed over.
+    draw = F.when(ident % 5 != 0, F.col("price_draw"))
+    # One document per quote, of three bookmakers, none best at everything; other markets must be passed over.
     doc = F.struct(
         F.lit("Home").alias("home_team"), F.lit("Away").alias("away_team"),
         F.lit("2026-06-11T18:00:00Z").alias("commence_time"),
         F.array(
-            F.struct(
-                F.col("bookmaker").alias("key"),
-                F.array(
-                    F.struct(F.lit("totals").alias("key"), other.alias("outcomes")),
-                    F.struct(F.lit("h2h").alias("key"), prices.alias("outcomes")),
-                ).alias("markets"),
-            )
+            listed("-1", 0.0, 0.25, draw - 0.125), listed("-2", 0.5, 0.0, F.lit(None).cast("double")),
+            listed("-3", 0.25, 0.5, draw),
         ).alias("bookmakers"),
     )
     payload = view(spark, sf, "tb_quotes").select("match_id", F.to_json(doc).alias("payload"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from matchlab.catalog.registry import query
 from matchlab.catalog.timelines import ELO
 from matchlab.catalog.views import table, twin, view
-from matchlab.session import scratch_path
+from matchlab.session import durable, scratch_path
 from matchlab.streaming import jobs as J
 
 
@@ -17,6 +17,7 @@ def as_stream(df, name, clock, closing=None, files=4):
     The rows of ``closing`` come last and end the stream.
     """
     path = scratch_path(df.sparkSession, name)
+    df = durable(df)
     low, high = df.agg(F.min(clock), F.max(clock)).first()
     part = F.least(F.lit(files - 1), F.floor((clock - low) * files / (high - low + 1)))
     for i in range(files):

@@ -2,51 +2,68 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Iterator, Mapping
 from functools import reduce
 
-import numpy as np
-import pandas as pd
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchlab import constants as C
 from matchlab.functions import text as X
 from matchlab.functions.once import with_once
-from matchlab.operators.components import connected_components
-from matchlab.session import durable
+from matchlab.session import drop_durable, durable
 
-TERMS_A_PASS = 2000
+TERMS_A_PASS = 100_000
 
 
-def _terms(terms: Mapping[str, tuple[str, ...]]) -> list[tuple[str, list[str]]]:
-    return [(team, [t.lower() for t in words]) for team, words in terms.items()]
+def _mentions(title: Column, plain: Column, terms: Mapping[str, tuple[str, ...]]) -> Column:
+    """(team, in_title) of the teams that two lower-case texts are about.
 
-
-def _by_passes(
-    terms: Mapping[str, tuple[str, ...]], rows: Callable[[list[tuple[str, list[str]]]], DataFrame]
-) -> DataFrame:
-    """Rows of all teams: terms are part of the plan, so long lists go through it in several passes."""
-    passes, size = [[]], 0
-    for team, words in _terms(terms):
-        if passes[-1] and size + len(words) > TERMS_A_PASS:
-            passes.append([])
-            size = 0
-        passes[-1].append((team, words))
-        size += len(words)
-    return reduce(DataFrame.union, map(rows, passes))
-
-
-def _teams_where(flags: list[tuple[str, Column]]) -> Column:
-    """Array of the team names whose condition holds."""
-    return F.array_compact(F.array(*[F.when(flag, F.lit(team)) for team, flag in flags]))
-
-
-def _any_term(text: Column, words: list[str]) -> Column:
-    hit = F.lit(False)
-    for word in words:
-        hit = hit | text.contains(word)
-    return hit
+    All terms are rows of a multi-pattern automaton (one for every ``TERMS_A_PASS``
+    terms), built once a task, so a text is read once however many terms there are. Of the
+    occurrences of one term only those that do not overlap an earlier one count.
+    Empty terms match nothing.
+    """
+    listed = [(team, word.lower()) for team, words in terms.items() for word in words if word]
+    kind = pa.list_(pa.struct([("team", pa.string()), ("in_title", pa.bool_())]))
+
+    def automata() -> list[ahocorasick.Automaton]:
+        made = []
+        for at in range(0, len(listed), TERMS_A_PASS):
+            owners: dict[str, list[str]] = {}
+            for team, word in listed[at : at + TERMS_A_PASS]:
+                owners.setdefault(word, []).append(team)
+            tree = ahocorasick.Automaton()
+            for word, teams in owners.items():
+                tree.add_word(word, (word, teams))
+            tree.make_automaton()
+            made.append(tree)
+        return made
+
+    def about(trees: list[ahocorasick.Automaton], title: str | None, plain: str | None) -> list[dict]:
+        named = {team for tree in trees for _, (_, teams) in tree.iter(title or "") for team in teams}
+        counts: dict[str, int] = {}
+        for tree in trees:
+            free: dict[str, int] = {}  # where the next occurrence of a term may start
+            for end, (word, teams) in tree.iter(plain or ""):
+                if end + 1 - len(word) >= free.get(word, 0):
+                    free[word] = end + 1
+                    for team in teams:
+                        counts[team] = counts.get(team, 0) + 1
+        often = (team for team, n in counts.items() if n >= 2 and team not in named)
+        return [{"team": t, "in_title": True} for t in named] + [{"team": t, "in_title": False} for t in often]
+
+    def task(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        trees = automata()
+        for titles, plains in batches:
+            rows = zip(titles.to_pylist(), plains.to_pylist())
+            yield pa.array([about(trees, one, other) for one, other in rows], kind)
+
+    # Marked as not deterministic so that no filter above repeats it.
+    found = F.arrow_udf(task, "array<struct<team:string,in_title:boolean>>").asNondeterministic()
+    return found(title, plain)
 
 
 def team_article_match(
@@ -55,40 +72,14 @@ def team_article_match(
     """Article rows per team they are about, with ``in_title``.
 
     A team's term in the title is enough; otherwise its terms must occur at
-    least twice in the plain description (overlapping terms count each).  Terms
-    are literals evaluated in one pass over the articles for every
-    ``TERMS_A_PASS`` of them; rows appear only for hits.
+    least twice in the plain description (overlapping terms count each).  The
+    articles are read once for any number of terms; rows appear only for hits.
+    Columns called ``team`` or ``in_title`` are replaced.
     """
-    return _by_passes(terms, lambda listed: _hits(articles, listed))
-
-
-def _hits(articles: DataFrame, listed: list[tuple[str, list[str]]]) -> DataFrame:
-    rows = articles.withColumns(
-        {"_title": F.lower("title"), "_plain": F.lower(X.clean_html(F.col("description")))}
-    )
-    titles = _teams_where([(t, _any_term(F.col("_title"), words)) for t, words in listed])
-    # Most articles mention no team at all: counting is only done behind a first look.
-    counted = _teams_where(
-        [
-            (
-                t,
-                _any_term(F.col("_plain"), words)
-                & (sum((X.occurrences(F.col("_plain"), F.lit(w)) for w in words), F.lit(0)) >= 2),
-            )
-            for t, words in listed
-        ]
-    )
-    rows = rows.withColumns({"_in_title": titles, "_counted": counted})
-    hits = F.concat(
-        F.transform("_in_title", lambda t: F.struct(t.alias("team"), F.lit(True).alias("in_title"))),
-        F.transform(
-            F.array_except("_counted", "_in_title"),
-            lambda t: F.struct(t.alias("team"), F.lit(False).alias("in_title")),
-        ),
-    )
-    return rows.select(*articles.columns, F.explode(hits).alias("_h")).select(
-        *articles.columns, "_h.team", "_h.in_title"
-    )
+    own = [c for c in articles.columns if c not in ("team", "in_title")]
+    plain = F.lower(X.clean_html(F.col("description")))
+    rows = articles.select(*own, _mentions(F.lower("title"), plain, terms).alias("_found"))
+    return rows.select(*own, F.explode("_found").alias("_h")).select(*own, "_h.team", "_h.in_title")
 
 
 def fingerprint(title: Column, description: Column, max_chars: int | None = None) -> Column:
@@ -102,41 +93,56 @@ def fingerprint(title: Column, description: Column, max_chars: int | None = None
     return F.sha2(F.lower(parts), 256)
 
 
-DEDUPE_ROUNDS = 4
+DEDUPE_ROUNDS = 2
+_PLACE = ("pos", "link", "fingerprint", "id")
+
 
+def _with_firsts(rows: DataFrame) -> DataFrame:
+    """Each open article beside the earliest one of its link and of its fingerprint."""
+    place = F.struct(*_PLACE)
+    by_link = rows.groupBy("team", "link").agg(F.min(place).alias("_link_first"))
+    by_print = rows.groupBy("team", "fingerprint").agg(F.min(place).alias("_print_first"))
+    return rows.join(by_link, ["team", "link"]).join(by_print, ["team", "fingerprint"])
 
-def _in_order(rows: DataFrame) -> DataFrame:
-    """The greedy pass itself over (team, link, fingerprint, pos), one task per connected group.
 
-    Equal hashes can only join two groups, which changes nothing in the result.
+def _chains(rows: DataFrame) -> DataFrame:
+    """Articles with one earlier open neighbour at most, as (id, parent, odd, going).
+
+    An article that is second of its link and first of its fingerprint, or the other
+    way round, is kept exactly if that one neighbour, its parent, is not.
     """
-    ends = rows.select(
-        F.xxhash64(F.lit("link"), "team", "link").alias("_link"),
-        F.xxhash64(F.lit("print"), "team", "fingerprint").alias("_print"),
+    ranked = _with_firsts(rows)
+    place = F.struct(*_PLACE)
+    leads_link, leads_print = F.col("id") == F.col("_link_first.id"), F.col("id") == F.col("_print_first.id")
+    link_second = ranked.where(~leads_link).groupBy("team", "link").agg(F.min(place)["id"].alias("_link_next"))
+    print_second = ranked.where(~leads_print).groupBy("team", "fingerprint").agg(F.min(place)["id"].alias("_print_next"))
+    both = ranked.join(link_second, ["team", "link"], "left").join(print_second, ["team", "fingerprint"], "left")
+    parent = F.when(leads_print & (F.col("_link_next") == F.col("id")), F.col("_link_first.id")).when(
+        leads_link & (F.col("_print_next") == F.col("id")), F.col("_print_first.id")
     )
-    groups = connected_components(ends.distinct(), "_link", "_print")
-    grouped = rows.withColumn("node", F.xxhash64(F.lit("link"), "team", "link")).join(groups, "node")
-    schema = rows.select("team", "pos", "link", "fingerprint").schema
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, seen = None, set()
-        for batch in batches:
-            keep = np.zeros(len(batch), dtype=bool)
-            columns = [batch[c].tolist() for c in ("component", "team", "link", "fingerprint")]
-            for i, (component, team, link, printed) in enumerate(zip(*columns)):
-                if component != group:
-                    group, seen = component, set()
-                keys = {(team, "link", link), (team, "print", printed)}
-                if seen.isdisjoint(keys):
-                    seen |= keys
-                    keep[i] = True
-            yield batch.loc[keep, schema.names]
+    nodes = both.select("id", parent.alias("parent"), (leads_link & leads_print).alias("root"))
+    return nodes.where("root or parent is not null").select("id", "parent", (~F.col("root")).alias("odd"), (~F.col("root")).alias("going"))
 
-    return (
-        grouped.repartition("component")
-        .sortWithinPartitions("component", "pos", "link", "fingerprint")
-        .mapInPandas(walk, schema)
-    )
+
+def _kept_in_chains(rows: DataFrame) -> DataFrame:
+    """Ids of the open articles that chains of single dependencies decide to keep.
+
+    Pointer jumping: each round a node takes over its parent's parent and adds up the
+    parity, so a chain of n articles takes log n rounds.  A chain that hangs on an
+    article of several dependencies stays open.
+    """
+    nodes = durable(_chains(rows))
+    while not (going := nodes.where("going")).isEmpty():
+        up = nodes.select(F.col("id").alias("parent"), F.col("parent").alias("_up"), F.col("odd").alias("_odd"), F.col("going").alias("_going"))
+        jumped = going.join(up, "parent", "left").select(
+            "id",
+            F.when(F.col("_going").isNull(), F.col("parent")).otherwise(F.col("_up")).alias("parent"),
+            (F.col("odd") != F.coalesce("_odd", F.lit(False))).alias("odd"),
+            F.coalesce("_going", F.lit(False)).alias("going"),
+        )
+        before, nodes = nodes, durable(nodes.where("not going").unionByName(jumped))
+        drop_durable(before)
+    return nodes.where("parent is null and not odd").select("id")
 
 
 def dedupe_articles(matched: DataFrame) -> DataFrame:
@@ -145,36 +151,33 @@ def dedupe_articles(matched: DataFrame) -> DataFrame:
     ``matched`` has team, pos, link, fingerprint (and more); rows without a link,
     team or place are dropped, a missing fingerprint is an empty one; on equal
     places the smaller link, then fingerprint, comes first.  Copies of a (link,
-    fingerprint) pair fall together in a map-side aggregate.  Then ``DEDUPE_ROUNDS``
-    rounds of aggregates decide all but long chains: an article that is the
-    earliest of both its link and its fingerprint is kept, and those it shadows
-    are dropped.  What is still open is split into groups that share links or
-    fingerprints, and each group is read in order by one task, which keeps the
-    links and fingerprints it has seen; this is the limit of one very large group.
+    fingerprint) pair fall together in a map-side aggregate.  Then rounds of aggregates
+    decide the rest: an article that is the earliest of both its link and its
+    fingerprint is kept, and those it shadows are dropped.  After ``DEDUPE_ROUNDS``
+    such rounds each round also decides whole chains of articles that wait for
+    one other only.  Every round decides the earliest article of each
+    connected group, and none reads a group in one task.
     """
     rows = matched.filter((F.coalesce("link", F.lit("")) != "") & F.col("team").isNotNull() & F.col("pos").isNotNull())
     rows = rows.withColumn("fingerprint", F.coalesce("fingerprint", F.lit("")))
     keys = rows.groupBy("team", "link", "fingerprint").agg(F.min("pos").alias("pos"))
-    open_rows, kept = durable(keys), None
-    place = F.struct("pos", "link", "fingerprint")
-    for _ in range(DEDUPE_ROUNDS):
-        by_link = open_rows.groupBy("team", "link").agg(F.min(place).alias("_link_first"))
-        by_print = open_rows.groupBy("team", "fingerprint").agg(F.min(place).alias("_print_first"))
-        ranked = open_rows.join(by_link, ["team", "link"]).join(by_print, ["team", "fingerprint"])
-        first = (place == F.col("_link_first")) & (place == F.col("_print_first"))
-        winners = durable(ranked.filter(first).select("team", "link", "fingerprint", "pos"))
-        kept = winners if kept is None else kept.unionByName(winners)
-        open_rows = durable(
+    open_rows, kept = durable(keys.withColumn("id", F.monotonically_increasing_id())), []
+    while not kept or not open_rows.isEmpty():
+        if len(kept) < DEDUPE_ROUNDS:
+            leads = (F.col("id") == F.col("_link_first.id")) & (F.col("id") == F.col("_print_first.id"))
+            winners = _with_firsts(open_rows).where(leads).select(open_rows.columns)
+        else:
+            winners = open_rows.join(_kept_in_chains(open_rows), "id", "left_semi").select(open_rows.columns)
+        winners = durable(winners)
+        kept.append(winners)
+        before, open_rows = open_rows, durable(
             open_rows.join(winners.select("team", "link"), ["team", "link"], "left_anti").join(
                 winners.select("team", "fingerprint"), ["team", "fingerprint"], "left_anti"
             )
         )
-        if open_rows.isEmpty():
-            break
-    else:
-        kept = kept.unionByName(_in_order(open_rows))
+        drop_durable(before)
     named = ["team", "pos", "link", "fingerprint"]
-    return rows.join(kept.select(*named), named, "left_semi")
+    return rows.join(reduce(DataFrame.unionByName, kept).select(*named), named, "left_semi")
 
 
 def top_articles(articles: DataFrame, n: int = C.TEAM_ARTICLES) -> DataFrame:
@@ -242,15 +245,12 @@ def match_report_filter(
     can belong to, so matches and articles meet by equality.
     """
 
-    def titled(listed):
-        flags = [(t, _any_term(F.lower("title"), words)) for t, words in listed]
-        return articles.withColumn("team", F.explode(_teams_where(flags)))
-
     day = F.to_date("published")
     body = X.clean_html(F.col("body_html"))
     if max_chars is not None:
         body = F.substring(body, 1, max_chars)
-    rows = _by_passes(terms, titled).withColumn("_body", body).drop("body_html")
+    named = articles.drop("team").withColumn("_found", _mentions(F.lower("title"), F.lit(None).cast("string"), terms))
+    rows = named.withColumn("team", F.explode("_found.team")).withColumn("_body", body).drop("body_html", "_found")
     rows = (
         with_once(rows, "body", F.col("_body"))
         .drop("_body")

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,3 +123,36 @@ def test_components_of_chains_and_hubs(spark):
     pairs = spark.createDataFrame([*chain, *hub, (9, 9), (None, 3)], "a long, b long")
     got = {r.node: r.component for r in connected_components(pairs, "a", "b").collect()}
     assert got == {**{i: 100 for i in range(100, 701)}, **{x: 1 for x in [1, 5000, *range(6000, 6300)]}, 9: 9}
+
+
+def test_tens_of_thousands_of_terms_in_one_pass(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcd") for _ in range(rng.randint(2, 9)))
+    terms = {f"T{i}": (word(), word() + " " + word(), word(), "aa") for i in range(12_500)}
+    text = lambda: " ".join(word() for _ in range(rng.randint(0, 12)))
+    rows = [(i, text() if i % 7 else None, text() + " aaaa" * (i % 3) if i % 5 else None) for i in range(12)]
+    df = spark.createDataFrame(rows, "pos int, title string, description string").withColumn("team", F.lit("clash"))
+    wanted = set()
+    for pos, title, body in rows:
+        for team, words in terms.items():
+            if any(w in (title or "") for w in words):
+                wanted.add((pos, team, True))
+            elif sum((body or "").strip().count(w) for w in words) >= 2:
+                wanted.add((pos, team, False))
+    out = A.team_article_match(df, terms)
+    found = out.select("pos", "team", "in_title").collect()
+    assert len(found) == len(wanted) and set(map(tuple, found)) == wanted
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    # One step decodes character references, one searches.
+    assert plan.count("ArrowEvalPython") == 2 and "Union" not in plan
+
+
+def test_dedupe_of_a_chain_of_many_and_a_hot_link(spark):
+    chain = [("T", i, f"l{(i + 1) // 2}", f"f{i // 2}") for i in range(100_000)]
+    hot = [("H", i, "hot", f"h{i // 2}") for i in range(3000)]
+    # Falling chains: every second article waits for two others.
+    zigzag = [("Z", (i * 7919) % 5000, f"l{(i + 1) // 2}", f"f{i // 2}") for i in range(5000)]
+    rows = [*chain, *hot, *zigzag]
+    columns = list(zip(*rows))
+    df = spark.createDataFrame(pa.table(dict(zip(["team", "pos", "link", "fingerprint"], map(list, columns)))))
+    assert sorted(map(tuple, A.dedupe_articles(df).collect())) == sorted(kept_by_hand(rows))
