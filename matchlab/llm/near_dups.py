@@ -192,7 +192,8 @@ def without_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_col
     found = near_duplicates(docs, id_column, text_column, percent).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
     own = docs.select(F.struct(*docs.columns).alias("own"), F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("body"))
     left = own.join(found, F.col("id") == F.col("gone"), "left_anti")
-    # Rows with the same id are one document: the first by text stands for it.
-    first = F.row_number().over(Window.partitionBy("id").orderBy("body"))
-    left = left.withColumn("nth", first).where("nth = 1 or id is null")
+    # Rows with the same id are one document: the first by text stands for it. Each row without id is its own.
+    left = left.withColumn("alone", F.when(F.col("id").isNull(), F.monotonically_increasing_id()))
+    first = F.row_number().over(Window.partitionBy("id", "alone").orderBy("body"))
+    left = left.withColumn("nth", first).where("nth = 1")
     return left.select(*(F.col("own")[c].alias(c) for c in docs.columns))
