@@ -240,13 +240,12 @@ def best_odds(spark, sf):
 
     other = F.array(outcome("Home", F.lit(99.0)), outcome("Away", F.lit(99.0)))
     draw = F.when(ident % 5 != 0, F.col("price_draw"))
-    # One document per quote, of three bookmakers, none best at everything; other markets must be passed over.
+    # One document per quote, of two bookmakers, neither best at everything; other markets must be passed over.
     doc = F.struct(
         F.lit("Home").alias("home_team"), F.lit("Away").alias("away_team"),
         F.lit("2026-06-11T18:00:00Z").alias("commence_time"),
         F.array(
-            listed("-1", 0.0, 0.25, draw - 0.125), listed("-2", 0.5, 0.0, F.lit(None).cast("double")),
-            listed("-3", 0.25, 0.5, draw),
+            listed("-1", 0.0, 0.25, F.lit(None).cast("double")), listed("-2", 0.5, 0.0, draw),
         ).alias("bookmakers"),
     )
     payload = view(spark, sf, "tb_quotes").select("match_id", F.to_json(doc).alias("payload"))
