@@ -103,6 +103,32 @@ def stream_elo(spark, sf):
     )
 
 
+DELAY = 3
+
+
+@query(
+    "stream_elo_timed",
+    twin("tb_matches", ELO + f"""
+    select match_id, round(hp, 6) as elo_home_pre, round(ap, 6) as elo_away_pre from rated
+    where match_date < (select max(match_date) from tb_matches) - {DELAY}""", True),
+)
+def stream_elo_timed(spark, sf):
+    """Matches that arrive up to ``DELAY`` days out of order; the last days stay open."""
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(store)
+    spark.conf.set(store, J.STATE_STORE)
+    try:
+        rows = view(spark, sf, "tb_matches")
+        arrival = F.unix_date("match_date") + F.pmod(F.xxhash64("match_id"), F.lit(DELAY + 1))
+        out = to_table(J.timed_rating_stream(as_stream(rows, "matches", arrival), delay_days=DELAY), "rated")
+    finally:
+        spark.conf.set(store, before)
+    return out.filter("status = 'rated'").select(
+        "match_id", F.round("elo_home_pre", 6).alias("elo_home_pre"),
+        F.round("elo_away_pre", 6).alias("elo_away_pre"),
+    )
+
+
 @query(
     "stream_form_log",
     twin("tb_ticks", """

@@ -6,6 +6,7 @@ a started query.  Event times must be ``timestamp`` (not ``timestamp_ntz``).
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -208,6 +209,133 @@ def rating_stream(matches: DataFrame, pool: str = "pool", delay_days: int = 1) -
     )
 
 
+_DAY_MS = 86_400_000
+# Watermarks start at 0, so the clock of a match stream starts on 1800-01-01.
+_CLOCK_START = -62091
+_FLUSH, _SWEEP = 1, 2
+
+
+class _TimedRatingProcessor(StatefulProcessor):
+    """Ratings of one pool; a timer a day rates the day's matches once the watermark has passed it.
+
+    State holds one number and day per team and the rows of each open day. A task holds
+    one Arrow batch, or one day of one pool.
+    """
+
+    def __init__(self, forget_days: int | None) -> None:
+        self.forget_days = forget_days
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.teams = handle.getMapState("teams", "team string", "rating double, day int")
+        self.open = handle.getMapState("open", "day int", "matches string")
+        self.swept = handle.getValueState("swept", "next int")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        watermark = timerValues.getCurrentWatermarkInMs()
+        for batch in rows:
+            aside, fresh = [], {}
+            for r in batch.itertuples(index=False):
+                if pd.isna(r.day) or pd.isna(r.match_id) or not isinstance(r.home_team, str) or not isinstance(r.away_team, str):
+                    ident, day = (None if pd.isna(x) else int(x) for x in (r.match_id, r.day))
+                    aside.append((key[0], ident, day, r.home_team, r.away_team, None, None, "incomplete"))
+                elif _moment(int(r.day)) < watermark:
+                    aside.append((key[0], int(r.match_id), int(r.day), r.home_team, r.away_team, None, None, "late"))
+                else:
+                    match = [int(r.match_id), r.home_team, r.away_team, float(r.bonus), float(r.score), float(r.k)]
+                    fresh.setdefault(int(r.day), []).append(json.dumps(match))
+            for day, lines in fresh.items():
+                if self.open.containsKey((day,)):
+                    lines.insert(0, self.open.getValue((day,))[0])
+                else:
+                    self.handle.registerTimer(_moment(day) + _FLUSH)
+                self.open.updateValue((day,), ("\n".join(lines),))
+            if aside:
+                yield _rated(aside)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        number, what = divmod(expiredTimerInfo.getExpiryTimeInMs(), _DAY_MS)
+        day = number + _CLOCK_START
+        if what == _SWEEP:
+            self._sweep(day)
+            return
+        matches = [json.loads(line) for line in self.open.getValue((day,))[0].split("\n")]
+        self.open.removeKey((day,))
+        done, now = [], {}
+        for ident, (home, away, bonus, score, k) in sorted({m[0]: m[1:] for m in matches}.items()):
+            own, other = self._current(home, day, now), self._current(away, day, now)
+            now[home], now[away] = updated(own, other, bonus, score, k)
+            done.append((key[0], ident, day, home, away, own, other, "rated"))
+        for team, rating in now.items():
+            self.teams.updateValue((team,), (rating, day))
+        if self.forget_days is not None and not self.swept.exists():
+            self._next_sweep(day)
+        yield _rated(done)
+
+    def _current(self, team: str, day: int, now: dict[str, float]) -> float:
+        if team in now:
+            return now[team]
+        if not self.teams.containsKey((team,)):
+            return C.INITIAL_RATING
+        rating, last = self.teams.getValue((team,))
+        if self.forget_days is not None and day - last > self.forget_days:
+            return C.INITIAL_RATING
+        return decayed(rating, day - last)
+
+    def _next_sweep(self, day: int) -> None:
+        after = day + self.forget_days + 1
+        self.handle.registerTimer(_moment(after) + _SWEEP)
+        self.swept.update((after,))
+
+    def _sweep(self, day: int) -> None:
+        """Remove what ``_current`` would not look at any more."""
+        idle, others = [], False
+        for (team,), (_, last) in self.teams.iterator():
+            if day - last > self.forget_days:
+                idle.append(team)
+            else:
+                others = True
+        for team in idle:
+            self.teams.removeKey((team,))
+        self.swept.clear()
+        if others:
+            self._next_sweep(day)
+
+    def close(self) -> None:
+        pass
+
+
+def _moment(day: int) -> int:
+    """Milliseconds on the stream's clock at which ``day`` begins."""
+    return (day - _CLOCK_START) * _DAY_MS
+
+
+def timed_rating_stream(
+    matches: DataFrame, pool: str = "pool", delay_days: int = 1, forget_days: int | None = None
+) -> DataFrame:
+    """Pre-match ratings of a match stream by event-time timers; no closing row is needed.
+
+    The watermark stands ``delay_days`` behind the latest match of any pool. Once it has
+    passed a day, a timer rates that day's matches in order of ``match_id``; so matches may
+    arrive in any order within the delay, and a pool without news is rated too. Days that
+    the watermark has not passed stay open. A match of a day before the watermark comes out
+    with status "late", one without id, date or team with "incomplete", both without
+    ratings. Of repeated rows of one id and day the last to arrive counts. With
+    ``forget_days``, a team that has not played for longer starts as a new one, and a
+    timer removes it from the state. Dates lie after 1800. Extra columns are ignored.
+    The session needs the RocksDB state store.
+    """
+    rows = _scan_input(matches, pool).select(
+        "pool", "match_id", "day", "home_team", "away_team", "bonus", "score", "k"
+    )
+    timed = rows.withColumn("clock", F.timestamp_seconds((F.col("day").cast("long") - _CLOCK_START) * (_DAY_MS // 1000)))
+    # Late rows are told apart by the processor, so it does not see the clock that would drop them.
+    return timed.withWatermark("clock", f"{delay_days} days").drop("clock").groupBy("pool").transformWithStateInPandas(
+        statefulProcessor=_TimedRatingProcessor(forget_days), outputStructType=_RATED,
+        outputMode="Append", timeMode="EventTime",
+    )
+
+
 def form_log_stream(signals: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Append signal reads to a JSON log partitioned by day."""
     rows = signals.withColumn("log_date", F.to_date("logged_at"))

@@ -1,3 +1,4 @@
+import datetime as dt
 import json
 
 import pytest
@@ -158,3 +159,45 @@ def test_rating_stream_over_several_batches(spark, rocksdb):
     assert {r[0] for r in closed} == set(rated)
     for ident, r in rated.items():
         assert (r["elo_home_pre"], r["elo_away_pre"]) == pytest.approx(expected[ident])
+
+
+def _timed(spark, parts, **options):
+    """Rows of a timed rating stream over ``parts``, one run of the stream each."""
+    path, out, progress = (scratch_path(spark, n) for n in ("in", "out", "progress"))
+    for part in parts:
+        spark.createDataFrame(part, MATCH_SCHEMA).coalesce(1).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(MATCH_SCHEMA).parquet(path)
+        run = J.timed_rating_stream(stream, **options).writeStream.format("parquet").option("path", out)
+        run.option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).collect()
+
+
+def test_timers_rate_days_the_watermark_has_passed(spark, rocksdb):
+    rows = random_matches(120, days=900, pools=2, seed=21)
+    rows = [(i, r[1], *r[2:]) for i, r in enumerate(rows)]
+    rows = sorted(rows, key=lambda r: (r[1] + dt.timedelta(days=r[0] * 7 % 6), -r[0]))
+    late = (999, day(-5), "P0T0", "P0T1", 1, 0, True, "Cup", "0")
+    odd = [(998, None, "P0T0", "P0T1", 1, 0, True, "Cup", "0"), (997, day(899), None, "P0T1", 1, 0, True, "Cup", "0"), (None, day(899), "a", "b", 1, 0, True, "Cup", "0")]
+    # Out of order by up to five days; a repeated row; then a straggler and incomplete rows.
+    got = _timed(spark, [rows[:40] + rows[:1], rows[40:80], rows[80:], [late, *odd]], delay_days=5)
+    told = lambda status: {r["match_id"]: r for r in got if r["status"] == status}
+    assert set(told("late")) == {999} and set(told("incomplete")) == {997, 998, None}
+    expected, _ = ratings_by_hand(rows)
+    end = max(r[1] for r in rows)
+    rated = told("rated")
+    assert set(rated) == {r[0] for r in rows if (end - r[1]).days > 5} and len(got) == len(rated) + 4
+    for ident, r in rated.items():
+        assert (r["elo_home_pre"], r["elo_away_pre"]) == pytest.approx(expected[ident])
+
+
+def test_idle_teams_are_forgotten_and_old_dates_count(spark, rocksdb):
+    match = lambda i, when, home="A", away="B": (i, when, home, away, 2, 0, True, "Cup", "0")
+    first = dt.date(1872, 11, 30)
+    at = lambda n: first + dt.timedelta(days=n)
+    parts = [[match(1, at(0)), match(2, at(50), "C", "D")], [match(3, at(100)), match(4, at(140), "C", "D")], [match(5, at(201)), match(6, at(400), "X", "Y")]]
+    got = {r["match_id"]: r for r in _timed(spark, parts, forget_days=100)}
+    assert [got[i]["elo_home_pre"] > 1500 for i in (1, 2, 3, 4, 5)] == [False, False, True, True, False]
+
+
+def test_timed_stream_of_nothing(spark, rocksdb):
+    assert _timed(spark, [[]]) == []
