@@ -8,9 +8,10 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
@@ -213,13 +214,14 @@ _DAY_MS = 86_400_000
 # Watermarks start at 0, so the clock of a match stream starts on 1800-01-01.
 _CLOCK_START = -62091
 _FLUSH, _SWEEP = 1, 2
+MOST_MET = 50_000
 
 
 class _TimedRatingProcessor(StatefulProcessor):
     """Ratings of one pool; a timer a day rates the day's matches once the watermark has passed it.
 
     State holds one number and day per team and the rows of each open day. A task holds
-    one Arrow batch, or one day of one pool.
+    10,000 rows, or one day of one pool, and up to ``MOST_MET`` teams.
     """
 
     def __init__(self, forget_days: int | None) -> None:
@@ -230,54 +232,59 @@ class _TimedRatingProcessor(StatefulProcessor):
         self.teams = handle.getMapState("teams", "team string", "rating double, day int")
         self.open = handle.getMapState("open", "day int", "matches string")
         self.swept = handle.getValueState("swept", "next int")
+        # Teams met lately in this task, as the state has them.
+        self.met: dict[tuple[str, str], tuple[float, int]] = {}
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         watermark = timerValues.getCurrentWatermarkInMs()
-        for batch in rows:
-            aside, fresh = [], {}
-            for r in batch.itertuples(index=False):
-                if pd.isna(r.day) or pd.isna(r.match_id) or not isinstance(r.home_team, str) or not isinstance(r.away_team, str):
-                    ident, day = (None if pd.isna(x) else int(x) for x in (r.match_id, r.day))
-                    aside.append((key[0], ident, day, r.home_team, r.away_team, None, None, "incomplete"))
-                elif _moment(int(r.day)) < watermark:
-                    aside.append((key[0], int(r.match_id), int(r.day), r.home_team, r.away_team, None, None, "late"))
+        while some := list(islice(rows, 10_000)):
+            fresh = {}
+            for r in some:
+                aside = (key[0], r.match_id, r.day, r.home_team, r.away_team, None, None)
+                if None in (r.match_id, r.day, r.home_team, r.away_team):
+                    yield _rated_row(*aside, "incomplete")
+                elif _moment(r.day) < watermark:
+                    yield _rated_row(*aside, "late")
                 else:
-                    match = [int(r.match_id), r.home_team, r.away_team, float(r.bonus), float(r.score), float(r.k)]
-                    fresh.setdefault(int(r.day), []).append(json.dumps(match))
+                    match = [r.match_id, r.home_team, r.away_team, float(r.bonus), float(r.score), float(r.k)]
+                    fresh.setdefault(r.day, []).append(json.dumps(match))
             for day, lines in fresh.items():
                 if self.open.containsKey((day,)):
                     lines.insert(0, self.open.getValue((day,))[0])
                 else:
                     self.handle.registerTimer(_moment(day) + _FLUSH)
                 self.open.updateValue((day,), ("\n".join(lines),))
-            if aside:
-                yield _rated(aside)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         number, what = divmod(expiredTimerInfo.getExpiryTimeInMs(), _DAY_MS)
         day = number + _CLOCK_START
         if what == _SWEEP:
-            self._sweep(day)
+            self._sweep(key[0], day)
             return
         matches = [json.loads(line) for line in self.open.getValue((day,))[0].split("\n")]
         self.open.removeKey((day,))
-        done, now = [], {}
+        now = {}
         for ident, (home, away, bonus, score, k) in sorted({m[0]: m[1:] for m in matches}.items()):
-            own, other = self._current(home, day, now), self._current(away, day, now)
+            own, other = self._current(key[0], home, day, now), self._current(key[0], away, day, now)
             now[home], now[away] = updated(own, other, bonus, score, k)
-            done.append((key[0], ident, day, home, away, own, other, "rated"))
+            yield _rated_row(key[0], ident, day, home, away, own, other, "rated")
         for team, rating in now.items():
             self.teams.updateValue((team,), (rating, day))
+            self.met[key[0], team] = rating, day
+        if len(self.met) > MOST_MET:
+            self.met.clear()
         if self.forget_days is not None and not self.swept.exists():
             self._next_sweep(day)
-        yield _rated(done)
 
-    def _current(self, team: str, day: int, now: dict[str, float]) -> float:
+    def _current(self, pool: str, team: str, day: int, now: dict[str, float]) -> float:
         if team in now:
             return now[team]
-        if not self.teams.containsKey((team,)):
-            return C.INITIAL_RATING
-        rating, last = self.teams.getValue((team,))
+        found = self.met.get((pool, team))
+        if found is None:
+            if not self.teams.containsKey((team,)):
+                return C.INITIAL_RATING
+            found = self.teams.getValue((team,))
+        rating, last = found
         if self.forget_days is not None and day - last > self.forget_days:
             return C.INITIAL_RATING
         return decayed(rating, day - last)
@@ -287,7 +294,7 @@ class _TimedRatingProcessor(StatefulProcessor):
         self.handle.registerTimer(_moment(after) + _SWEEP)
         self.swept.update((after,))
 
-    def _sweep(self, day: int) -> None:
+    def _sweep(self, pool: str, day: int) -> None:
         """Remove what ``_current`` would not look at any more."""
         idle, others = [], False
         for (team,), (_, last) in self.teams.iterator():
@@ -297,6 +304,7 @@ class _TimedRatingProcessor(StatefulProcessor):
                 others = True
         for team in idle:
             self.teams.removeKey((team,))
+            self.met.pop((pool, team), None)
         self.swept.clear()
         if others:
             self._next_sweep(day)
@@ -305,6 +313,9 @@ class _TimedRatingProcessor(StatefulProcessor):
         pass
 
 
+_rated_row = Row(*(part.split()[0] for part in _RATED.split(", ")))
+
+
 def _moment(day: int) -> int:
     """Milliseconds on the stream's clock at which ``day`` begins."""
     return (day - _CLOCK_START) * _DAY_MS
@@ -330,7 +341,7 @@ def timed_rating_stream(
     )
     timed = rows.withColumn("clock", F.timestamp_seconds((F.col("day").cast("long") - _CLOCK_START) * (_DAY_MS // 1000)))
     # Late rows are told apart by the processor, so it does not see the clock that would drop them.
-    return timed.withWatermark("clock", f"{delay_days} days").drop("clock").groupBy("pool").transformWithStateInPandas(
+    return timed.withWatermark("clock", f"{delay_days} days").drop("clock").groupBy("pool").transformWithState(
         statefulProcessor=_TimedRatingProcessor(forget_days), outputStructType=_RATED,
         outputMode="Append", timeMode="EventTime",
     )
