@@ -29,6 +29,7 @@ from matchlab.llm.words import chunks, cut, mix, unmix
 from matchlab.session import drop_durable, durable
 
 END = mix(np.array([0x5EED], np.uint64))
+MOST_COUNT = 0xFFFFFFFF
 _STATS = ("total", "once", "twice", "often", "before")
 
 
@@ -116,7 +117,8 @@ def fit(docs: DataFrame, folder: str, text_column: str = "text") -> Bigrams:
     """Count all of ``docs`` and write the model into ``folder`` on the shared store.
 
     A token is a word after lower-casing A-Z; each text, also a null or empty one, adds
-    one end token, which is also the context of its first word.
+    one end token, which is also the context of its first word. Raises beyond 2**32
+    distinct words, or for a pair that occurs 2**32 times.
     """
     rows = docs.select(F.col(text_column).alias("text"))
     bits = shard_bits(docs.sparkSession)
@@ -124,6 +126,8 @@ def fit(docs: DataFrame, folder: str, text_column: str = "text") -> Bigrams:
     coarse = min(bits, bits // 2 + 2)
     vocabulary, base, tokens = _word_counts(rows, folder, bits)
     distinct = int(base[-1])
+    if distinct >= 1 << 32:
+        raise ValueError(f"{distinct} distinct words do not fit into ids of 32 bits")
 
     def count_pairs(batches):
         def parts():
@@ -140,7 +144,9 @@ def fit(docs: DataFrame, folder: str, text_column: str = "text") -> Bigrams:
 
     def store_pairs(shard, keys, columns):
         counts = columns[0]
-        pairs.write(shard, keys, {"count": np.minimum(counts, 0xFFFFFFFF)})
+        if counts.max(initial=0) > MOST_COUNT:
+            raise OverflowError(f"a pair of words occurs {counts.max()} times, more than {MOST_COUNT}")
+        pairs.write(shard, keys, {"count": counts})
         ids = unmix(keys)
         left, right = (ids >> np.uint64(32)).astype(np.int64), (ids & low).astype(np.int64)
         ones, none = np.ones(len(keys), np.int64), np.zeros(len(keys), np.int64)

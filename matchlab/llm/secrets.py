@@ -66,6 +66,37 @@ def blob_of(text: Column) -> Column:
     return F.sha2(F.coalesce(text, F.lit("")), 256)
 
 
+_BLOCK = 256
+
+
+def _once(value: Column, use) -> Column:
+    """``use(value)``, with ``value`` computed once however often ``use`` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _in_blocks(values: Column, use) -> Column:
+    """``use`` of the values in blocks of ``_BLOCK``.
+
+    An array or string that grows by one element a step is copied in each; within blocks
+    that cost is bounded, so a text of many matches takes time in proportion to them.
+    """
+    def cut(v: Column) -> Column:
+        last = F.greatest(F.floor((F.size(v) - 1) / _BLOCK), F.lit(0)).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(v, i * _BLOCK + 1, F.lit(_BLOCK)))
+
+    return _once(values, lambda v: _once(cut(v), use))
+
+
+def _before(values: Column, join) -> Column:
+    """For each value, what ``join`` makes of all values before it, from 0."""
+
+    def step(done: Column, v: Column) -> Column:
+        return F.struct(join(done["all"], v).alias("all"), F.concat(done["out"], F.array(done["all"])).alias("out"))
+
+    none = F.array().cast("array<bigint>")
+    return F.aggregate(values, F.struct(F.lit(0).cast("long").alias("all"), none.alias("out")), step)["out"]
+
+
 def _spans(text: Column, rule: Rule) -> Column:
     """(start, end, rule) of a rule's matches in code points; end exclusive.
 
@@ -75,17 +106,26 @@ def _spans(text: Column, rule: Rule) -> Column:
     chained = F.lit(rf"\G((?s:.*?))({rule.pattern})")
     parts = [F.regexp_extract_all(text, chained, F.lit(1)).alias("gap"), F.regexp_extract_all(text, chained, F.lit(2)).alias("hit")]
     parts.append(F.regexp_extract_all(text, chained, F.lit(2 + rule.value)).alias("value"))
+    none = F.array().cast(_FOUND)
+
+    def lengths(x: Column) -> Column:
+        good = F.char_length(x["value"]) >= rule.least
+        return F.struct(F.char_length(x["gap"]).alias("gap"), F.char_length(x["hit"]).alias("hit"), good.alias("good"))
 
     def step(done: Column, x: Column) -> Column:
-        start = done["at"] + F.char_length(x["gap"])
-        end = start + F.char_length(x["hit"])
+        start = done["at"] + x["gap"]
+        end = start + x["hit"]
         one = F.array(F.struct(start.alias("start"), end.alias("end"), F.lit(rule.key).alias("rule")))
-        good = F.char_length(x["value"]) >= rule.least
-        return F.struct(end.alias("at"), F.when(good, F.concat(done["found"], one)).otherwise(done["found"]).alias("found"))
+        return F.struct(end.alias("at"), F.when(x["good"], F.concat(done["found"], one)).otherwise(done["found"]).alias("found"))
 
-    none = F.array().cast(_FOUND)
-    walked = F.aggregate(F.arrays_zip(*parts), F.struct(F.lit(0).cast("long").alias("at"), none.alias("found")), step)
-    return F.when(text.rlike(rule.pattern), walked["found"]).otherwise(none)
+    def placed(block: Column, at: Column) -> Column:
+        return F.aggregate(block, F.struct(at.alias("at"), none.alias("found")), step)["found"]
+
+    def walked(blocks: Column) -> Column:
+        sizes = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0).cast("long"), lambda n, x: n + x["gap"] + x["hit"]))
+        return F.flatten(F.zip_with(blocks, _before(sizes, lambda n, size: n + size), placed))
+
+    return F.when(text.rlike(rule.pattern), _in_blocks(F.transform(F.arrays_zip(*parts), lengths), walked)).otherwise(none)
 
 
 def read_ledger(spark: SparkSession, ledger: str) -> DataFrame:
@@ -146,17 +186,34 @@ def findings(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = R
 
 
 def masked(text: Column, secrets: Column, mask: str = "<secret>") -> Column:
-    """The text with every found span replaced by ``mask``; spans that meet are one."""
+    """The text with every found span replaced by ``mask``; spans that meet are one.
+
+    Each block of spans works on its own stretch of the text, up to the last end in it.
+    """
+
+    def last_end(block: Column) -> Column:
+        return F.aggregate(block, F.lit(0).cast("long"), lambda n, s: F.greatest(n, s["end"]))
+
+    def piece(body: Column, start: Column, length: Column) -> Column:
+        return F.substring(body, start.cast("int") + 1, F.greatest(length, F.lit(0)).cast("int"))
+
+    def walked(block: Column, first: Column) -> Column:
+        def walk(body: Column) -> Column:
+            def step(done: Column, s: Column) -> Column:
+                before = piece(body, done["at"] - first, s["start"] - done["at"])
+                out = F.when(s["start"] >= done["at"], F.concat(done["out"], before, F.lit(mask))).otherwise(done["out"])
+                return F.struct(F.greatest(done["at"], s["end"]).alias("at"), out.alias("out"))
+
+            return F.aggregate(block, F.struct(first.alias("at"), F.lit("").alias("out")), step)["out"]
+
+        return _once(piece(text, first, last_end(block) - first), walk)
 
-    def step(done: Column, s: Column) -> Column:
-        fresh = s["start"] >= done["at"]
-        before = F.substring(text, done["at"].cast("int") + 1, F.greatest(s["start"] - done["at"], F.lit(0)).cast("int"))
-        out = F.when(fresh, F.concat(done["out"], before, F.lit(mask))).otherwise(done["out"])
-        return F.struct(F.greatest(done["at"], s["end"]).alias("at"), out.alias("out"))
+    def whole(blocks: Column) -> Column:
+        ends = F.transform(blocks, last_end)
+        parts = F.zip_with(blocks, _before(ends, F.greatest), walked)
+        return F.concat(F.array_join(parts, ""), piece(text, F.array_max(ends), F.char_length(text)))
 
-    tail = lambda done: F.concat(done["out"], F.substring(text, done["at"].cast("int") + 1, F.char_length(text)))
-    walked = F.aggregate(secrets, F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")), step, tail)
-    return F.when(F.size(secrets) > 0, walked).otherwise(text)
+    return F.when(F.size(secrets) > 0, _in_blocks(secrets, whole)).otherwise(text)
 
 
 def without_secrets(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, text_column: str = "text", count_column: str = "n_chars") -> DataFrame:

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import time
 import zlib
 
 import numpy as np
@@ -297,6 +298,35 @@ def test_no_key_body_is_left(spark, folder, lines):
     assert all(text == "Before. <secret>\n. After it, text." for text in left.values()), left
 
 
+@pytest.mark.parametrize("n", [255, 256, 257, 100_000])
+def test_many_secrets_in_one_text(spark, folder, n):
+    """Whole in number and place, however many blocks they fill; 100,000 within seconds."""
+    text = "é " + "".join(f"token={i:07d}é " for i in range(n)) + "end"
+    docs = brute.documents(spark, [(1, text), (2, None), (3, "plain")])
+    began = time.time()
+    rows = {r.doc_id: r.secrets for r in secrets.findings(docs, secrets.scan(docs, folder)).collect()}
+    assert [(s.start, s.end) for s in rows[1]] == [(2 + 15 * i, 15 + 15 * i) for i in range(n)] and rows[2] == rows[3] == []
+    left = {r.doc_id: r.text for r in secrets.without_secrets(docs, folder).collect()}
+    assert left == {1: "é " + "<secret>é " * n + "end", 2: None, 3: "plain"}
+    assert time.time() - began < 60
+
+
+def test_overlapping_spans_are_masked_as_one(spark):
+    """Against the same by hand: spans inside one another, over block edges and far apart."""
+    rng = np.random.default_rng(5)
+    for n in (1, 3, 300, 1500):
+        text = "".join(rng.choice(list("abé日")) for _ in range(4 * n + 10))
+        some = sorted((int(a), int(a + w)) for a, w in zip(rng.integers(0, 4 * n, n), rng.integers(1, 10, n)))
+        some[0] = (0, 600) if n == 1500 else some[0]
+        out, at = [], 0
+        for start, end in some:
+            if start >= at:
+                out += [text[at:start], "#"]
+            at = max(at, end)
+        row = spark.createDataFrame([(text, some)], "text string, s array<struct<start: bigint, end: bigint>>")
+        assert row.select(secrets.masked(F.col("text"), F.col("s"), "#")).first()[0] == "".join(out) + text[at:]
+
+
 def test_secret_scan_runs_no_python(spark, folder):
     docs = brute.documents(spark, SECRETS).where("doc_id > 0")
     plan = secrets.findings(docs, secrets.scan(docs, folder))._jdf.queryExecution().executedPlan().toString()
