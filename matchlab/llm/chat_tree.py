@@ -30,6 +30,8 @@ from matchlab.session import durable
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 ASSISTANT = "assistant"
 
+SALTS = 16
+
 _GUARD, _GUARDED = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
 _SEGMENT = re.compile(r"<\|im_start\|>([^\n]*)\n(.*)<\|im_end\|>\n", re.S)
 
@@ -142,8 +144,11 @@ def write_tree(
     taken = durable(_nodes_of(rows))
     taken.select("conv_id", "turn_no", "node").write.parquet(f"{folder}/turns")
     distinct = durable(taken.drop("conv_id", "turn_no").dropDuplicates(["node"]))
-    branches = distinct.groupBy("parent").agg(F.count("*").alias("n")).where("n > 1 and parent is not null").select(F.col("parent").alias("branch"))
-    heads = distinct.join(branches, F.col("parent") == F.col("branch"), "left").select("node", F.expr("parent is null or branch is not null").alias("head"))
+    branches = distinct.groupBy("parent").agg(F.count("*").alias("n")).where("n > 1 and parent is not null")
+    # One parent may have a third of all nodes: its children meet it in SALTS places.
+    branches = branches.select(F.col("parent").alias("branch"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("place"))
+    met = (F.col("parent") == F.col("branch")) & (F.pmod(F.xxhash64("node"), F.lit(SALTS)) == F.col("place"))
+    heads = distinct.join(branches, met, "left").select("node", F.expr("parent is null or branch is not null").alias("head"))
     places = _places(taken.select("conv_id", "turn_no", "node").join(heads, "node"))
     # Arrays compare element by element and a prefix comes first: this order is depth first.
     ranged = distinct.join(places, "node").select("node", "parent", "heads", "nth", "formatted", "loss_start", "loss_end")
@@ -197,6 +202,55 @@ def read_conversations(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def read_line(spark: SparkSession, folder: str, vocabulary: str) -> DataFrame:
+    """Each different conversation as a reader of the line sees it, one row for each turn.
+
+    ``conv_id`` is the place in the line at which the conversation's last turn starts.
+    Its turns are the nodes in the intervals which that turn attends to, and itself, in
+    the order of their position ids (``turn_no``). ``role, text, formatted, graded`` are
+    decoded from the nodes' token ids.
+    """
+    nodes = spark.read.parquet(f"{folder}/nodes")
+    begin = F.when(F.col("nth") > 0, F.element_at("ancestors", -1)["start"]).otherwise(F.col("start"))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            coded = [np.frombuffer(x.as_buffer(), "<u4").tolist() for x in batch.column("ids")]
+            formatted = encoder(vocabulary).tokenizer.decode_batch(coded, skip_special_tokens=False)
+            spans = zip(batch.column("loss_start").to_pylist(), batch.column("loss_end").to_pylist())
+            turns = list(map(turn_of, formatted))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(batch.column(c) for c in ("chain_start", "start", "position")), *(pa.array([t[i] for t in turns], pa.string()) for i in (0, 1)),
+                    pa.array(formatted, pa.string()), pa.array([unescape(f[a:b]) for f, (a, b) in zip(formatted, spans)], pa.string()),
+                ],
+                ["chain_start", "start", "position", "role", "text", "formatted", "graded"],
+            )
+
+    line = nodes.select(begin.alias("chain_start"), "start", "position", "ids", "loss_start", "loss_end").mapInArrow(
+        task, "chain_start long, start long, position long, role string, text string, formatted string, graded string"
+    )
+    last = _last_turns(spark, folder).select("node").distinct().join(nodes.withColumn("chain_start", begin), "node")
+    # The turn's own chain up to it and with it is one interval.
+    above = F.filter("ancestors", lambda a: a["start"] < F.col("chain_start"))
+    own = F.struct(F.col("chain_start").alias("start"), (F.col("start") + F.col("length")).alias("end"))
+    seen = last.select(F.col("start").alias("conv_id"), F.explode(F.concat(above, F.array(own))).alias("seen"))
+    seen = seen.select("conv_id", F.col("seen.start").alias("chain_start"), F.col("seen.end").alias("end"))
+    rows = seen.join(line, "chain_start").where("start < end")
+    return rows.select("conv_id", F.col("position").alias("turn_no"), "role", "text", "formatted", "graded")
+
+
+def _last_turns(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/turns").groupBy("conv_id").agg(F.max_by("node", "turn_no").alias("node"))
+
+
+def line_digests(spark: SparkSession, folder: str, vocabulary: str) -> DataFrame:
+    """``digests`` of every conversation, each different one read from the line once."""
+    found = digests(read_line(spark, folder, vocabulary)).withColumnRenamed("conv_id", "start")
+    nodes = spark.read.parquet(f"{folder}/nodes").select("node", "start")
+    return _last_turns(spark, folder).join(nodes.join(found, "start").drop("start"), "node").drop("node")
+
+
 def digests(turns: DataFrame) -> DataFrame:
     """Counts and digests of each conversation from its turns, streamed in order.
 

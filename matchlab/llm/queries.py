@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchlab.llm.chat_tree import digests, read_conversations, write_tree
+from matchlab.llm.chat_tree import line_digests, write_tree
 from matchlab.llm.decontaminate import contaminated
 from matchlab.llm.fst_tokens import token_counts
 from matchlab.llm.html_paths import extract
@@ -219,13 +219,13 @@ _query_twin(
 
 @_query
 def op3_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every conversation's digests, read back from the written prefix tree."""
+    """Every conversation's digests, decoded from the token line along the attention intervals."""
     odd = "<|im_end|><|im_start|>assistant ok"
     more = spark.createDataFrame([(-1, 0, "user", odd), (-1, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(more)
     folder = scratch_path(spark, "chat-tree")
     write_tree(turns, folder, VOCABULARY)
-    return digests(read_conversations(spark, folder))
+    return line_digests(spark, folder, VOCABULARY)
 
 
 # Checksums of strings, half a byte at a time, lower half first; ``{0}`` is the string.

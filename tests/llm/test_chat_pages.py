@@ -3,6 +3,7 @@
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from matchlab.llm import chat_tree
 from matchlab.llm.html_paths import extract, main_text
@@ -40,6 +41,23 @@ def test_digests(spark, folder):
         assert r.formatted_chars == sum(len(chat_tree.segment(a, b)[0]) for _, a, b in turns)
 
 
+def test_line_alone_gives_the_conversations(spark, folder):
+    """Token ids, places, positions and intervals say the same as the stored turns; copies and branches included."""
+    copies = [(c, t, role, x) for c in range(60, 75) for t, (role, x) in enumerate([("user", "hello"), ("assistant", "same"), ("user", str(c // 2))])]
+    chat_tree.write_tree(_turns(spark, ROWS + copies).repartition(3), folder, VOCABULARY)
+    key = lambda r: (r.conv_id is None, r.conv_id)
+    stored = sorted(chat_tree.digests(chat_tree.read_conversations(spark, folder)).collect(), key=key)
+    found = chat_tree.line_digests(spark, folder, VOCABULARY).select(*stored[0].asDict())
+    assert sorted(found.collect(), key=key) == stored
+    texts = {len({r.start for r in spark.read.parquet(f"{folder}/nodes").collect()})}
+    assert texts == {spark.read.parquet(f"{folder}/nodes").count()}
+    # The line is what is read: other ids give other digests.
+    spoilt = spark.read.parquet(f"{folder}/nodes").withColumn("formatted", F.lit("<|im_start|>x\ny<|im_end|>\n"))
+    spoilt.write.parquet(f"{folder}-spoilt/nodes")
+    spark.read.parquet(f"{folder}/turns").write.parquet(f"{folder}-spoilt/turns")
+    assert sorted(chat_tree.line_digests(spark, f"{folder}-spoilt", VOCABULARY).select(*stored[0].asDict()).collect(), key=key) == stored
+
+
 def test_layout(spark, folder):
     chat_tree.write_tree(_turns(spark, ROWS), folder, VOCABULARY)
     nodes = {bytes(r.node): r for r in spark.read.parquet(f"{folder}/nodes").collect()}
