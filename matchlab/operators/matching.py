@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import difflib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -19,9 +20,13 @@ from pyspark.sql import types as T
 
 from matchlab import constants as C
 from matchlab.functions.text import nfc_name_key
+from matchlab.session import durable
 
 
 PIECES_FROM = 0.7
+#: Names of up to ``NEAR_CHARS`` characters first meet through what is left of both without
+#: at most ``NEAR`` characters; ``EMIT_NAMES`` names at a time become rows.
+NEAR, NEAR_CHARS, EMIT_NAMES = 2, 40, 512
 
 
 @F.pandas_udf(T.DoubleType())
@@ -35,6 +40,7 @@ def similarity(candidate: pd.Series, name: pd.Series) -> pd.Series:
 # Not to be repeated for the filter on its result.
 similarity = similarity.asNondeterministic()
 
+
 def _plan(la: int, lb: int, cutoff: float) -> tuple[int, int] | None:
     """Most unmatched characters each name may have at this cutoff, or None."""
     matched = math.ceil(cutoff * (la + lb) / 2 - 1e-9)
@@ -54,16 +60,15 @@ def _segments(lb: int, edits: int) -> list[tuple[int, int]]:
     return bounds
 
 
-def _pieces(name: str, cutoff: float, is_candidate: bool) -> set[str]:
-    """Keys two names share whenever their ratio reaches the cutoff.
+def _pieces(name: str, cutoff: float, is_candidate: bool, others: set[int]) -> set[str]:
+    """Keys two names share whenever their ratio reaches the cutoff; ``others`` are the lengths met.
 
     With at most ``e`` unmatched characters, cutting the candidate into e + 1
     pieces leaves one piece untouched; it stands in the other name, shifted by
     no more than the unmatched characters before it.
     """
     own, keys = len(name), set()
-    reach = (2 - cutoff) / cutoff
-    for other in range(max(1, math.floor(own / reach)), math.ceil(own * reach) + 1):
+    for other in others:
         la, lb = (other, own) if is_candidate else (own, other)
         plan = _plan(la, lb, cutoff)
         if plan is None:
@@ -80,13 +85,78 @@ def _pieces(name: str, cutoff: float, is_candidate: bool) -> set[str]:
     return keys
 
 
-def _piece_rows(df: DataFrame, cutoff: float, is_candidate: bool) -> DataFrame:
+def _without(name: str, n: int) -> set[str]:
+    """The name without any n of its characters."""
+    return {"".join(kept) for kept in combinations(name, len(name) - n)} if n < len(name) else set()
+
+
+def _near_keys(name: str, cutoff: float, is_candidate: bool, others: set[int]) -> set[str]:
+    """Keys two different names share if one to ``NEAR`` characters of both together are unmatched.
+
+    A key is what is left without them, with the number taken from either name.
+    """
+    own, keys = len(name), set()
+    for mine in range(NEAR + 1):
+        for theirs in range(NEAR + 1 - mine):
+            other = own - mine + theirs
+            la, lb = (other, own) if is_candidate else (own, other)
+            plan = _plan(la, lb, cutoff) if other in others else None
+            taken = (theirs, mine) if is_candidate else (mine, theirs)
+            if plan is not None and mine + theirs and min(la, lb) and taken[0] <= plan[0] and taken[1] <= plan[1]:
+                keys.update(f"{taken[0]},{taken[1]}:{rest}" for rest in _without(name, mine))
+    return keys
+
+
+def _key_rows(df: DataFrame, others: DataFrame, keys_of: Callable, cutoff: float, is_candidate: bool) -> DataFrame:
+    """(team, name_key, piece): the keys of each name that names of ``others``' lengths can share."""
+
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            pieces = [list(_pieces(n, cutoff, is_candidate)) for n in batch["name_key"]]
-            yield batch.assign(piece=pieces).explode("piece").dropna(subset=["piece"])
+            for at in range(0, len(batch), EMIT_NAMES):
+                part = batch[at : at + EMIT_NAMES]
+                pieces = [
+                    list(keys_of(n, cutoff, is_candidate, set(lengths)))
+                    for n, lengths in zip(part["name_key"], part["_lengths"])
+                ]
+                yield part[["team", "name_key"]].assign(piece=pieces).explode("piece").dropna(subset=["piece"])
 
-    return df.select("team", "name_key").mapInPandas(emit, "team string, name_key string, piece string")
+    rows = df.select("team", "name_key").join(_lengths(others, "name_key"), "team")
+    return rows.mapInPandas(emit, "team string, name_key string, piece string")
+
+
+def _alike(own: DataFrame, theirs: DataFrame, cutoff: float) -> DataFrame:
+    """(team, name_key, best): ratio and key of the most similar candidate of each name that shares a piece."""
+    pairs = (
+        own.join(theirs.withColumnRenamed("name_key", "cand_key"), ["team", "piece"])
+        .select("team", "name_key", "cand_key")
+        .distinct()
+        .withColumn("ratio", similarity("cand_key", "name_key"))
+        .filter(F.col("ratio") >= cutoff)
+    )
+    return pairs.groupBy("team", "name_key").agg(F.max(F.struct("ratio", "cand_key")).alias("best"))
+
+
+def _most_similar(left: DataFrame, cand: DataFrame, cutoff: float) -> DataFrame:
+    """(team, name_key, cand_key): the most similar candidate at or above the cutoff, the last key of equal ones.
+
+    First the candidates that differ by at most ``NEAR`` characters.  With more of them
+    unmatched, a name of n characters has no ratio above 2n / (2n + ``NEAR`` + 1): names
+    found above it are settled, the others meet all candidates through longer pieces.
+    """
+    short = F.length("name_key") <= NEAR_CHARS
+    asked, near_cand = left.where(short), cand.where(F.length("name_key") <= NEAR_CHARS + NEAR)
+    near = _alike(
+        _key_rows(asked, near_cand, _near_keys, cutoff, False),
+        _key_rows(near_cand, asked, _near_keys, cutoff, True), cutoff,
+    )
+    n = F.length("name_key")
+    settled = durable(near.where(F.col("best.ratio") > 2 * n / (2 * n + NEAR + 1)))
+    rest = left.join(settled, ["team", "name_key"], "left_anti")
+    if cutoff >= PIECES_FROM:
+        own, theirs = _key_rows(rest, cand, _pieces, cutoff, False), _key_rows(cand, rest, _pieces, cutoff, True)
+    else:
+        own, theirs = _letter_rows(rest), _letter_rows(cand)
+    return settled.unionByName(_alike(own, theirs, cutoff)).select("team", "name_key", F.col("best.cand_key").alias("cand_key"))
 
 
 def _letter_rows(df: DataFrame) -> DataFrame:
@@ -129,41 +199,27 @@ def fuzzy_name_match(
         raise ValueError("cutoff must lie in (0, 1]")
     key = lambda c: nfc_name_key(F.col(c))
     listed = absent.withColumn("name_key", key("absent_name"))
-    roster = (
+    # Tables that several steps read are written once: the plans below stay small.
+    roster = durable(
         squads.withColumn("cand_key", key("player_name"))
         .groupBy("team", "cand_key")
         .agg(F.min_by("player_name", "pos").alias("player_name"), F.min("pos").alias("cand_pos"))
     )
     asked = listed.select("team", "name_key").distinct()
-    exact = asked.join(
+    exact = durable(asked.join(
         roster.select("team", F.col("cand_key").alias("name_key"), "player_name"),
         ["team", "name_key"], "left",
-    )
+    ))
     hit = exact.filter("player_name is not null").withColumn("how", F.lit("exact"))
     left = exact.filter("player_name is null").drop("player_name")
     # From here on only squads with an open name matter.
     roster = roster.join(left.select("team").distinct(), "team", "left_semi")
 
-    # Most similar name: pairs share a piece, then the ratio decides.
-    cand = roster.select("team", F.col("cand_key").alias("name_key"))
-    if cutoff >= PIECES_FROM:
-        own, theirs = _piece_rows(left, cutoff, False), _piece_rows(cand, cutoff, True)
-    else:
-        own, theirs = _letter_rows(left), _letter_rows(cand)
-    pairs = (
-        own.join(theirs.withColumnRenamed("name_key", "cand_key"), ["team", "piece"])
-        .select("team", "name_key", "cand_key")
-        .distinct()
-        .withColumn("ratio", similarity("cand_key", "name_key"))
-        .filter(F.col("ratio") >= cutoff)
-    )
-    close = pairs.groupBy("team", "name_key").agg(
-        F.max(F.struct("ratio", "cand_key"))["cand_key"].alias("cand_key")
-    )
+    close = durable(_most_similar(left, roster.select("team", F.col("cand_key").alias("name_key")), cutoff))
     close = close.join(roster.drop("cand_pos"), ["team", "cand_key"]).select(
         "team", "name_key", "player_name", F.lit("similar").alias("how")
     )
-    left = left.join(close, ["team", "name_key"], "left_anti")
+    left = durable(left.join(close, ["team", "name_key"], "left_anti"))
 
     # First squad name holding the absent name: one row per team and substring.
     holds = (
@@ -189,7 +245,7 @@ def fuzzy_name_match(
         .agg(F.min("c")["player_name"].alias("player_name"))
         .withColumn("how", F.lit("part"))
     )
-    found = hit.unionByName(close).unionByName(part)
+    found = durable(hit.unionByName(close).unionByName(part))
     return listed.join(found, ["team", "name_key"], "left").select(
         "team", "absent_name", "pos", "player_name", "how"
     )
