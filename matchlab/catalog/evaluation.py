@@ -264,8 +264,8 @@ def isotonic_fit(spark, sf):
 def ensemble_grid(spark, sf):
     from matchlab.models.trees import unfitted_rates
 
-    first = grids(spark, sf)
-    second = G.with_score_grid(unfitted_rates(view(spark, sf, "tb_params").select("match_id")))
+    first = view(spark, sf, "tb_params")
+    second = unfitted_rates(first.select("match_id"))
     df = E.ensemble_grid([first, second], [0.7, 0.3])
     names = ["prob_home", "prob_draw", "prob_away", "expected_home", "expected_away"]
     return df.select("match_id", *[F.round(c, 6).alias(c) for c in names])

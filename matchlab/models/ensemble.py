@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchlab.functions.grid import CELLS, with_expected_goals, with_outcome_probs
+from matchlab.functions.grid import CELLS, with_expected_goals, with_outcome_probs, with_score_grid
+from matchlab.functions.once import with_once
 
 
 def inverse_rps_weights(scores: DataFrame) -> DataFrame:
@@ -41,13 +42,23 @@ def ensemble_grid(
     """(keys, grid, 1X2, expected goals) of the weighted mean of the models' grids.
 
     Markets are derived again from the mean grid.  The rates of the mean are its
-    expected goals, and rho is 0.
+    expected goals, and rho is 0.  A prediction without ``grid`` is joined by its
+    rates (lambda_home, lambda_away, rho), three numbers instead of 64, and its grid
+    is built from them after the join.
     """
     n = len(predictions)
     weights = check_weights(weights if weights is not None else [1.0 / max(n, 1)] * n, n)
     keys = keys or ["match_id"]
-    parts = [p.select(*keys, F.col("grid").alias(f"_g{i}")) for i, p in enumerate(predictions)]
+    rates = ["lambda_home", "lambda_away", "rho"]
+    bare = [i for i, p in enumerate(predictions) if "grid" not in p.columns]
+    parts = [
+        p.select(*keys, *([F.col(c).alias(f"_{c}_{i}") for c in rates] if i in bare else [F.col("grid").alias(f"_g{i}")]))
+        for i, p in enumerate(predictions)
+    ]
     joined = reduce(lambda a, b: a.join(b, keys), parts)
+    for i in bare:
+        made = with_score_grid(joined, *[f"_{c}_{i}" for c in rates], out="_made")
+        joined = with_once(made, f"_g{i}", F.col("_made")).drop("_made", *[f"_{c}_{i}" for c in rates])
     cells = [
         " + ".join(f"{float(w)}D * _g{i}[{k}]" for i, w in enumerate(weights))
         for k in range(len(CELLS))
