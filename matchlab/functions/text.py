@@ -6,6 +6,8 @@ import html
 import unicodedata
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,9 +23,27 @@ def _nfc(names: pd.Series) -> pd.Series:
     return names.map(lambda s: None if s is None else unicodedata.normalize("NFC", s))
 
 
-@F.pandas_udf(T.StringType())
-def _unescape(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda s: None if s is None else html.unescape(s))
+# What ``html.unescape`` takes for a reference.
+REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _decoded(references: pa.Array) -> pa.Array:
+    """Each character reference decoded; a kind that repeats is decoded once a batch."""
+    kinds = references.flatten().dictionary_encode()
+    plain = pa.array([html.unescape(s) for s in kinds.dictionary.to_pylist()], pa.string())
+    sizes = pc.fill_null(pc.list_value_length(references), 0)
+    ends = pa.concat_arrays([pa.array([0], pa.int32()), pc.cumulative_sum(sizes).cast(pa.int32())])
+    return pa.ListArray.from_arrays(ends, plain.take(kinds.indices), mask=references.is_null())
+
+
+def _unescape(text: Column) -> Column:
+    """Character references decoded; only the references cross to Python, not the texts around them."""
+    references = F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(0))
+    between = F.split(text, REFERENCE, -1)
+    # One text more than there are references.
+    decoded = F.zip_with(between, _decoded(references), lambda t, r: F.concat(t, F.coalesce(r, F.lit(""))))
+    return F.array_join(decoded, "")
 
 
 def nfc_name_key(name: Column, strip_notes: bool = False) -> Column:
@@ -131,7 +151,6 @@ def clean_html(text: Column, entities: bool = True) -> Column:
     """Tags to spaces, entities decoded, white space squeezed."""
     plain = F.regexp_replace(text, r"<[^>]+>", " ")
     if entities:
-        # Only texts that hold an entity cross to Python.
         plain = F.when(plain.contains("&"), _unescape(plain)).otherwise(plain)
     return F.trim(F.regexp_replace(plain, SPACES, " "))
 
