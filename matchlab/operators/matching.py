@@ -60,15 +60,20 @@ def _segments(lb: int, edits: int) -> list[tuple[int, int]]:
     return bounds
 
 
-def _pieces(name: str, cutoff: float, is_candidate: bool, others: set[int]) -> set[str]:
-    """Keys two names share whenever their ratio reaches the cutoff; ``others`` are the lengths met.
+def _pieces(name: str, cutoff: float, is_candidate: bool, others: set[int] | None = None) -> set[str]:
+    """Keys two names share whenever their ratio reaches the cutoff.
+
+    ``others`` are the lengths of the names to meet, any length without it.
 
     With at most ``e`` unmatched characters, cutting the candidate into e + 1
     pieces leaves one piece untouched; it stands in the other name, shifted by
     no more than the unmatched characters before it.
     """
     own, keys = len(name), set()
-    for other in others:
+    reach = (2 - cutoff) / cutoff
+    for other in range(max(1, math.floor(own / reach)), math.ceil(own * reach) + 1):
+        if others is not None and other not in others:
+            continue
         la, lb = (other, own) if is_candidate else (own, other)
         plan = _plan(la, lb, cutoff)
         if plan is None:
