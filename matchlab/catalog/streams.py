@@ -21,7 +21,8 @@ def as_stream(df, name, clock, closing=None, files=4):
     low, high = df.agg(F.min(clock), F.max(clock)).first()
     part = F.least(F.lit(files - 1), F.floor((clock - low) * files / (high - low + 1)))
     for i in range(files):
-        df.filter(part == i).coalesce(1).write.mode("append").parquet(path)
+        # The whole table is read by all tasks, only a slice's rows are written by one.
+        df.filter(part == i).repartition(1).write.mode("append").parquet(path)
     if closing is not None:
         closing.select(*df.columns).coalesce(1).write.mode("append").parquet(path)
     return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)

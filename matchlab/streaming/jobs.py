@@ -8,10 +8,12 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from itertools import islice
+from itertools import groupby
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Row, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
@@ -215,13 +217,53 @@ _DAY_MS = 86_400_000
 _CLOCK_START = -62091
 _FLUSH, _SWEEP = 1, 2
 MOST_MET = 50_000
+MOST_PACKED = 100_000
+MOST_HELD = 8 << 20
+MOST_YIELDED = 10_000
+
+_PACKED = "pool string, day int, whole boolean, matches string"
+
+
+def _listed(column: pa.Array) -> list:
+    """A column as Python values; integers beside nulls stay integers."""
+    if column.null_count:
+        return column.to_pylist()
+    if pa.types.is_string(column.type):
+        coded = column.dictionary_encode()
+        return np.array(coded.dictionary.to_pylist(), object)[coded.indices.to_numpy()].tolist()
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for the matches of a pool and day in some ``MOST_PACKED`` rows; those that lack something apart."""
+
+    def rows() -> pa.RecordBatch:
+        pools, numbers, whole = zip(*days)
+        lines = [json.dumps(matches) for matches in days.values()]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(pools, pa.string()), pa.array(numbers, pa.int32()), pa.array(whole, pa.bool_()), pa.array(lines, pa.string())],
+            ["pool", "day", "whole", "matches"],
+        )
+
+    days, held = {}, 0
+    for batch in batches:
+        for pool, day, *match in zip(*map(_listed, batch.columns)):
+            whole = not (day is None or match[0] is None or match[1] is None or match[2] is None)
+            days.setdefault((pool, day, whole), []).append(match)
+        held += batch.num_rows
+        if held >= MOST_PACKED:
+            yield rows()
+            days, held = {}, 0
+    if days:
+        yield rows()
 
 
 class _TimedRatingProcessor(StatefulProcessor):
-    """Ratings of one pool; a timer a day rates the day's matches once the watermark has passed it.
+    """Ratings of one pool; a timer rates the open days that the watermark has passed, in order.
 
-    State holds one number and day per team and the rows of each open day. A task holds
-    10,000 rows, or one day of one pool, and up to ``MOST_MET`` teams.
+    State holds one number and day per team and the rows of each open day, in parts that are
+    written once and read once. A task holds ``MOST_HELD`` characters of packed rows or one
+    day of one pool, and little more than ``MOST_MET`` teams.
     """
 
     def __init__(self, forget_days: int | None) -> None:
@@ -230,61 +272,98 @@ class _TimedRatingProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.teams = handle.getMapState("teams", "team string", "rating double, day int")
-        self.open = handle.getMapState("open", "day int", "matches string")
+        self.open = handle.getMapState("open", "day int, part bigint", "matches string")
+        self.parts = handle.getValueState("parts", "next bigint")
+        # The day of the only flush timer.
+        self.due = handle.getValueState("due", "day int")
         self.swept = handle.getValueState("swept", "next int")
-        # Teams met lately in this task, as the state has them.
-        self.met: dict[tuple[str, str], tuple[float, int]] = {}
 
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         watermark = timerValues.getCurrentWatermarkInMs()
-        while some := list(islice(rows, 10_000)):
-            fresh = {}
-            for r in some:
-                aside = (key[0], r.match_id, r.day, r.home_team, r.away_team, None, None)
-                if None in (r.match_id, r.day, r.home_team, r.away_team):
-                    yield _rated_row(*aside, "incomplete")
-                elif _moment(r.day) < watermark:
-                    yield _rated_row(*aside, "late")
-                else:
-                    match = [r.match_id, r.home_team, r.away_team, float(r.bonus), float(r.score), float(r.k)]
-                    fresh.setdefault(r.day, []).append(json.dumps(match))
-            for day, lines in fresh.items():
-                if self.open.containsKey((day,)):
-                    lines.insert(0, self.open.getValue((day,))[0])
-                else:
-                    self.handle.registerTimer(_moment(day) + _FLUSH)
-                self.open.updateValue((day,), ("\n".join(lines),))
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        days, held, first = {}, 0, None
+        for batch in rows:
+            for day, whole, text in zip(batch["day"].tolist(), batch["whole"].tolist(), batch["matches"].tolist()):
+                day = None if day != day or day is None else int(day)
+                if not whole or _moment(day) < watermark:
+                    status = "late" if whole else "incomplete"
+                    yield _frame([(key[0], m[0], day, m[1], m[2], None, None, status) for m in json.loads(text)])
+                    continue
+                days.setdefault(day, []).append(text)
+                first = day if first is None else min(first, day)
+                held += len(text)
+                if held >= MOST_HELD:
+                    self._keep(days)
+                    days, held = {}, 0
+        if days:
+            self._keep(days)
+        if first is not None:
+            self._wake(first)
+
+    def _keep(self, days: dict[int, list[str]]) -> None:
+        part = self.parts.get()[0] if self.parts.exists() else 0
+        for day, texts in days.items():
+            self.open.updateValue((day, part), ("\n".join(texts),))
+        self.parts.update((part + 1,))
+
+    def _wake(self, day: int) -> None:
+        """Have the flush timer run once the watermark has passed ``day`` or an earlier one."""
+        if self.due.exists():
+            due = self.due.get()[0]
+            if due <= day:
+                return
+            self.handle.deleteTimer(_moment(due) + _FLUSH)
+        self.handle.registerTimer(_moment(day) + _FLUSH)
+        self.due.update((day,))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         number, what = divmod(expiredTimerInfo.getExpiryTimeInMs(), _DAY_MS)
-        day = number + _CLOCK_START
         if what == _SWEEP:
-            self._sweep(key[0], day)
+            self._sweep(number + _CLOCK_START)
             return
-        matches = [json.loads(line) for line in self.open.getValue((day,))[0].split("\n")]
-        self.open.removeKey((day,))
-        now = {}
-        for ident, (home, away, bonus, score, k) in sorted({m[0]: m[1:] for m in matches}.items()):
-            own, other = self._current(key[0], home, day, now), self._current(key[0], away, day, now)
-            now[home], now[away] = updated(own, other, bonus, score, k)
-            yield _rated_row(key[0], ident, day, home, away, own, other, "rated")
-        for team, rating in now.items():
-            self.teams.updateValue((team,), (rating, day))
-            self.met[key[0], team] = rating, day
-        if len(self.met) > MOST_MET:
-            self.met.clear()
-        if self.forget_days is not None and not self.swept.exists():
-            self._next_sweep(day)
+        watermark = timerValues.getCurrentWatermarkInMs()
+        ready, later = [], None
+        for day, part in self.open.keys():
+            if _moment(day) + _FLUSH <= watermark:
+                ready.append((day, part))
+            else:
+                later = day if later is None else min(later, day)
+        now, done = {}, []
+        for day, places in groupby(sorted(ready), lambda place: place[0]):
+            matches = {}
+            for place in places:
+                for line in self.open.getValue(place)[0].split("\n"):
+                    matches.update((m[0], m[1:]) for m in json.loads(line))
+                self.open.removeKey(place)
+            for ident, (home, away, bonus, score, k) in sorted(matches.items()):
+                own, other = self._current(home, day, now), self._current(away, day, now)
+                after = updated(own, other, bonus, score, k)
+                now[home], now[away] = (after[0], day), (after[1], day)
+                done.append((key[0], ident, day, home, away, own, other, "rated"))
+                if len(done) >= MOST_YIELDED:
+                    yield _frame(done)
+                    done = []
+            if len(now) > MOST_MET:
+                self._store(now)
+                now = {}
+            if self.forget_days is not None and not self.swept.exists():
+                self._next_sweep(day)
+        self._store(now)
+        self.due.clear()
+        if later is not None:
+            self._wake(later)
+        if done:
+            yield _frame(done)
+
+    def _store(self, now: dict[str, tuple[float, int]]) -> None:
+        for team, value in now.items():
+            self.teams.updateValue((team,), value)
 
-    def _current(self, pool: str, team: str, day: int, now: dict[str, float]) -> float:
-        if team in now:
-            return now[team]
-        found = self.met.get((pool, team))
-        if found is None:
+    def _current(self, team: str, day: int, now: dict[str, tuple[float, int]]) -> float:
+        if team not in now:
             if not self.teams.containsKey((team,)):
                 return C.INITIAL_RATING
-            found = self.teams.getValue((team,))
-        rating, last = found
+            now[team] = tuple(self.teams.getValue((team,)))
+        rating, last = now[team]
         if self.forget_days is not None and day - last > self.forget_days:
             return C.INITIAL_RATING
         return decayed(rating, day - last)
@@ -294,7 +373,7 @@ class _TimedRatingProcessor(StatefulProcessor):
         self.handle.registerTimer(_moment(after) + _SWEEP)
         self.swept.update((after,))
 
-    def _sweep(self, pool: str, day: int) -> None:
+    def _sweep(self, day: int) -> None:
         """Remove what ``_current`` would not look at any more."""
         idle, others = [], False
         for (team,), (_, last) in self.teams.iterator():
@@ -304,7 +383,6 @@ class _TimedRatingProcessor(StatefulProcessor):
                 others = True
         for team in idle:
             self.teams.removeKey((team,))
-            self.met.pop((pool, team), None)
         self.swept.clear()
         if others:
             self._next_sweep(day)
@@ -313,7 +391,11 @@ class _TimedRatingProcessor(StatefulProcessor):
         pass
 
 
-_rated_row = Row(*(part.split()[0] for part in _RATED.split(", ")))
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    """Rows as the output's columns; integers beside nulls stay integers."""
+    names = [part.split()[0] for part in _RATED.split(", ")]
+    columns = zip(names, zip(*rows))
+    return pd.DataFrame({n: pd.Series(c, dtype=object if None in c else None) for n, c in columns})
 
 
 def _moment(day: int) -> int:
@@ -337,11 +419,13 @@ def timed_rating_stream(
     The session needs the RocksDB state store.
     """
     rows = _scan_input(matches, pool).select(
-        "pool", "match_id", "day", "home_team", "away_team", "bonus", "score", "k"
+        "pool", "day", "match_id", "home_team", "away_team", "bonus", "score", "k"
     )
-    timed = rows.withColumn("clock", F.timestamp_seconds((F.col("day").cast("long") - _CLOCK_START) * (_DAY_MS // 1000)))
+    # Rows cross to the state one by one, so a day's matches cross as one.
+    packed = rows.repartition("pool", "day").mapInArrow(_packed, _PACKED)
+    timed = packed.withColumn("clock", F.timestamp_seconds((F.col("day").cast("long") - _CLOCK_START) * (_DAY_MS // 1000)))
     # Late rows are told apart by the processor, so it does not see the clock that would drop them.
-    return timed.withWatermark("clock", f"{delay_days} days").drop("clock").groupBy("pool").transformWithState(
+    return timed.withWatermark("clock", f"{delay_days} days").drop("clock").groupBy("pool").transformWithStateInPandas(
         statefulProcessor=_TimedRatingProcessor(forget_days), outputStructType=_RATED,
         outputMode="Append", timeMode="EventTime",
     )

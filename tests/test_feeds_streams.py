@@ -1,6 +1,9 @@
 import datetime as dt
 import json
+from types import SimpleNamespace
 
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -201,3 +204,70 @@ def test_idle_teams_are_forgotten_and_old_dates_count(spark, rocksdb):
 
 def test_timed_stream_of_nothing(spark, rocksdb):
     assert _timed(spark, [[]]) == []
+
+
+class _Kept(dict):
+    """State of one key, map or value, that counts what is written."""
+
+    def __init__(self):
+        self.writes = 0
+
+    updateValue = lambda self, k, v: (self.__setitem__(k, v), setattr(self, "writes", self.writes + 1))
+    containsKey, getValue, removeKey, iterator = dict.__contains__, dict.__getitem__, dict.pop, dict.items
+    exists = lambda self: len(self) > 0
+    update = lambda self, v: self.updateValue(None, v)
+    get = lambda self: self[None]
+
+
+class _Handle:
+    def __init__(self):
+        self.kept, self.timers = {}, set()
+        self.registerTimer, self.deleteTimer = self.timers.add, self.timers.remove
+
+    def getMapState(self, name, *_):
+        return self.kept.setdefault(name, _Kept())
+
+    getValueState = getMapState
+
+
+def test_timed_state_is_written_once_a_run(monkeypatch):
+    """Parts of open days are not read again for later rows; one timer rates all days that are ready."""
+    rows = random_matches(300, days=60, seed=4)
+    expected, _ = ratings_by_hand(rows)
+    for name, value in (("MOST_PACKED", 20), ("MOST_HELD", 1500), ("MOST_YIELDED", 7)):
+        monkeypatch.setattr(J, name, value)
+    names = ["pool", "day", "match_id", "home_team", "away_team", "bonus", "score", "k"]
+    score = lambda r: 1.0 if r[4] > r[5] else 0.5 if r[4] == r[5] else 0.0
+    k = {"Friendly": 20.0, "FIFA World Cup": 60.0, "Cup": 35.0}
+    data = [("0", (r[1] - dt.date(1970, 1, 1)).days, r[0], r[2], r[3], 0.0 if r[6] else 100.0, score(r), k[r[7]]) for r in rows]
+    data = sorted(data, key=lambda r: r[2] * 7 % 300)
+    batches = [pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in data[i : i + 10]]) for i in range(0, 300, 10)]
+    frames = [b.to_pandas() for b in J._packed(iter(batches))]
+    assert len(frames) == 15
+    handle, clock = _Handle(), SimpleNamespace(getCurrentWatermarkInMs=lambda: 0)
+    job = J._TimedRatingProcessor(None)
+    job.init(handle)
+    assert list(job.handleInputRows(("0",), iter(frames), clock)) == [] and len(handle.timers) == 1
+    parts = handle.kept["open"]
+    assert parts.writes == len(parts) > 60 and sum(len(json.loads(t)) for (v,) in parts.values() for t in v.split("\n")) == 300
+    (due,) = handle.timers
+    last = max(r[1] for r in data)
+    late = SimpleNamespace(getCurrentWatermarkInMs=lambda: J._moment(last))
+    out = pd.concat(job.handleExpiredTimer(("0",), late, SimpleNamespace(getExpiryTimeInMs=lambda: due)))
+    assert {day for day, _ in parts} == {last} and handle.timers == {J._moment(last) + J._FLUSH, due} and handle.kept["teams"].writes == len(handle.kept["teams"])
+    assert set(out["match_id"]) == {r[2] for r in data if r[1] < last}
+    for r in out.itertuples():
+        assert (r.elo_home_pre, r.elo_away_pre) == pytest.approx(expected[r.match_id])
+    # A day earlier than the timer's moves it; Spark removes the one that has run.
+    handle.timers.discard(due)
+    list(job.handleInputRows(("0",), iter(frames[:1]), clock))
+    assert len(handle.timers) == 1 and min(handle.timers) < J._moment(last)
+
+
+def test_timed_stream_keeps_large_ids_beside_nulls(spark, rocksdb):
+    big = (1 << 60) + 1
+    match = lambda i, n, home="A": (i, day(n), home, "B", 2, 0, True, "Cup", "0")
+    got = _timed(spark, [[match(big, 0), match(None, 0), match(big + 1, 0, None)], [match(1, 20), match(None, 20)], [match(big + 2, 1), match(2, 30)]])
+    assert {(r["match_id"], r["status"]) for r in got} == {
+        (big, "rated"), (None, "incomplete"), (big + 1, "incomplete"), (1, "rated"), (big + 2, "late"),
+    }
