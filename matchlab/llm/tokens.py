@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -53,34 +54,39 @@ class Encoder:
         if len(self.fresh) > KEPT_PIECES // 2:
             self.older, self.fresh = self.fresh, {}
         fresh, older = self.fresh, self.older
-        unknown = []
-        for piece in distinct:
-            if piece not in fresh:
+        coded = list(map(fresh.get, distinct))
+        unknown, places = [], []
+        for place, ids in enumerate(coded):
+            if ids is None:
+                piece = distinct[place]
                 known = older.get(piece)
                 if known is None:
                     unknown.append(piece)
+                    places.append(place)
                 else:
-                    fresh[piece] = known
-        self._learn(unknown)
-        return [fresh[p] for p in distinct]
-
-    def _learn(self, pieces: list[bytes]) -> None:
-        plain = [p for p in pieces if _PLAIN.fullmatch(p)]
+                    fresh[piece] = coded[place] = known
+        for place, ids in zip(places, self._learn(unknown)):
+            coded[place] = ids
+        return coded
+
+    def _learn(self, pieces: list[bytes]) -> list[bytes]:
+        found = list(map(_PLAIN.fullmatch, pieces))
+        plain = list(compress(pieces, found))
+        learnt = []
         for at in range(0, len(plain), 512):
             # Plain pieces follow each other as in a text; the ids' lengths show where each ends.
             some = plain[at : at + 512]
             ids = np.array(self.tokenizer.encode_batch_fast([b"".join(some).decode()], add_special_tokens=False)[0].ids, "<u4")
             ends = np.cumsum(self.bytes_of[ids])
             stops = 4 * (np.searchsorted(ends, np.cumsum(np.fromiter(map(len, some), np.int64, len(some)))) + 1)
-            raw, start = ids.tobytes(), 0
-            for piece, stop in zip(some, stops.tolist()):
-                self.fresh[piece] = raw[start:stop]
-                start = stop
-        others = [p for p in pieces if p not in self.fresh]
+            learnt += _cut(ids.tobytes(), np.append(0, stops))
+        self.fresh.update(zip(plain, learnt))
+        others = [p for p, hit in zip(pieces, found) if not hit]
         for at in range(0, len(others), 256):
             some = others[at : at + 256]
             for piece, e in zip(some, self.tokenizer.encode_batch_fast([p.decode() for p in some], add_special_tokens=False)):
                 self.fresh[piece] = np.array(e.ids, "<u4").tobytes()
+        return learnt if not others else [self.fresh[p] for p in pieces]
 
     def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets): text i has ids[offsets[i]:offsets[i + 1]].
@@ -111,7 +117,8 @@ class Encoder:
         pieces = pa.BinaryArray.from_buffers(
             pa.binary(), len(at), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))]
         ).dictionary_encode()
-        distinct = pieces.dictionary.to_pylist()
+        _, ends, raw = pieces.dictionary.buffers()
+        distinct = _cut(raw.to_pybytes(), np.frombuffer(ends, np.int32, len(pieces.dictionary) + 1))
         coded = self._ids(distinct)
         sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
         flat = np.frombuffer(b"".join(coded), "<u4")
@@ -124,6 +131,12 @@ class Encoder:
         return ids, np.diff(upto)
 
 
+def _cut(raw: bytes, bounds: np.ndarray) -> list[bytes]:
+    """The stretches of ``raw`` between neighbouring bounds."""
+    at = bounds.tolist()
+    return [raw[i:j] for i, j in zip(at, at[1:])]
+
+
 def _after_wide_space(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Those of the places ``at`` that follow a white space outside ASCII: no cut there."""
     at = at[at > 0]

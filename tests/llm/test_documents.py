@@ -101,6 +101,29 @@ def test_token_files_are_plain_frames_and_checked(spark, docs, ids, folder):
         source.frame(0)
 
 
+class _Counted(dict):
+    asked = 0
+
+    def _ask(self, how, *args):
+        self.asked += 1
+        return how(self, *args)
+
+    get = lambda self, *a: self._ask(dict.get, *a)
+    __contains__ = lambda self, k: self._ask(dict.__contains__, k)
+    __getitem__ = lambda self, k: self._ask(dict.__getitem__, k)
+
+
+def test_encoder_asks_once_for_a_known_piece():
+    coder = Encoder(VOCABULARY)
+    pieces = [b" known", " \u2003odd\u00a0x".encode(), b" words", b"first", b" more"]
+    library = [np.array(coder.tokenizer.encode(p.decode(), add_special_tokens=False).ids, "<u4").tobytes() for p in pieces]
+    assert coder._ids(pieces[:3]) == library[:3]
+    coder.older, coder.fresh = coder.fresh, {}
+    assert coder._ids(pieces) == library
+    coder.fresh = _Counted(coder.fresh)
+    assert coder._ids(pieces) == library and coder.fresh.asked <= len(pieces)
+
+
 def test_token_files_empty_and_null_ids(spark, none, folder):
     token_files.write_tokens(none, folder, VOCABULARY)
     assert token_files.read_tokens(spark, folder).count() == 0
