@@ -124,6 +124,41 @@ def test_encoder_asks_once_for_a_known_piece():
     assert coder._ids(pieces) == library and coder.fresh.asked <= len(pieces)
 
 
+def _same_ids(coder, texts):
+    ids, ends = coder.encode(pa.array(texts, pa.string()))
+    library = [coder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == library
+
+
+def test_encoder_learns_a_word_once_whatever_sign_follows():
+    coder = Encoder(VOCABULARY)
+    _same_ids(coder, [" caf\u00e9", " caf\u00e9, caf\u00e9. word; word's word\u2019s \u0436\u0437! word2word\u00d7, \u00d7.", " word-word (word) word"])
+    assert {p for p in coder.fresh if p.startswith((b" word", " caf\u00e9".encode()))} == {
+        b" word", " caf\u00e9".encode(), " word\u2019s".encode()
+    }
+
+
+def test_encoder_cuts_beside_every_kind_of_character():
+    coder = Encoder(VOCABULARY)
+    some = [chr(c) for c in (*range(1, 0x3100), 0xFEFF, 0xFF07, 0x1D400, 0x1F600) if not 0x530 < c < 0x1680]
+    _same_ids(coder, [f"a{c}, {c}b.{c} a{c}'s{c}'re5{c}a{c} {c}{c}-x\n{c}a_{c}\t<|endoftext|>" for c in some])
+
+
+def test_encoder_of_another_splitter(tmp_path):
+    """Its words keep an 's, so no text is cut after a letter."""
+    from tokenizers import Regex, Tokenizer
+    from tokenizers.pre_tokenizers import ByteLevel, Sequence, Split
+
+    other = Tokenizer.from_file(VOCABULARY)
+    other.pre_tokenizer = Sequence(
+        [Split(Regex(r"\s*\p{L}+(?:'s)?|\s*[^\s\p{L}]+|\s+"), "isolated"), ByteLevel(add_prefix_space=False, use_regex=False)]
+    )
+    other.save(str(tmp_path / "other.json"))
+    coder = Encoder(str(tmp_path / "other.json"))
+    _same_ids(coder, [" that's the cat's, 9's that's.", "it's  caf\u00e9's\n x"])
+    assert b" that's" in coder.fresh
+
+
 def test_token_files_empty_and_null_ids(spark, none, folder):
     token_files.write_tokens(none, folder, VOCABULARY)
     assert token_files.read_tokens(spark, folder).count() == 0
